@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirework.llm import near_duplicates as nd
+from quirework.llm import neighbours, splitting, tokens
 from quirework.scratch import Scratch
 from quirework.session import table
 
@@ -32,9 +33,47 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs of both tables that had to be cut."""
+    pieces = splitting.oversized_paragraphs(table(spark, sf_dir, "sections"), table(spark, sf_dir, "paragraphs"), with_text=False)
+    return pieces.where("piece_index = 0").select("table_name", "arxiv_id", "section_index", "paragraph_index")
+
+
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every oversized paragraph."""
+    return splitting.oversized_paragraphs(table(spark, sf_dir, "sections"), table(spark, sf_dir, "paragraphs"))
+
+
+def _vector_tables(spark: SparkSession, sf_dir: str) -> list:
+    return [
+        ("techniques", table(spark, sf_dir, "techniques"), "passage_id", "embedding"),
+        ("papers", table(spark, sf_dir, "papers"), "arxiv_id", "area_embedding"),
+    ]
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of vectors with a cosine of at least 0.95, one among the 5 best of the other."""
+    return neighbours.found_pairs(neighbours.nearest(_vector_tables(spark, sf_dir), Scratch(spark, "p3")))
+
+
+def p3_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 most similar rows, whatever their cosine, of every 20th technique by the checksum of its id."""
+    return neighbours.nearest_of_queries(_vector_tables(spark, sf_dir)[0], F.pmod(F.crc32("id"), F.lit(20)) == 0, Scratch(spark, "p3"))
+
+
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    return tokens.encode_texts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
+    "p2_found": p2_found,
+    "p2_pieces": p2_pieces,
+    "p3_found": p3_found,
+    "p3_top5": p3_top5,
+    "p7_ids": p7_ids,
 }
 
 #: SQL for DuckDB where it can state the problem on whole tables in reasonable time.
