@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirework.llm import near_duplicates as nd
-from quirework.llm import neighbours, splitting, tokens
+from quirework.llm import markup, mixing, neighbours, repetition, splitting, tokens
 from quirework.scratch import Scratch
 from quirework.session import table
 
@@ -61,11 +61,41 @@ def p3_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest_of_queries(_vector_tables(spark, sf_dir)[0], F.pmod(F.crc32("id"), F.lit(20)) == 0, Scratch(spark, "p3"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of sections and statements that still hold markup."""
+    return markup.residue(table(spark, sf_dir, "sections"), table(spark, sf_dir, "statements"))
+
+
+def p6_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain text of every item, with headings, lists, code blocks and formulas."""
+    return markup.plain_texts(table(spark, sf_dir, "sections"), table(spark, sf_dir, "statements"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return tokens.encode_texts(table(spark, sf_dir, "documents"))
 
 
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture of the documents of the listed sources."""
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), Scratch(spark, "p8"))[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of each listed source."""
+    return mixing.shares(*mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), Scratch(spark, "p8")))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of which at least a quarter of the words is repeated."""
+    return repetition.repetitive(table(spark, sf_dir, "documents"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of repetition of every document."""
+    return repetition.repetition(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
@@ -73,7 +103,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_pieces": p2_pieces,
     "p3_found": p3_found,
     "p3_top5": p3_top5,
+    "p6_found": p6_found,
+    "p6_plain": p6_plain,
     "p7_ids": p7_ids,
+    "p8_mix": p8_mix,
+    "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_shares": p9_shares,
 }
 
 #: SQL for DuckDB where it can state the problem on whole tables in reasonable time.
