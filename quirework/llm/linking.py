@@ -48,7 +48,10 @@ def _runs(batches: Iterator[pa.RecordBatch], whole: int) -> Iterator[tuple[int,
         if not len(cols[0]):
             continue
         edges = np.flatnonzero(np.diff(cols[0])) + 1
-        for lo, hi in zip(np.r_[0, edges], np.r_[edges, len(cols[0])], strict=True):
+        begin, stop = np.r_[0, edges], np.r_[edges, len(cols[0])]
+        more = stop - begin > 1  # a bucket of one row, wholly inside the batch, gives nothing
+        more[[0, -1]] = True
+        for lo, hi in zip(begin[more].tolist(), stop[more].tolist(), strict=True):
             piece = tuple(c[lo:hi] for c in cols)
             if held and held[0][0][0] != piece[0][0]:
                 joined = tuple(np.concatenate(c) for c in zip(*held, strict=True))
