@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirework.llm import near_duplicates as nd
-from quirework.llm import markup, mixing, neighbours, repetition, splitting, tokens
+from quirework.llm import clusters, markup, mixing, neighbours, repetition, splitting, tokens
 from quirework.scratch import Scratch
 from quirework.session import table
 
@@ -61,6 +61,21 @@ def p3_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest_of_queries(_vector_tables(spark, sf_dir)[0], F.pmod(F.crc32("id"), F.lit(20)) == 0, Scratch(spark, "p3"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers of each cluster of 8 or more linked by a cosine of at least 0.8."""
+    ids, comps, _ = clusters.linked(table(spark, sf_dir, "papers"), Scratch(spark, "p4"))
+    return clusters.clusters_of(ids, comps).select("cluster_key", F.col("id").alias("arxiv_id"))
+
+
+def p4_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and most typical papers of each cluster after loose ones are divided, beside the cluster of the earlier run."""
+    scratch = Scratch(spark, "p4")
+    ids, comps, links = clusters.linked(table(spark, sf_dir, "papers"), scratch)
+    members = clusters.split_loose(ids, comps, links, scratch)
+    known = table(spark, sf_dir, "clusters").select(F.col("arxiv_id").alias("id"), "cluster_id")
+    return clusters.described(members, links, known).where(F.col("size") >= 8)
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of sections and statements that still hold markup."""
     return markup.residue(table(spark, sf_dir, "sections"), table(spark, sf_dir, "statements"))
@@ -103,6 +118,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_pieces": p2_pieces,
     "p3_found": p3_found,
     "p3_top5": p3_top5,
+    "p4_found": p4_found,
+    "p4_clusters": p4_clusters,
     "p6_found": p6_found,
     "p6_plain": p6_plain,
     "p7_ids": p7_ids,
