@@ -6,5 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quirework.plans import rejected_rows
+
+MODULES = (rejected_rows,)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+for _module in MODULES:
+    QUERIES.update(_module.QUERIES)
+    ORACLE.update(_module.ORACLE)
