@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirework.plans import rejected_rows
+from quirework.plans import papers, rejected_rows
 
-MODULES = (rejected_rows,)
+MODULES = (rejected_rows, papers)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
