@@ -37,26 +37,26 @@ def candidates(queries: DataFrame, passages: DataFrame, k: int, check: bool = Tr
     return near.where("target_id <> query_id")
 
 
-def ranked(found: DataFrame, k: int) -> DataFrame:
-    """The candidates of the k target papers with the best pair of each query paper, with column rank; all pairs of a kept paper stay.
-
-    Papers of equal similarity keep the order of their first pair.
-    """
+def _by_best(pairs: DataFrame, k: int, score: str) -> DataFrame:
+    """The pairs of each query's k target papers of highest best score, with column rank; equal papers keep the order of their first pair."""
     if k <= 0:
-        return found.withColumn("rank", F.lit(0)).where(F.lit(False))
-    papers = found.groupBy("query_id", "target_id").agg(F.max("similarity").alias("best"), F.min(F.struct("position", "query_passage_id", "target_passage_id")).alias("first"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("best"), "first")
-    papers = papers.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return found.join(papers.select("query_id", "target_id", "rank"), ["query_id", "target_id"])
+        return pairs.withColumn("rank", F.lit(0)).where(F.lit(False))
+    paper = Window.partitionBy("query_id", "target_id")
+    rows = pairs.withColumn("__best", F.max(score).over(paper)).withColumn("__first", F.min(F.struct("position", "query_passage_id", "target_passage_id")).over(paper))
+    order = Window.partitionBy("query_id").orderBy(F.desc("__best"), "__first")
+    return rows.withColumn("rank", F.dense_rank().over(order)).where(F.col("rank") <= k).drop("__best", "__first")
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """The candidates of the k target papers with the best pair of each query paper, with column rank; all pairs of a kept paper stay."""
+    return _by_best(found, k, "similarity")
 
 
 def reranked(found: DataFrame, k: int, scorer: Callable[[DataFrame], DataFrame], score_col: str = "score") -> DataFrame:
     """As ``ranked`` but papers order by their best score; similarity stays. scorer adds score_col to every pair; a pair without a score is an error."""
-    scored = scorer(found).withColumn(score_col, F.coalesce(score_col, F.raise_error(F.lit("the reranker left a pair without a score")).cast("double")))
-    papers = scored.groupBy("query_id", "target_id").agg(F.max(score_col).alias("best"), F.min(F.struct("position", "query_passage_id", "target_passage_id")).alias("first"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("best"), "first")
-    papers = papers.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return scored.join(papers.select("query_id", "target_id", "rank"), ["query_id", "target_id"])
+    scored = scorer(found)
+    given = F.coalesce(score_col, F.raise_error(F.lit("the reranker left a pair without a score")).cast("double"))
+    return _by_best(scored.withColumn(score_col, given), k, score_col)
 
 
 def find_similar(queries: DataFrame, passages: DataFrame, titles: DataFrame, k: int, scorer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

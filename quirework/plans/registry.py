@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirework.plans import papers, rejected_rows
+from quirework.plans import labels, papers, rejected_rows, search_queries
 
-MODULES = (rejected_rows, papers)
+MODULES = (rejected_rows, papers, search_queries, labels)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
