@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirework.plans import labels, papers, rejected_rows, search_queries
+from quirework.plans import cluster_queries, labels, papers, rejected_rows, search_queries, storage_queries, text_queries
 
-MODULES = (rejected_rows, papers, search_queries, labels)
+MODULES = (rejected_rows, papers, search_queries, labels, cluster_queries, text_queries, storage_queries)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
