@@ -2,38 +2,71 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirework.functions import distributions as D
 
-#: Query passages of one call at most: their vectors are sent to every task, so their number is checked.
+#: Query passages of one call at most: their vectors go to every task, so their number is checked.
 MAX_QUERY_ROWS = 4096
 
 
-def candidates(queries: DataFrame, passages: DataFrame, k: int, check: bool = True) -> DataFrame:
+FOUND = "query_id string, query_passage_id string, target_id string, target_passage_id string, similarity double"
+
+
+def _units(column: pa.Array) -> np.ndarray:
+    """Unit vectors of a column of equally long, usable vectors."""
+    rows = column.to_pylist()
+    x = np.array(rows, np.float64).reshape(len(rows), -1)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _nearest(q: np.ndarray, ids: list[str], passages: list[str], k: int):
+    """Of each batch and query passage the k + 1 most similar rows and those that tie with the last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows or not len(q):
+                continue
+            close = np.round(q @ _units(batch.column(2)).T, 6)
+            last = np.partition(close, -(k + 1), axis=1)[:, -(k + 1)] if close.shape[1] > k else np.full(len(q), -2.0)
+            i, j = np.nonzero(close >= last[:, None])
+            at = pa.array(j)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([ids[x] for x in i], pa.string()), pa.array([passages[x] for x in i], pa.string()), batch.column(0).take(at), batch.column(1).take(at), pa.array(close[i, j])],
+                names=["query_id", "query_passage_id", "target_id", "target_passage_id", "similarity"],
+            )
+
+    return run
+
+
+def candidates(queries: DataFrame, passages: DataFrame, k: int) -> DataFrame:
     """(query_id, query_passage_id, target_id, target_passage_id, similarity, position) of the k + 1 nearest passages of each query passage, without those of the query itself.
 
     queries, passages: (arxiv_id, passage_id, embedding). Unusable vectors take no
-    part. The query side is a stated, bounded set: it is counted, and broadcast
-    against all passages, which are read once and never shuffled whole, since
-    each task keeps only its k + 1 best per query passage before the exchange.
+    part. The queries are a stated, bounded set: beyond MAX_QUERY_ROWS it is an
+    error, so their matrix may go to every task. All passages are read once and
+    never shuffled: a task multiplies its batches with the query matrix and keeps
+    only the k + 1 best per query passage. Ties go to the smaller passage id.
     """
-    q = queries.where(D.usable_vector(F.col("embedding"))).select(
-        F.col("arxiv_id").alias("query_id"), F.col("passage_id").alias("query_passage_id"), D.unit(F.col("embedding")).alias("q")
-    )
-    if check and q.limit(MAX_QUERY_ROWS + 1).count() > MAX_QUERY_ROWS:
+    usable = D.usable_vector(F.col("embedding"))
+    rows = queries.where(usable).select("arxiv_id", "passage_id", F.col("embedding").cast("array<double>").alias("v")).orderBy("passage_id").limit(MAX_QUERY_ROWS + 1).collect()
+    if len(rows) > MAX_QUERY_ROWS:
         raise ValueError(f"more than {MAX_QUERY_ROWS} query passages; search them in blocks")
-    p = passages.where(D.usable_vector(F.col("embedding"))).select(
-        F.col("arxiv_id").alias("target_id"), F.col("passage_id").alias("target_passage_id"), D.unit(F.col("embedding")).alias("v")
-    )
-    pairs = p.join(F.broadcast(q), F.size("q") == F.size("v"), "inner").select(
-        "query_id", "query_passage_id", "target_id", "target_passage_id", F.round(D.dot(F.col("q"), F.col("v")), 6).alias("similarity")
-    )
+    found = None
+    for dim in sorted({len(r.v) for r in rows}) or [0]:
+        own = [r for r in rows if len(r.v) == dim]
+        q = np.array([r.v for r in own], np.float64).reshape(len(own), dim)
+        q = q / np.linalg.norm(q, axis=1, keepdims=True)
+        p = passages.where(usable & (F.size("embedding") == dim)).select("arxiv_id", "passage_id", F.col("embedding").cast("array<double>").alias("v"))
+        part = p.mapInArrow(_nearest(q, [r.arxiv_id for r in own], [r.passage_id for r in own], k), FOUND)
+        found = part if found is None else found.unionByName(part)
     order = Window.partitionBy("query_passage_id").orderBy(F.desc("similarity"), "target_passage_id")
-    near = pairs.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k + 1)
+    near = found.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k + 1)
     return near.where("target_id <> query_id")
 
 
@@ -67,19 +100,35 @@ def find_similar(queries: DataFrame, passages: DataFrame, titles: DataFrame, k:
     return out.join(named, "target_id", "left").select("query_id", "rank", "target_id", "target_title", "query_passage_id", "target_passage_id", "similarity")
 
 
-def pairs_within_paper(passages: DataFrame, threshold: float) -> DataFrame:
+def _block_pairs(threshold: float):
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        side, ids, v = rows.column("side").to_numpy(), rows.column("passage_id").to_pylist(), _units(rows.column("v"))
+        left, right = np.flatnonzero(side <= 0), np.flatnonzero(side >= 0)
+        close = np.round(v[left] @ v[right].T, 6)
+        i, j = np.nonzero(close >= threshold)
+        pairs = [(*sorted((ids[left[x]], ids[right[y]])), close[x, y]) for x, y in zip(i, j, strict=True) if ids[left[x]] != ids[right[y]]]
+        pairs = sorted(set(pairs))
+        return pa.table(
+            {"arxiv_id": pa.array([key[0].as_py()] * len(pairs), pa.string()), "a": pa.array([x[0] for x in pairs], pa.string()), "b": pa.array([x[1] for x in pairs], pa.string()), "similarity": pa.array([float(x[2]) for x in pairs], pa.float64())}
+        )
+
+    return run
+
+
+def pairs_within_paper(passages: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
     """(arxiv_id, a, b, similarity) of a paper's passage pairs of at least that cosine, each once.
 
-    An equi-join on the paper, so no pair across papers is formed. Papers of many
-    passages are dealt in blocks, so that one paper's pairs spread over tasks.
+    No pair across papers is formed. A paper of many passages is dealt in blocks
+    and its block pairs go to different tasks, so none gathers a whole paper; only
+    pairs that reach the threshold come out.
     """
-    rows = passages.where(D.usable_vector(F.col("embedding"))).select("arxiv_id", "passage_id", D.unit(F.col("embedding")).alias("v"))
-    n = F.ceil(F.count("*").over(Window.partitionBy("arxiv_id")) / 256).cast("int")
-    rows = rows.withColumn("n", n).withColumn("block", F.pmod(F.xxhash64("passage_id"), F.col("n")).cast("int"))
-    left = rows.select("arxiv_id", F.col("passage_id").alias("a"), F.col("v").alias("va"), F.col("block").alias("x"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("y"))
-    right = rows.select("arxiv_id", F.col("passage_id").alias("b"), F.col("v").alias("vb"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("x"), F.col("block").alias("y"))
-    close = F.round(D.dot(F.col("va"), F.col("vb")), 6)
-    return left.join(right, ["arxiv_id", "x", "y"]).where("a < b").withColumn("similarity", close).where(F.col("similarity") >= threshold).select("arxiv_id", "a", "b", "similarity")
+    rows = passages.where(D.usable_vector(F.col("embedding")) & F.col("arxiv_id").isNotNull()).select("arxiv_id", "passage_id", F.col("embedding").cast("array<double>").alias("v"))
+    n = rows.groupBy("arxiv_id", F.size("v").alias("dim")).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("n"))
+    rows = rows.withColumn("dim", F.size("v")).join(n, ["arxiv_id", "dim"]).withColumn("at", F.pmod(F.xxhash64("passage_id"), F.col("n")).cast("int"))
+    rows = rows.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    side = F.when(F.col("at") == F.col("to"), 0).when(F.col("at") < F.col("to"), -1).otherwise(1)
+    dealt = rows.select("arxiv_id", "dim", F.least("at", "to").alias("x"), F.greatest("at", "to").alias("y"), side.alias("side"), "passage_id", "v")
+    return dealt.groupBy("arxiv_id", "dim", "x", "y").applyInArrow(_block_pairs(threshold), "arxiv_id string, a string, b string, similarity double")
 
 
 def similar_papers(queries: DataFrame, passages: DataFrame, k: int, pairs_per_paper: int = 3) -> DataFrame:
