@@ -85,8 +85,8 @@ def sections(latex: str) -> list[tuple[str, str, str]]:
         end = closing(body, m.end())
         if end > 0 and body.count("{", m.end(), end) < 20:
             heads.append((m.start(), end, m.group(1).lower(), body[m.end() + 1 : end - 1].strip()))
-    stops = [h[0] for h in heads[1:]] + [len(body)]
-    return [(kind, title, body[end:stop].strip()) for (_, end, kind, title), stop in zip(heads, stops, strict=True)]
+    stops = [*(h[0] for h in heads[1:]), len(body)]
+    return [(kind, title, body[end:stop].strip()) for (_, end, kind, title), stop in zip(heads, stops, strict=False)]
 
 
 class _Reader:

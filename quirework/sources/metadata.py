@@ -54,7 +54,7 @@ def parse_records(lines: DataFrame, value: str = "value") -> DataFrame:
 
 def first_created(record: Column) -> Column:
     """Time stamp of the first version, in the stamp's own zone; null if missing or unreadable."""
-    text = F.regexp_extract(record["versions"][0]["created"], r"([0-9]{1,2} [A-Z][a-z]{2} [0-9]{4} [0-9]{2}:[0-9]{2}:[0-9]{2})", 1)
+    text = F.regexp_extract(F.get(record["versions"], F.lit(0))["created"], r"([0-9]{1,2} [A-Z][a-z]{2} [0-9]{4} [0-9]{2}:[0-9]{2}:[0-9]{2})", 1)
     return F.try_to_timestamp(text, F.lit("d MMM yyyy HH:mm:ss"))
 
 
