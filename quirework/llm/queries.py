@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirework.llm import near_duplicates as nd
+from quirework.llm.oracle import ORACLE
 from quirework.llm import clusters, markup, mixing, neighbours, repetition, splitting, tokens
 from quirework.scratch import Scratch
 from quirework.session import table
 
+__all__ = ["ORACLE", "QUERIES"]
+
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of passages of one group of near-duplicates."""
@@ -128,6 +131,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p9_found": p9_found,
     "p9_shares": p9_shares,
 }
-
-#: SQL for DuckDB where it can state the problem on whole tables in reasonable time.
-ORACLE: dict[str, str] = {}
