@@ -21,7 +21,10 @@ def top_by(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: st
 
 
 def numbered_batches(df: DataFrame, order: list[Column], size: int, group: list[str] | None = None) -> DataFrame:
-    """Column batch: 1 for the first ``size`` rows of a group in order, 2 for the next, and so on."""
+    """Column batch: 1 for the first ``size`` rows of a group in order, 2 for the next, and so on.
+
+    Without ``group`` one task numbers all rows: for lists of ids only.
+    """
     if size < 1:
         raise ValueError("batch size must be positive")
     w = Window.partitionBy(*(group or [])).orderBy(*order) if group else Window.orderBy(*order)

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from quirework.functions import distributions as D
 
-#: Query passages of one call at most: their vectors go to every task, so their number is checked.
+#: Query passages whose matrix goes to every task at most, by a count; more are searched in blocks of so many.
 MAX_QUERY_ROWS = 4096
+#: Passages of a block that meets a block of queries.
+PASSAGE_BLOCK = 16384
 
 
 FOUND = "query_id string, query_passage_id string, target_id string, target_passage_id string, similarity double"
@@ -44,32 +46,63 @@ def _nearest(q: np.ndarray, ids: list[str], passages: list[str], k: int):
     return run
 
 
+def _block_nearest(k: int):
+    """Of one block of queries and one of passages: each query's k + 1 most similar passages and those that tie with the last."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        asked = np.asarray(rows.column("asked"))
+        q, p = rows.take(np.flatnonzero(asked)), rows.take(np.flatnonzero(~asked))
+        ids, passages = q.column("arxiv_id").to_pylist(), q.column("passage_id").to_pylist()
+        out = []
+        if q.num_rows and p.num_rows:
+            part = pa.RecordBatch.from_arrays([p.column(c).combine_chunks() for c in ("arxiv_id", "passage_id", "v")], names=["arxiv_id", "passage_id", "v"])
+            out = list(_nearest(_units(q.column("v")), ids, passages, k)(iter([part])))
+        schema = pa.schema([(n, pa.string()) for n in ("query_id", "query_passage_id", "target_id", "target_passage_id")] + [("similarity", pa.float64())])
+        return pa.Table.from_batches(out, schema) if out else schema.empty_table()
+
+    return run
+
+
 def candidates(queries: DataFrame, passages: DataFrame, k: int) -> DataFrame:
     """(query_id, query_passage_id, target_id, target_passage_id, similarity, position) of the k + 1 nearest passages of each query passage, without those of the query itself.
 
     queries, passages: (arxiv_id, passage_id, embedding). Unusable vectors take no
-    part. The queries are a stated, bounded set: beyond MAX_QUERY_ROWS it is an
-    error, so their matrix may go to every task. All passages are read once and
-    never shuffled: a task multiplies its batches with the query matrix and keeps
-    only the k + 1 best per query passage. Ties go to the smaller passage id.
+    part; vectors compare with those of their own length. Up to MAX_QUERY_ROWS
+    queries, by a count, go to every task as one matrix: all passages are then
+    read once and never shuffled, and a task keeps only the k + 1 best per query
+    passage. More queries meet the passages in block pairs, each in one task,
+    with the same result. Ties go to the smaller passage id.
     """
     usable = D.usable_vector(F.col("embedding"))
-    rows = queries.where(usable).select("arxiv_id", "passage_id", F.col("embedding").cast("array<double>").alias("v")).orderBy("passage_id").limit(MAX_QUERY_ROWS + 1).collect()
-    if len(rows) > MAX_QUERY_ROWS:
-        raise ValueError(f"more than {MAX_QUERY_ROWS} query passages; search them in blocks")
-    found = None
-    for dim in sorted({len(r.v) for r in rows}) or [0]:
-        own = [r for r in rows if len(r.v) == dim]
-        q = np.array([r.v for r in own], np.float64).reshape(len(own), dim)
-        q = q / np.linalg.norm(q, axis=1, keepdims=True)
-        p = passages.where(usable & (F.size("embedding") == dim)).select("arxiv_id", "passage_id", F.col("embedding").cast("array<double>").alias("v"))
-        part = p.mapInArrow(_nearest(q, [r.arxiv_id for r in own], [r.passage_id for r in own], k), FOUND)
-        found = part if found is None else found.unionByName(part)
+    asked = queries.where(usable).select("arxiv_id", "passage_id", F.col("embedding").cast("array<double>").alias("v"))
+    every = passages.where(usable).select("arxiv_id", "passage_id", F.col("embedding").cast("array<double>").alias("v"))
+    n = asked.count()
+    if n > MAX_QUERY_ROWS:
+        found = _in_blocks(asked, every, k, n)
+    else:
+        found = None
+        rows = asked.orderBy("passage_id").collect()  # at most MAX_QUERY_ROWS rows
+        for dim in sorted({len(r.v) for r in rows}) or [0]:
+            own = [r for r in rows if len(r.v) == dim]
+            q = np.array([r.v for r in own], np.float64).reshape(len(own), dim)
+            q = q / np.linalg.norm(q, axis=1, keepdims=True)
+            part = every.where(F.size("v") == dim).mapInArrow(_nearest(q, [r.arxiv_id for r in own], [r.passage_id for r in own], k), FOUND)
+            found = part if found is None else found.unionByName(part)
     order = Window.partitionBy("query_passage_id").orderBy(F.desc("similarity"), "target_passage_id")
     near = found.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k + 1)
     return near.where("target_id <> query_id")
 
 
+def _in_blocks(asked: DataFrame, every: DataFrame, k: int, n: int) -> DataFrame:
+    x, y = max(1, -(-every.count() // PASSAGE_BLOCK)), max(1, -(-n // MAX_QUERY_ROWS))
+    deal = lambda c: F.pmod(F.xxhash64("passage_id"), F.lit(c)).cast("int")
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.lit(c - 1)))
+    p = every.select("arxiv_id", "passage_id", "v", F.lit(False).alias("asked"), deal(x).alias("x"), each(y).alias("y"))
+    q = asked.select("arxiv_id", "passage_id", "v", F.lit(True).alias("asked"), each(x).alias("x"), deal(y).alias("y"))
+    both = p.unionByName(q).withColumn("dim", F.size("v")).repartition(int(min(x * y, 100_000)), "dim", "x", "y")
+    return both.groupBy("dim", "x", "y").applyInArrow(_block_nearest(k), FOUND)
+
+
 def _by_best(pairs: DataFrame, k: int, score: str) -> DataFrame:
     """The pairs of each query's k target papers of highest best score, with column rank; equal papers keep the order of their first pair."""
     if k <= 0:
@@ -139,8 +172,32 @@ def similar_papers(queries: DataFrame, passages: DataFrame, k: int, pairs_per_pa
     """
     scores = passages.select(F.col("passage_id").alias("target_passage_id"), F.coalesce("score", F.lit(0.0)).alias("t"))
     own = queries.select(F.col("passage_id").alias("query_passage_id"), F.coalesce("score", F.lit(0.0)).alias("s"))
-    found = candidates(queries, passages, k).join(scores, "target_passage_id").join(F.broadcast(own), "query_passage_id")
+    found = candidates(queries, passages, k).join(scores, "target_passage_id").join(own, "query_passage_id")
     found = found.withColumn("weighted", F.round(F.col("similarity") * F.col("s") * F.col("t"), 6))
     w = Window.partitionBy("query_id", "target_id").orderBy(F.desc("weighted"), "query_passage_id", "target_passage_id")
     best = found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= pairs_per_paper)
     return best.groupBy("query_id", "target_id").agg(F.round(F.avg("weighted"), 6).alias("score"), F.count("*").alias("pairs"))
+
+
+def best_labels(queries: DataFrame, rows: DataFrame, deal: int = 64) -> DataFrame:
+    """(query_id, label, best): the highest dot product of each query with the rows of every other label.
+
+    queries: (query_id, own, q); rows: (label, embedding). Rows are dealt to
+    ``deal`` parts that each meet all queries, and only one number per query and
+    label leaves a part.
+    """
+
+    def run(part: pa.Table) -> pa.Table:
+        asked = np.asarray(part.column("asked"))
+        q, p = part.take(np.flatnonzero(asked)), part.take(np.flatnonzero(~asked))
+        if not q.num_rows or not p.num_rows:
+            return pa.table({"query_id": pa.array([], pa.int64()), "label": pa.array([], pa.int32()), "best": pa.array([], pa.float64())})
+        close = np.round(np.array(q.column("v").to_pylist(), np.float64) @ np.array(p.column("v").to_pylist(), np.float64).T, 6)
+        label, own, ids = p.column("label").to_numpy(), q.column("label").to_numpy(), q.column("id").to_numpy()
+        out = [(ids[own != c], np.full((own != c).sum(), c), close[own != c][:, label == c].max(axis=1)) for c in np.unique(label)]
+        return pa.table({"query_id": pa.array(np.concatenate([o[0] for o in out]), pa.int64()), "label": pa.array(np.concatenate([o[1] for o in out]).astype(np.int32)), "best": pa.array(np.concatenate([o[2] for o in out]))})
+
+    p = rows.select(F.lit(0).cast("long").alias("id"), F.col("label").cast("int"), F.col("embedding").cast("array<double>").alias("v"), F.lit(False).alias("asked"), F.pmod(F.xxhash64("embedding"), F.lit(deal)).alias("part"))
+    q = queries.select(F.col("query_id").alias("id"), F.col("own").cast("int").alias("label"), F.col("q").cast("array<double>").alias("v"), F.lit(True).alias("asked"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(deal - 1).cast("long"))).alias("part"))
+    both = p.where("v is not null").unionByName(q.where("v is not null"))
+    return both.groupBy("part", F.size("v").alias("dim")).applyInArrow(run, "query_id long, label int, best double").groupBy("query_id", "label").agg(F.max("best").alias("best"))

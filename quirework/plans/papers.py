@@ -214,15 +214,17 @@ def x32_ids_of_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """select sha256(string_agg(arxiv_id || ':' || coalesce(title, '') || ':' || coalesce(model_name, ''), chr(10) order by arxiv_id)) as fingerprint, primary_category
-    from (select arxiv_id, min(title) title, min(model_name) model_name, min(primary_category) primary_category from papers group by 1) group by primary_category"""
+    """with p as (select arxiv_id, min(title) title, min(model_name) model_name, min(primary_category) primary_category from papers group by 1),
+    parts as (select primary_category, left(arxiv_id, 4) as part, sha256(string_agg(arxiv_id || ':' || coalesce(title, '') || ':' || coalesce(model_name, ''), chr(10) order by arxiv_id)) as digest from p group by all)
+    select primary_category, sha256(string_agg(digest, chr(10) order by part)) as fingerprint from parts group by 1"""
 )
 def a20_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ordered fingerprint of each category's papers."""
+    """Ordered fingerprint of each category's papers, in two levels: the papers of one month, then the months, so no list grows with a category."""
     p = table(spark, sf_dir, "papers").groupBy("arxiv_id").agg(F.min("title").alias("title"), F.min("model_name").alias("model_name"), F.min("primary_category").alias("primary_category"))
     line = F.concat_ws(":", "arxiv_id", F.coalesce("title", F.lit("")), F.coalesce("model_name", F.lit("")))
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("arxiv_id", line.alias("line")))), lambda x: x["line"])
-    return p.groupBy("primary_category").agg(F.sha2(F.array_join(rows, "\n"), 256).alias("fingerprint"))
+    digest = lambda rows, value: F.sha2(F.array_join(F.transform(F.array_sort(rows), lambda x: x[value]), "\n"), 256)
+    parts = p.groupBy("primary_category", F.substring("arxiv_id", 1, 4).alias("part")).agg(digest(F.collect_list(F.struct("arxiv_id", line.alias("line"))), "line").alias("digest"))
+    return parts.groupBy("primary_category").agg(digest(F.collect_list(F.struct("part", "digest")), "digest").alias("fingerprint"))
 
 
 @query(

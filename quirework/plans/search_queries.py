@@ -14,8 +14,8 @@ query = Collected()
 
 _V = """select arxiv_id, passage_id, score, embedding::double[] as v, sqrt(list_dot_product(embedding::double[], embedding::double[])) as n
   from techniques where embedding is not null and len(embedding) = 64 and list_dot_product(embedding::double[], embedding::double[]) > 0"""
-_PICK = "select arxiv_id from (select arxiv_id, count(*) c from techniques group by 1) order by c desc, arxiv_id limit 3"
-_NEAR = f"""with t as ({_V}), q as (select * from t where arxiv_id in ({_PICK})),
+_PICK = "substr(md5(arxiv_id), 1, 2) < '0d'"
+_NEAR = f"""with t as ({_V}), q as (select * from t where {_PICK}),
   pairs as (select q.arxiv_id query_id, q.passage_id query_passage_id, t.arxiv_id target_id, t.passage_id target_passage_id,
     round(list_dot_product(q.v, t.v) / (q.n * t.n), 6) similarity, q.score s, t.score t_score from q, t),
   near as (select *, row_number() over (partition by query_passage_id order by similarity desc, target_passage_id) as position from pairs
@@ -24,9 +24,8 @@ _NEAR = f"""with t as ({_V}), q as (select * from t where arxiv_id in ({_PICK}))
 
 
 def query_papers(techniques: DataFrame) -> DataFrame:
-    """The passages of the three papers with most passages: a stated query set of bounded size is what a caller of the search gives."""
-    top = techniques.groupBy("arxiv_id").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "arxiv_id").limit(3)
-    return techniques.join(F.broadcast(top.select("arxiv_id")), "arxiv_id", "left_semi")
+    """The stated query set: the passages of every 20th paper by the digest of its id, searched against all rows."""
+    return techniques.where(F.substring(F.md5("arxiv_id"), 1, 2) < "0d")
 
 
 def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,18 +115,18 @@ def x42_unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with e as (select vec_id, label, embedding::double[] v from embeddings), q as (select * from e where vec_id in (select vec_id from e order by vec_id limit 10)),
+    """with e as (select vec_id, label, embedding::double[] v from embeddings), q as (select * from e where vec_id % 20 = 0),
   pairs as (select q.vec_id as query_id, e.label, max(round(list_dot_product(q.v, e.v), 6)) as best from q, e where q.label <> e.label group by all)
   select query_id, label, best from pairs qualify row_number() over (partition by query_id order by best desc, label) <= 3"""
 )
 def w3_best_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For ten given query vectors the three other labels with the best vector."""
+    """For every 20th vector the three other labels with the best vector."""
     from quirework.operators.ranking import top_by
 
     e = table(spark, sf_dir, "embeddings")
-    q = e.orderBy("vec_id").limit(10).select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"), F.col("embedding").alias("q"))
-    pairs = e.join(F.broadcast(q), F.col("own") != F.col("label")).groupBy("query_id", "label").agg(F.max(F.round(D.dot(F.col("q"), F.col("embedding")), 6)).alias("best"))
-    return top_by(pairs, ["query_id"], [F.desc("best"), F.col("label")], 3)
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"), F.col("embedding").alias("q"))
+    best = S.best_labels(q, e.select("label", "embedding"))
+    return top_by(best, ["query_id"], [F.desc("best"), F.col("label")], 3)
 
 
 QUERIES, ORACLE = query.queries, query.oracle

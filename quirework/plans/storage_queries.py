@@ -100,11 +100,10 @@ def x46_json_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", keys.isNotNull().alias("is_object"), F.array_sort(keys).alias("keys"))
 
 
-@query("select cluster_id, to_json(list(arxiv_id order by arxiv_id))::varchar as members from (select distinct cluster_id, arxiv_id from clusters where cluster_id > 3) group by 1")
+@query("select arxiv_id, to_json(min(authors))::varchar as authors from papers where authors is not null group by 1")
 def x49_json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lists as JSON inside a field."""
-    c = table(spark, sf_dir, "clusters").where("cluster_id > 3").select("cluster_id", "arxiv_id").distinct()
-    return c.groupBy("cluster_id").agg(F.to_json(F.array_sort(F.collect_list("arxiv_id"))).alias("members"))
+    """Author lists as JSON inside a field."""
+    return table(spark, sf_dir, "papers").where("authors is not null").groupBy("arxiv_id").agg(F.min("authors").alias("authors")).select("arxiv_id", F.to_json("authors").alias("authors"))
 
 
 @query("select arxiv_id, sha256(coalesce(title, '') || chr(10) || coalesce(abstract, '')) as fingerprint from (select arxiv_id, min(title) title, min(abstract) abstract from papers group by 1) where arxiv_id not in (select arxiv_id from sections)")

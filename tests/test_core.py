@@ -120,9 +120,12 @@ def test_candidates_and_limits(spark, monkeypatch):
     assert search.candidates(df.limit(0), df, 3).count() == 0
     pairs = search.pairs_within_paper(df, 0.5, block=1).collect()
     assert [(r.a, r.b) for r in pairs] == [("a1", "a2")]
-    monkeypatch.setattr(search, "MAX_QUERY_ROWS", 2)
-    with pytest.raises(ValueError):
-        search.candidates(df, df, 1)
+    rng = np.random.default_rng(1)
+    many = spark.createDataFrame([(f"p{i % 7}", f"m{i:03d}", [float(t) for t in rng.integers(-2, 3, 4)]) for i in range(120)], df.schema)
+    whole = sorted(map(tuple, search.candidates(many, many, 2).collect()))
+    monkeypatch.setattr(search, "MAX_QUERY_ROWS", 10)
+    monkeypatch.setattr(search, "PASSAGE_BLOCK", 30)
+    assert sorted(map(tuple, search.candidates(many, many, 2).collect())) == whole and len(whole) > 100
 
 
 # Distributions, sampling, metrics.
