@@ -37,7 +37,8 @@ _VALUE = r"""\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'<>=`]+)"""
 _TAG = rf"</?(?i:{'|'.join(ELEMENTS)})(?:\s+(?:[A-Za-z_:][\w:.-]*{_VALUE}|(?i:{_FLAGS.replace(' ', '|')})))*\s*/?>"
 _REFERENCE = r"&(?:\#[0-9]{1,7}|\#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 
-#: HTML, Markdown and wiki markup. Emphasis opens after a blank or an opening sign and closes before a blank or a closing one, so products and primes are text.
+#: HTML, Markdown and wiki markup. Emphasis opens after a blank or an opening sign and closes before a blank or a closing one, so products and primes are text;
+#: it ends before the next mark of its kind, a blank line or 4,000 characters, which keeps the scan linear in the text.
 _LIGHT = re.compile(
     rf"""
       (?P<comment><!--.*?-->|<!--)
@@ -56,12 +57,12 @@ _LIGHT = re.compile(
     | (?P<atx>^[ ]{{0,3}}\#{{1,6}}[ \t]+(?=\S))
     | (?P<setext>(?<=\S\n)[ ]{{0,3}}(?:={{3,}}|-{{3,}})[ \t]*$)
     | (?P<wikihead>^[ \t]*(?P<eq>={{2,6}})[ \t]*[^=\s\n](?:[^=\n]*[^=\s\n])?[ \t]*(?P=eq)[ \t]*\r?$)
-    | (?P<bold>(?<![^\W\u3040-\u9fff])(?<!\*)\*{{2,3}}(?=[^\s*])[^\n]*?(?:\n[^\n]+?)??(?<=[^\s*])\*{{2,3}}(?![^\W\u3040-\u9fff]|\*))
-    | (?P<under>(?<![^\W\u3040-\u9fff])_{{2,3}}(?=[^\s_])[^\n]*?(?:\n[^\n]+?)??(?<=[^\s])_{{2,3}}(?![^\W\u3040-\u9fff]))
-    | (?P<strike>~~(?=[^\s~])[^\n]*?(?:\n[^\n]+?)??(?<=[^\s~])~~(?!~))
-    | (?P<quote>(?<![\w'’)\]}}])'{{2,5}}(?=[^\s'])[^\n]*?(?:\n[^\n]+?)??(?<=[^\s'])'{{2,5}}(?![\w'(]))
-    | (?P<star>(?<![\w*^)\]}}|])\*(?=[^\s*])[^*\n]*?(?:\n[^*\n]+?)??(?<=[^\s*])\*(?![\w*(]))
-    | (?P<line>(?<![\w_^)\]}}\\])_(?=[^\s_])[^_\n]*?(?:\w_\w[^_\n]*?)*(?:\n[^_\n]+?)??(?<=[^\s_])_(?![\w_({{]))
+    | (?P<bold>(?<![^\W\u3040-\u9fff])(?<!\*)\*{{2,3}}(?=[^\s*])(?:[^*\n]|\*(?!\*)|\n(?!\s*\n)){{1,4000}}?(?<=[^\s*])\*{{2,3}}(?![^\W\u3040-\u9fff]|\*))
+    | (?P<under>(?<![^\W\u3040-\u9fff])_{{2,3}}(?=[^\s_])(?:[^_\n]|_(?!_)|\n(?!\s*\n)){{1,4000}}?(?<=[^\s])_{{2,3}}(?![^\W\u3040-\u9fff]))
+    | (?P<strike>~~(?=[^\s~])(?:[^~\n]|~(?!~)|\n(?!\s*\n)){{1,4000}}?(?<=[^\s~])~~(?!~))
+    | (?P<quote>(?<![\w'’)\]}}])'{{2,5}}(?=[^\s'])(?:[^'\n]|'(?!')|\n(?!\s*\n)){{1,4000}}?(?<=[^\s'])'{{2,5}}(?![\w'(]))
+    | (?P<star>(?<![\w*^)\]}}|])\*(?=[^\s*])[^*\n]{{0,2000}}?(?:\n[^*\n]{{1,2000}}?)??(?<=[^\s*])\*(?![\w*(]))
+    | (?P<line>(?<![\w_^)\]}}\\])_(?=[^\s_])[^_\n]{{0,2000}}?(?:\w_\w[^_\n]{{0,200}}?){{0,20}}(?:\n[^_\n]{{1,2000}}?)??(?<=[^\s_])_(?![\w_({{]))
     """,
     re.X | re.S | re.M,
 )
