@@ -29,6 +29,8 @@ TREES = 6
 MAX_DEPTH = 13
 SAMPLE_PER_LEAF = 32
 FACTOR = 4.0
+#: Shards that one task searches on average, so that what a task reads stays the same at any size.
+SHARDS_PER_TASK = 4
 LEAF = 256
 
 
@@ -284,6 +286,8 @@ def nearest(
     counts = {(r.space, r.dim): r.n for r in ids.groupBy("space", "dim").agg(F.count("*").alias("n")).collect()}  # one row a table and vector length
     fitted = routers(rows.mapInArrow(_whole, ROWS), counts, shard, trees)
     routed = rows.mapInArrow(_route(fitted), "space string, dim int, shard long, key long, v binary")
+    shards = sum(2 ** fitted[at][0].depth * len(fitted[at]) for at in counts)
+    routed = routed.repartition(int(np.clip(-(-shards // SHARDS_PER_TASK), 1, 100_000)), "space", "dim", "shard")
     found = routed.groupBy("space", "dim", "shard").applyInArrow(_search_shard(k + 3, least, factor), FOUND)
     found = found.groupBy("space", "a", "b").agg(F.max("cosine").alias("cosine"))
     best = Window.partitionBy("space", "a").orderBy(F.desc("cosine"))
