@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ GAP_WEIGHTS = (0.25, 1.25, 0.75, 0.25)
 CLASSES = 5
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once; an expression named inside a lambda is worked out again for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total(array: Column) -> Column:
     return F.aggregate(array, F.lit(0.0), lambda acc, x: acc + x)
 
@@ -26,8 +33,7 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """The array scaled to length one; null for a zero or null vector."""
-    length = norm(a)
-    return F.when(length > 0, F.transform(a.cast("array<double>"), lambda x: x / length))
+    return bound(norm(a), lambda length: F.when(length > 0, F.transform(a.cast("array<double>"), lambda x: x / length)))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -43,9 +49,8 @@ def usable_vector(a: Column) -> Column:
 
 
 def softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    powers = F.transform(logits.cast("array<double>"), lambda x: F.exp(x - top))
-    return F.transform(powers, lambda p: p / total(powers))
+    powers = bound(F.array_max(logits), lambda top: F.transform(logits.cast("array<double>"), lambda x: F.exp(x - top)))
+    return bound(powers, lambda p: bound(total(p), lambda whole: F.transform(p, lambda x: x / whole)))
 
 
 def is_distribution(masses: Column, classes: int = CLASSES) -> Column:
@@ -56,8 +61,8 @@ def is_distribution(masses: Column, classes: int = CLASSES) -> Column:
 
 def normalised(masses: Column, classes: int = CLASSES) -> Column:
     """Masses scaled to sum 1; an invalid distribution ends the query with an error."""
-    whole = total(masses.cast("array<double>"))
-    return F.when(is_distribution(masses, classes), F.transform(masses.cast("array<double>"), lambda x: x / whole)).otherwise(
+    scaled = bound(total(masses.cast("array<double>")), lambda whole: F.transform(masses.cast("array<double>"), lambda x: x / whole))
+    return F.when(is_distribution(masses, classes), scaled).otherwise(
         F.raise_error(F.lit("a distribution needs five finite non-negative masses with a positive sum")).cast("array<double>")
     )
 
@@ -94,4 +99,4 @@ def scaled_sigmoid(logit: Column, scale: float = 5.0) -> Column:
 def from_log_probabilities(values: Column) -> Column:
     """Probabilities of listed log-probabilities, scaled to sum 1; nulls count as none."""
     powers = F.transform(values, lambda x: F.coalesce(F.exp(x), F.lit(0.0)))
-    return F.transform(powers, lambda p: p / total(powers))
+    return bound(powers, lambda p: bound(total(p), lambda whole: F.transform(p, lambda x: x / whole)))

@@ -173,7 +173,7 @@ def similar_papers(queries: DataFrame, passages: DataFrame, k: int, pairs_per_pa
     scores = passages.select(F.col("passage_id").alias("target_passage_id"), F.coalesce("score", F.lit(0.0)).alias("t"))
     own = queries.select(F.col("passage_id").alias("query_passage_id"), F.coalesce("score", F.lit(0.0)).alias("s"))
     found = candidates(queries, passages, k).join(scores, "target_passage_id").join(own, "query_passage_id")
-    found = found.withColumn("weighted", F.round(F.col("similarity") * F.col("s") * F.col("t"), 6))
+    found = found.withColumn("weighted", F.col("similarity") * F.col("s") * F.col("t"))
     w = Window.partitionBy("query_id", "target_id").orderBy(F.desc("weighted"), "query_passage_id", "target_passage_id")
     best = found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= pairs_per_paper)
     return best.groupBy("query_id", "target_id").agg(F.round(F.avg("weighted"), 6).alias("score"), F.count("*").alias("pairs"))

@@ -20,10 +20,10 @@ from quirework.session import table
 query = Collected()
 
 _SOFT = "list_transform(list_transform({v}, lambda x: exp(6 * x)), lambda y: y / list_sum(list_transform({v}, lambda x: exp(6 * x))))"
-_SAMPLES = f"""samples as (select arxiv_id, split_part(passage_id, '::', 3)::int as section_id, (score * 1000)::int % 7 as paragraph_id, passage_id, passage as text,
+_SAMPLES = f"""samples as (select arxiv_id, split_part(passage_id, '::', 3)::int as section_id, floor(score * 1000)::int % 7 as paragraph_id, passage_id, passage as text,
   {_SOFT.format(v='embedding[1:5]::double[]')} as p, {_SOFT.format(v='embedding[6:10]::double[]')} as g
   from techniques where embedding is not null and len(embedding) >= 10 and score is not null
-  qualify row_number() over (partition by arxiv_id, split_part(passage_id, '::', 3)::int, (score * 1000)::int % 7 order by passage_id) = 1)"""
+  qualify row_number() over (partition by arxiv_id, split_part(passage_id, '::', 3)::int, floor(score * 1000)::int % 7 order by passage_id) = 1)"""
 _ENTROPY = "round(-(p[1]*ln(p[1])+p[2]*ln(p[2])+p[3]*ln(p[3])+p[4]*ln(p[4])+p[5]*ln(p[5])), 9)"
 _EXPECT = "round(p[1]+2*p[2]+3*p[3]+4*p[4]+5*p[5], 9)"
 _EMD = "round(0.25*abs(p[1]-g[1]) + 1.25*abs(p[1]-g[1]+p[2]-g[2]) + 0.75*abs(p[1]-g[1]+p[2]-g[2]+p[3]-g[3]) + 0.25*abs(p[1]-g[1]+p[2]-g[2]+p[3]-g[3]+p[4]-g[4]), 9)"
@@ -36,7 +36,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = t.select(
         "arxiv_id",
         F.split("passage_id", "::")[2].cast("int").alias("section_id"),
-        F.pmod(F.round(F.col("score") * 1000).cast("int"), F.lit(7)).alias("paragraph_id"),
+        F.pmod(F.floor(F.col("score") * 1000).cast("int"), F.lit(7)).alias("paragraph_id"),
         "passage_id",
         F.col("passage").alias("text"),
         D.softmax(six(1)).alias("predicted_dist"),

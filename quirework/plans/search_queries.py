@@ -72,8 +72,8 @@ def tc_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _NEAR
-    + """, w as (select query_id, target_id, round(similarity * coalesce(s, 0) * coalesce(t_score, 0), 6) as weighted, query_passage_id, target_passage_id from other
-    qualify row_number() over (partition by query_id, target_id order by round(similarity * coalesce(s, 0) * coalesce(t_score, 0), 6) desc, query_passage_id, target_passage_id) <= 3)
+    + """, w as (select query_id, target_id, similarity * coalesce(s, 0) * coalesce(t_score, 0) as weighted, query_passage_id, target_passage_id from other
+    qualify row_number() over (partition by query_id, target_id order by similarity * coalesce(s, 0) * coalesce(t_score, 0) desc, query_passage_id, target_passage_id) <= 3)
   select query_id, target_id, round(avg(weighted), 6) as score, count(*) as pairs from w group by all"""
 )
 def u16_similar_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
