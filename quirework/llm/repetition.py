@@ -2,8 +2,8 @@
 
 Every document gets its statistics in one pass without a shuffle. Gradient-boosted
 trees, fitted on a bounded sample, score them; the trees are flat numpy arrays of
-nodes and rise monotonically in the measures of repetition. What the score lets
-through is held against the exact definition.
+nodes and rise monotonically in the measures of repetition. The score is an output
+beside the exact share; the exact share alone decides what is a case.
 """
 
 from __future__ import annotations
@@ -24,8 +24,6 @@ RUN = 8
 SHARE = 0.25
 #: Documents, by hash order, that the trees are fitted on; all are scored.
 SAMPLE = 4000
-#: The score may lie so far below the share it estimates before a document is let go.
-SLACK = 0.15
 
 FEATURES = ["repeated_share", "repeated_short_runs", "top_pair_share", "top_run_share", "line_repeats", "sentence_repeats", "paragraph_repeats", "distinct_share", "log_words"]
 #: Signs of the monotonic constraints: more of any repeated content never lowers the score.
@@ -252,6 +250,6 @@ def repetition(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tr
 
 
 def repetitive(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE) -> DataFrame:
-    """(id) of the rows whose score comes near the share and whose exact repeated share reaches it, each id once."""
+    """(id) of the rows whose exact repeated share reaches the share, each id once; the score, fitted on a sample, drops none."""
     scored = repetition(df, id_col, text_col)
-    return scored.where((F.col("score") >= share - SLACK) & (F.col("words") >= RUN) & (F.col("repeated_share") >= share)).select(id_col).distinct()
+    return scored.where((F.col("words") >= RUN) & (F.col("repeated_share") >= share)).select(id_col).distinct()

@@ -60,3 +60,14 @@ def test_cases_of_a_table(spark):
     assert R.repetitive(df.limit(0)).count() == 0
     measures = {r.doc_id: r for r in R.repetition(df).collect()}
     assert measures[1000].words == 0 and measures[1000].repeated_share == 0 and measures[1002].repeated_share == 0
+
+
+def test_rare_cases_missed_by_the_sample_come_out(spark, monkeypatch):
+    """Three repetitive texts of 600, trees fitted on about 200: no leaf can isolate them."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(f"w{rng.randint(0, 90_000)}" for _ in range(60))) for i in range(597)]
+    rows += [(2000 + i, " ".join([f"r{i}x{j}" for j in range(40)] * 2)) for i in range(3)]
+    fitted = R.fit_on_sample
+    monkeypatch.setattr(R, "fit_on_sample", lambda rows, kind, sample: fitted(rows, kind, 200))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in R.repetitive(df).collect()} == {2000, 2001, 2002}
