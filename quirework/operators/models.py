@@ -12,9 +12,6 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows that a projection is fitted on at most; all rows are projected.
-FIT_ROWS = 20_000
-
 
 def scored(df: DataFrame, text: str, load: Callable[[], Callable[[list[str]], np.ndarray]], out: str = "logits", batch: int = 32) -> DataFrame:
     """The rows with an array column of a model's outputs. load builds the model once per Python worker; texts go in batches of like length."""
@@ -62,16 +59,42 @@ def pair_budget(a: Column, b: Column, most: int) -> tuple[Column, Column]:
     return F.slice(a, F.lit(1), ka), F.slice(b, F.lit(1), kb)
 
 
-def principal_axes(df: DataFrame, vector: str, dims: int = 2, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, axes) of principal component analysis, fitted on the ``fit_rows`` rows of least hash of their vector."""
-    rows = df.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v")).orderBy(F.xxhash64("v"), "v").limit(fit_rows).toPandas()
-    if not len(rows):
+def _moments(n: int, mean: np.ndarray, spread: np.ndarray, m: int, other: np.ndarray, more: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """(count, mean, summed outer products around the mean) of two sets together."""
+    gap = other - mean
+    return n + m, mean + gap * (m / (n + m)), spread + more + np.outer(gap, gap) * (n * m / (n + m))
+
+
+def principal_axes(df: DataFrame, vector: str, dims: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, axes) of principal component analysis of all rows with a vector.
+
+    Each partition gives its count, mean and outer products around its mean; the
+    driver joins them, so it holds one matrix of the vector's length a partition.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = None
+        for part in parts:
+            if len(part):
+                x = np.stack(part.v.to_numpy())
+                mean = x.mean(axis=0)
+                new = len(x), mean, (x - mean).T @ (x - mean)
+                own = _moments(*own, *new) if own else new
+        if own:
+            yield pd.DataFrame({"n": [own[0]], "mean": [own[1].tolist()], "spread": [own[2].ravel().tolist()]})
+
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v"))
+    total = None
+    for r in rows.mapInPandas(run, "n long, mean array<double>, spread array<double>").collect():
+        mean = np.array(r.mean)
+        new = r.n, mean, np.array(r.spread).reshape(len(mean), len(mean))
+        if total and len(total[1]) != len(mean):
+            raise ValueError("vectors of different lengths")
+        total = _moments(*total, *new) if total else new
+    if not total:
         raise ValueError("no vectors to fit on")
-    x = np.stack(rows.v.to_numpy())
-    mean = x.mean(axis=0)
-    _, _, axes = np.linalg.svd(x - mean, full_matrices=False)
-    axes = axes[:dims]
-    return mean, axes * np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(axis=1)])[:, None]
+    axes = np.linalg.eigh(total[2])[1].T[::-1][:dims]
+    return total[1], axes * np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(axis=1)])[:, None]
 
 
 def projected(df: DataFrame, id_col: str, vector: str, mean: np.ndarray, axes: np.ndarray) -> DataFrame:
