@@ -4,12 +4,14 @@ A vector becomes a set of tokens: for each of many random rotations, the axis
 and sign of the rotated vector's largest coordinate. Similar vectors share
 tokens, so bands of MinHash values of the sets give candidate pairs. Candidates
 must reach an exact Jaccard similarity of their sets and then the exact cosine;
-connected components of the links are the clusters.
+connected components of the links are the clusters. Inside a component, degrees
+are exact: every pair's cosine is counted in pairs of blocks, and none is kept.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,8 @@ BANDS = 128
 LEAST_JACCARD = 0.06
 #: Sign bits in which two vectors may differ: at a cosine of 0.8 about 13 of 64 on average, for unrelated ones 32.
 MAX_HAMMING = 24
+#: Directions of one block where degrees are counted; a part of no more is divided in one task.
+BLOCK = 2048
 SEED = 7
 
 
@@ -159,6 +163,8 @@ def split_loose(ids: DataFrame, comps: DataFrame, links: DataFrame, scratch: Scr
     smallest key among equals) becomes a medoid and takes the items linked to it;
     what is left is a new part. After the last round left items keep their part.
     Degrees are counted once by a map-side aggregate; no part is gathered in one task.
+    They are those of the given links, which must be complete; those of ``linked``
+    are not inside hot buckets, where ``parted`` counts all pairs.
     """
     rows = ids.groupBy("key").agg(F.count("*").alias("copies"))
     left = scratch.table(rows.join(comps, "key").select("key", F.col("comp").alias("part")), "parts")
@@ -186,18 +192,157 @@ def split_loose(ids: DataFrame, comps: DataFrame, links: DataFrame, scratch: Scr
     return ids.join(left, "key").select("id", "key", F.col("part").alias("cluster"))
 
 
-def described(members: DataFrame, links: DataFrame, known: DataFrame, typical: int = 3) -> DataFrame:
+def directions(df: DataFrame, id_col: str = "arxiv_id", vector_col: str = "area_embedding") -> DataFrame:
+    """(key, v): each direction of ``linked`` once, with its packed unit vector."""
+    return _space_rows(df, id_col, vector_col, "").mapInArrow(_whole, ROWS).groupBy("key").agg(F.min("v").alias("v"))
+
+
+def _blocked(a: DataFrame, b: DataFrame, work: Callable, fields: str, block: int) -> DataFrame:
+    """work(keys, vectors, keys, vectors) over every block pair of the rows of a and b, both (part, key, v), that are of one part; its columns come after part and a's key."""
+    n = [rows.groupBy("part").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias(name)) for rows, name in ((a, "na"), (b, "nb"))]
+    n = n[0].join(n[1], "part")
+    hashed = F.xxhash64("key")
+    left = a.join(n, "part").select("part", F.pmod(hashed, "na").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"), F.lit(True).alias("left"), "key", "v")
+    right = b.join(n, "part").select("part", F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("i"), F.pmod(hashed, "nb").cast("int").alias("j"), F.lit(False).alias("left"), "key", "v")
+    names = ["part", "key", *(f.split()[0] for f in fields.split(", "))]
+
+    def run(rows: pa.Table) -> pa.Table:
+        side = np.asarray(rows.column("left"))
+        x, y = rows.filter(pa.array(side)), rows.filter(pa.array(~side))
+        if not x.num_rows or not y.num_rows:
+            return pa.table({n: pa.array([], pa.float64() if n == "cosine" else pa.int64()) for n in names})
+        out = work(x.column("key").to_numpy(), _matrix(x.column("v")).astype(np.float64), y.column("key").to_numpy(), _matrix(y.column("v")).astype(np.float64))
+        return pa.table(dict(zip(names, [x.column("part"), x.column("key"), *out], strict=True)))
+
+    return left.unionByName(right).groupBy("part", "i", "j").applyInArrow(run, f"part long, key long, {fields}")
+
+
+def degrees(a: DataFrame, b: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """(part, key, degree): for every row of a, how many other rows of b in its part have a cosine of ``least`` or more."""
+
+    def work(ka: np.ndarray, x: np.ndarray, kb: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        return [((x @ y.T >= least) & (ka[:, None] != kb[None, :])).sum(axis=1)]
+
+    found = _blocked(a, b, work, "n long", block).groupBy("part", "key").agg(F.sum("n").alias("degree"))
+    return a.select("part", "key").join(found, ["part", "key"], "left").withColumn("degree", F.coalesce("degree", F.lit(0).cast("long")))
+
+
+def _nearest(a: DataFrame, b: DataFrame, block: int) -> DataFrame:
+    """(key, to): the row of b in the same part with the highest cosine, the smaller key among equals."""
+
+    def work(ka: np.ndarray, x: np.ndarray, kb: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        order = np.argsort(kb)
+        cosine = x @ y[order].T
+        at = cosine.argmax(axis=1)
+        return [cosine[np.arange(len(x)), at], kb[order][at]]
+
+    best = _blocked(a, b, work, "cosine double, to long", block).groupBy("key").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "to")).alias("m"))
+    return best.select("key", F.col("m.to").alias("to"))
+
+
+def _divided(least: float, density: float):
+    """Divides one part like the rounds of ``parted``."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("key")
+        keys = rows.column("key").to_numpy()
+        x = _matrix(rows.column("v")).astype(np.float64)
+        near = x @ x.T >= least
+        np.fill_diagonal(near, False)
+        degree, left, label = near.sum(axis=1), np.ones(len(x), bool), np.empty(len(x), np.int64)
+        while left.sum() > 2 and degree[left].mean() < density * (left.sum() - 1):
+            at = int(np.where(left, degree, -1).argmax())
+            take = left & near[at]
+            take[at] = True
+            label[take] = keys[at]
+            left &= ~take
+            degree -= near[:, take].sum(axis=1)
+        if left.any():
+            label[left] = keys[left].min()
+        return pa.table({"part": rows.column("part"), "key": rows.column("key"), "cluster": pa.array(label)})
+
+    return run
+
+
+def parted(
+    ids: DataFrame, comps: DataFrame, vectors: DataFrame, scratch: Scratch, least: float = 0.8, density: float = 0.5, least_size: int = 8, block: int = BLOCK
+) -> DataFrame:
+    """(id, key, cluster, degree) of the rows of every component of at least ``least_size`` rows, loose components divided.
+
+    vectors: (key, v) as from ``directions``. A part is loose if the mean degree
+    of its directions, counted exactly over all pairs inside it, lies below
+    ``density`` of what a clique has. The one of highest degree (the smallest key
+    among equals) becomes a medoid and takes all within ``least`` of it; what is
+    left is divided until it is not loose. Clusters of fewer than ``least_size``
+    rows then join the cluster of the nearest medoid of their component; a
+    component without a larger one stays whole. Parts of up to ``block``
+    directions are divided in one task, larger ones in rounds over block pairs
+    by the same rules.
+    """
+    rows = ids.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    wide = rows.groupBy("comp").agg(F.count("*").alias("n")).where(F.col("n") >= least_size)
+    rows = scratch.table(rows.join(wide.select("comp"), "comp", "left_semi"), "rows-of-parts")
+    base = scratch.table(rows.groupBy("comp", "key").agg(F.count("*").alias("copies")).join(vectors, "key"), "directions")
+    left = base.select(F.col("comp").alias("part"), "key", "v")
+    done: list[DataFrame] = []
+    large = left.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") > block).select("part")
+    rest, left = scratch.table(left.join(large, "part", "left_semi"), "large"), left.join(large, "part", "left_anti")
+    if not rest.isEmpty():
+        rest = scratch.table(rest.join(degrees(rest, rest, least, block), ["part", "key"]), "large-degrees")
+    for step in count():
+        if rest.isEmpty():
+            break
+        stats = rest.groupBy("part").agg(F.count("*").alias("n"), F.avg("degree").alias("mean"), F.min(F.struct(-F.col("degree"), F.col("key"))).alias("m"), F.min("key").alias("cluster"))
+        stats = scratch.table(stats.select("part", "n", "mean", F.col("m.key").alias("medoid"), "cluster"), f"stats-{step}")
+        loose = (F.col("n") > 2) & (F.col("mean") < density * (F.col("n") - 1))
+        done.append(rest.join(stats.where((F.col("n") > block) & ~loose), "part").select("key", "cluster"))
+        left = left.unionByName(rest.join(stats.where(F.col("n") <= block).select("part"), "part", "left_semi").select("part", "key", "v"))
+        rest = rest.join(stats.where((F.col("n") > block) & loose).select("part", "medoid"), "part")
+        heart = rest.where("key = medoid").select("part", "key", "v")
+        near = degrees(rest.select("part", "key", "v"), heart, least, block).select("part", "key", F.col("degree").alias("near"))
+        marked = scratch.table(rest.join(near, ["part", "key"]).withColumn("taken", (F.col("near") > 0) | (F.col("key") == F.col("medoid"))), f"marked-{step}")
+        taken, after = marked.where("taken"), marked.where("not taken")
+        done.append(taken.select("key", F.col("medoid").alias("cluster")))
+        less = degrees(after.select("part", "key", "v"), taken.select("part", "key", "v"), least, block).withColumnRenamed("degree", "less")
+        rest = scratch.table(after.join(less, ["part", "key"]).select("part", "key", "v", (F.col("degree") - F.col("less")).alias("degree")), f"left-{step}")
+    label = left.groupBy("part").applyInArrow(_divided(least, density), "part long, key long, cluster long").select("key", "cluster")
+    for part in done:
+        label = label.unionByName(part)
+    label = scratch.table(base.join(label, "key").select("comp", "key", "v", "copies", "cluster"), "labelled")
+
+    def inside(members: DataFrame) -> DataFrame:
+        own = members.select(F.col("cluster").alias("part"), "key", "v")
+        return degrees(own, own, least, block).select("key", "degree")
+
+    sizes = label.groupBy("cluster").agg(F.sum("copies").alias("size"))
+    known = scratch.table(label.join(inside(label), "key").join(sizes, "cluster"), "sized")
+    small = known.where(F.col("size") < least_size)
+    if not small.isEmpty():
+        medoids = known.where(F.col("size") >= least_size).groupBy("comp", "cluster").agg(F.min(F.struct(-F.col("degree"), "key", "v")).alias("m")).select(F.col("comp").alias("part"), F.col("m.key").alias("key"), F.col("m.v").alias("v"), "cluster")
+        medoids = scratch.table(medoids, "medoids")
+        to = _nearest(small.select(F.col("comp").alias("part"), "key", "v"), medoids.select("part", "key", "v"), block)
+        to = to.join(medoids.select(F.col("key").alias("to"), F.col("cluster").alias("new")), "to").select("key", "new")
+        known = known.join(to, "key", "left").withColumn("cluster", F.when(F.col("size") >= least_size, F.col("cluster")).otherwise(F.coalesce("new", "comp")))
+        known = scratch.table(known.select("key", "v", "cluster"), "put-back")
+        known = scratch.table(known.join(inside(known), "key"), "parts")
+    return rows.select("id", "key").join(known.select("key", "cluster", "degree"), "key").select("id", "key", "cluster", "degree")
+
+
+def described(members: DataFrame, links: DataFrame | None, known: DataFrame, typical: int = 3) -> DataFrame:
     """(cluster_key, size, typical_ids, earlier_cluster_id, earlier_share): each cluster with its ``typical`` members of highest degree and the cluster of an earlier run most of its rows had.
 
-    members: (id, key, cluster). known: (id, cluster_id) of the earlier run, with
-    one row per ancestor; the deepest, that is the rarest, of a row counts.
+    members: (id, key, cluster), and without links the degree. known: (id,
+    cluster_id) of the earlier run, with one row per ancestor; the deepest, that
+    is the rarest, of a row counts.
     Ties go to the smaller id and cluster_id.
     """
-    ends = links.select(F.col("a").alias("key"), F.col("b").alias("to")).unionByName(links.select(F.col("b").alias("key"), F.col("a").alias("to")))
-    of = members.select("key", "cluster").distinct()
-    inner = ends.join(of, "key").join(of.select(F.col("key").alias("to"), F.col("cluster").alias("c")), "to").where("cluster = c")
-    degree = inner.groupBy("key").agg(F.count("*").alias("degree"))
-    rows = members.join(degree, "key", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    rows = members
+    if links is not None:
+        ends = links.select(F.col("a").alias("key"), F.col("b").alias("to")).unionByName(links.select(F.col("b").alias("key"), F.col("a").alias("to")))
+        of = members.select("key", "cluster").distinct()
+        inner = ends.join(of, "key").join(of.select(F.col("key").alias("to"), F.col("cluster").alias("c")), "to").where("cluster = c")
+        degree = inner.groupBy("key").agg(F.count("*").alias("degree"))
+        rows = members.join(degree, "key", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     size = rows.groupBy("cluster").agg(F.count("*").alias("size"), F.min("id").alias("cluster_key"))
     best = Window.partitionBy("cluster").orderBy(F.desc("degree"), "id")
     top = rows.withColumn("r", F.row_number().over(best)).where(F.col("r") <= typical)

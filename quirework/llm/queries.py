@@ -73,10 +73,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size and most typical papers of each cluster after loose ones are divided, beside the cluster of the earlier run."""
     scratch = Scratch(spark, "p4")
-    ids, comps, links = clusters.linked(table(spark, sf_dir, "papers"), scratch)
-    members = clusters.split_loose(ids, comps, links, scratch)
+    papers = table(spark, sf_dir, "papers")
+    ids, comps, _ = clusters.linked(papers, scratch)
+    members = clusters.parted(ids, comps, clusters.directions(papers), scratch)
     known = table(spark, sf_dir, "clusters").select(F.col("arxiv_id").alias("id"), "cluster_id")
-    return clusters.described(members, links, known).where(F.col("size") >= 8)
+    return clusters.described(members, None, known)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

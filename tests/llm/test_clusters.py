@@ -1,6 +1,8 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from quirework.llm import clusters as C
+from quirework.llm import queries as Q
 from quirework.scratch import Scratch
 
 
@@ -72,3 +74,32 @@ def test_loose_component_is_divided_around_medoids(spark):
     known = spark.createDataFrame([("p01", 5), ("p02", 5), ("p03", 0), ("p01", 0), ("p02", 0), (None, 1)], "id string, cluster_id int")
     rows = {r.cluster_key: r for r in C.described(out, links, known).collect()}
     assert rows["p00"].size == 11 and rows["p00"].earlier_cluster_id == 5 and len(rows["p00"].typical_ids) == 3
+
+
+def test_tight_cluster_beyond_a_hot_bucket_stays_whole(spark, tmp_path):
+    """900 papers of one direction and a little noise: one cluster, its typical papers those of highest degree."""
+    x = blobs(1, 900, noise=0.03)
+    frame(spark, x).write.parquet(str(tmp_path / "papers.parquet"))
+    spark.createDataFrame([("00001", 5)], "arxiv_id string, cluster_id int").write.parquet(str(tmp_path / "clusters.parquet"))
+    got = Q.p4_clusters(spark, str(tmp_path)).collect()
+    assert [(r.cluster_key, r["size"], r.typical_ids) for r in got] == [("00000", 900, ["00000", "00001", "00002"])]
+
+
+def test_parts_are_the_same_in_one_task_and_in_rounds(spark):
+    """A loose component: an arc of points, each near its neighbours only, with a clique; all rows of it come out, with exact degrees."""
+    turn = np.arange(60) * 0.2
+    arc = np.stack([np.cos(turn / 2), np.sin(turn / 2), np.zeros(60)], 1)
+    x = np.concatenate([arc, arc[:1] + 0.01 * np.random.default_rng(1).standard_normal((30, 3))])
+    df = frame(spark, x)
+    keys = C.directions(df)
+    ids = spark.createDataFrame(C._space_rows(df, "arxiv_id", "area_embedding", "").mapInArrow(C._whole, C.ROWS).select("id", "key").collect(), "id string, key long")
+    comps = ids.select("key", F.lit(1).cast("long").alias("comp"))
+    whole, blocks = (sorted(map(tuple, C.parted(ids, comps, keys, Scratch(spark, "test"), block=n).collect())) for n in (2048, 12))
+    assert whole == blocks and len(whole) == len(x)
+    groups = {}
+    for id_, _, cluster, _ in whole:
+        groups.setdefault(cluster, []).append(int(id_))
+    assert len(groups) > 1 and all(len(g) >= 8 for g in groups.values())
+    y = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32).astype(float)
+    for id_, _, cluster, degree in whole:
+        assert degree == (y[groups[cluster]] @ y[int(id_)] >= 0.8).sum() - 1
