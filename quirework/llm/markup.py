@@ -312,30 +312,53 @@ class _Node:
 _PUNCTUATION = re.compile(r"[.,;:!?\u3002\uff0c]")
 
 
+_ITEM = {"li", "dt", "dd", "td", "th"}
+
+
+def _block_path(path: tuple[str, ...]) -> tuple[str, ...]:
+    """The path as far as its last block element: elements within running text belong to the text around them."""
+    return path[: max((i + 1 for i, t in enumerate(path) if t in _BLOCK), default=0)]
+
+
 def content_paths(nodes: list[_Node], share: float = CONTENT_SHARE) -> set[tuple[str, ...]]:
     """The tag paths whose text is content.
 
-    Per path: characters and punctuation marks per node. Both are smoothed over
-    each node and its neighbours in document order, fused by their product, and
-    a path is content if its fused value reaches ``share`` of the mean over all
-    paths. Paths without a block element other than running text are always
-    content, as are paths of headings, lists' items with sentences, code and
-    formulas; so is everything in a document of few paths.
+    Paths count as far as their last block element. Per path: characters and
+    punctuation marks per node. Both are smoothed over each node and its
+    neighbours in document order, fused by their product, and a path is content
+    if its fused value reaches ``share`` of the mean over all paths. Text outside
+    block elements is always content, as are headings, code and formulas, and
+    items of lists and tables, however short; except items that are navigation:
+    inside a nav element, mostly link text, or of a list that says one text over
+    and over. Everything is content in a document of few paths.
     """
     real = [n for n in nodes if n.text.strip()]
-    paths = list(dict.fromkeys(n.path for n in real))
-    plain = {p for p in paths if not any(t in _BLOCK for t in p) or any(t in ("pre", "code", "h1", "h2", "h3", "h4", "h5", "h6") for t in p)}
+    blocks = [_block_path(n.path) for n in real]
+    paths = list(dict.fromkeys(blocks))
     if len(paths) < 4:
-        return set(paths)
+        return {n.path for n in real}
     chars = np.array([len(n.text.strip()) for n in real], float)
-    marks = np.array([len(_PUNCTUATION.findall(n.text)) for n in real], float)
-    kernel = np.array([0.25, 0.5, 0.25])
-    chars, marks = (np.convolve(np.pad(v, 1, mode="edge"), kernel, "valid") for v in (chars, marks))
     of = {p: i for i, p in enumerate(paths)}
-    at = np.array([of[n.path] for n in real])
+    at = np.array([of[p] for p in blocks])
     n = np.bincount(at)
-    fused = np.sqrt(np.bincount(at, chars) / n * (1 + np.bincount(at, marks) / n))
-    return plain | {p for p in paths if fused[of[p]] >= share * fused.mean()}
+    linked = np.bincount(at, chars * np.array(["a" in n.path or "md-link" in n.path for n in real])) / np.bincount(at, chars)
+    said: dict[tuple[str, ...], list[str]] = {p: [] for p in paths}
+    for p, node in zip(blocks, real, strict=True):
+        if node.text.strip() != "-":  # the mark of an item
+            said[p].append(node.text.strip())
+
+    def always(p: tuple[str, ...]) -> bool:
+        if not p or any(t in ("pre", "code", "h1", "h2", "h3", "h4", "h5", "h6") for t in p):
+            return True
+        echo = "li" in p and len(said[p]) > 2 and len(set(said[p])) == 1
+        return any(t in _ITEM for t in p) and "nav" not in p and linked[of[p]] <= 0.5 and not echo
+
+    marks = np.array([len(_PUNCTUATION.findall(n.text)) for n in real], float)
+    kernel = np.array([0.25, 0.5, 0.25])
+    wide, marks = (np.convolve(np.pad(v, 1, mode="edge"), kernel, "valid") for v in (chars, marks))
+    fused = np.sqrt(np.bincount(at, wide) / n * (1 + np.bincount(at, marks) / n))
+    good = {p for p in paths if always(p) or fused[of[p]] >= share * fused.mean()}
+    return {n.path for n, p in zip(real, blocks, strict=True) if p in good or any(t in ("pre", "code") for t in n.path)}
 
 
 def _light_nodes(text: str, latex: bool, kept: _Kept) -> tuple[list[_Node], int]:

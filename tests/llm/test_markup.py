@@ -65,3 +65,16 @@ def test_tables(spark):
 
 def test_very_long_text_is_scanned_whole():
     assert M.has_residue("word " * 400_000 + "<b>end</b>", False) and not M.has_residue("a < b and *" * 20_000, False)
+
+
+def test_short_items_and_words_within_prose_stay():
+    prose = "A long sentence of running text, with commas, that goes on. " * 4
+    page = f"<div><h2>Head</h2></div><p>{prose}<b>boldly</b> {prose}</p><ul><li>apples</li><li>pears</li><li>see <a href='x'>plums</a> here</li></ul><p>{prose}</p>"
+    page += "<table><tr><th>name</th></tr><tr><td>yes</td><td>yes</td><td>yes</td></tr></table><dl><dt>term</dt><dd>short</dd></dl>" + f"<p>{prose}</p>"
+    plain, _ = M.clean(page, False)
+    for word in ("Head", "boldly", "apples", "pears", "see plums here", "name", "term", "short"):
+        assert word in plain, word
+    assert plain.count("yes") == 3
+    page = f"<div><ul><li><a href='x'>Home</a></li><li><a href='y'>About</a></li></ul></div><p>{prose}</p><section><p>{prose}</p></section><footer>{prose}</footer>"
+    plain, _ = M.clean(page, False)
+    assert "running text" in plain and not any(word in plain for word in ("Home", "About"))
