@@ -1,29 +1,40 @@
-"""Connected components by repeated contraction to the smallest neighbour."""
+"""Connected components by repeated contraction to the neighbour of least random rank."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from itertools import count
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirework.scratch import Scratch
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def _ranked(node: str, salt: int) -> Column:
+    """A node with a rank before it that changes from round to round, so that no order of the ids makes long chains."""
+    return F.struct(F.xxhash64(F.col(node), F.lit(salt)).alias("rank"), F.col(node).alias("node"))
+
+
+def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
     """(node, comp) of every node that has an edge; comp is the smallest node of its component.
 
-    Each round points every node at its smallest neighbour (a min aggregate, so
-    a hub is combined before the shuffle), jumps pointers twice, and keeps only
-    edges between different targets. Edges shrink geometrically; no neighbour
-    list is ever collected. Nulls and loops are dropped; no edges give no rows.
+    Each round ranks the nodes anew at random, points every node at the one of
+    least rank among itself and its neighbours (a min aggregate, so a hub is
+    combined before the shuffle), jumps pointers twice, and keeps only edges
+    between different targets. A node with a neighbour stays with a chance of at
+    most a half, so the nodes left halve at least, on average, whatever their ids:
+    rounds grow with the logarithm of the largest component. No neighbour list is
+    ever collected. Nulls and loops are dropped; no edges give no rows.
     """
     edges = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b").distinct()
     edges = scratch.table(edges, "edges")
     labels: DataFrame | None = None
-    for _ in range(max_rounds):
+    for turn in count():
         if edges.isEmpty():
             break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to"))
+        least = both.groupBy("a").agg(F.min(_ranked("b", turn)).alias("m"))
+        step = least.select(F.col("a").alias("node"), F.least(_ranked("a", turn), "m")["node"].alias("to"))
         step = scratch.table(step, "pointers")
         for _ in range(2):
             jump = step.select(F.col("node").alias("to"), F.col("to").alias("far"))
@@ -40,8 +51,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: st
             labels = scratch.table(labels.join(moved, "comp", "left").select("node", F.coalesce("far", "comp").alias("comp")), "labels")
         scratch.drop(edges)
         edges = fewer
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
-    return labels
+    named = labels.groupBy("comp").agg(F.min("node").alias("least"))
+    return scratch.table(labels.join(named, "comp").select("node", F.col("least").alias("comp")), "components")
