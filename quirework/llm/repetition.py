@@ -1,9 +1,13 @@
 """Problem 9: repetition inside single documents, scored by boosted trees over document statistics.
 
 Every document gets its statistics in one pass without a shuffle. Gradient-boosted
-trees, fitted on a bounded sample, score them; the trees are flat numpy arrays of
-nodes and rise monotonically in the measures of repetition. The score is an output
-beside the exact share; the exact share alone decides what is a case.
+trees estimate the share of repeated words from them; they are fitted on a bounded
+sample, are flat numpy arrays of nodes and rise monotonically in the measures of
+repetition. A case obeys two bounds that follow from its definition: its words in
+short repeated runs reach the share, and its distinct words do not exceed the rest.
+The least score that the trees give to any document within these bounds is the gate:
+what scores below it cannot be a case, whatever the sample was. The exact share is
+worked out for the others, and decides.
 """
 
 from __future__ import annotations
@@ -25,9 +29,12 @@ SHARE = 0.25
 #: Documents, by hash order, that the trees are fitted on; all are scored.
 SAMPLE = 4000
 
-FEATURES = ["repeated_share", "repeated_short_runs", "top_pair_share", "top_run_share", "line_repeats", "sentence_repeats", "paragraph_repeats", "distinct_share", "log_words"]
-#: Signs of the monotonic constraints: more of any repeated content never lowers the score.
-MONOTONE = [1, 1, 0, 0, 1, 1, 1, 0, 0]
+#: Words of a run of the statistic repeated_short_runs: every repeated run of RUN words consists of repeated ones of these.
+SHORT_RUN = 4
+
+FEATURES = ["repeated_short_runs", "top_pair_share", "line_repeats", "sentence_repeats", "paragraph_repeats", "distinct_share", "log_words"]
+#: Signs of the monotonic constraints: more of any repeated content never lowers the score, more distinct words never raise it.
+MONOTONE = [1, 0, 1, 1, 1, -1, 0]
 
 _SENTENCE = re.compile(r"[.!?。！？]\s*|\n")
 _BLANK = re.compile(r"\n\s*\n")
@@ -88,25 +95,39 @@ def _part_repeats(parts: list[str]) -> float:
     return again / total if total else 0.0
 
 
-def statistics(texts: list[str | None], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """(word counts, features of FEATURES) of each text; a null text counts no words."""
-    flat_list: list[int] = []
-    starts_list = [0]
+def _hashed(texts: list[str | None], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """(word hashes of all texts, start of each text's words); a null text has none."""
+    flat: list[int] = []
+    starts = [0]
+    for text in texts:
+        if text:
+            flat.extend(map(hashes.__getitem__, words(text)))
+        starts.append(len(flat))
+    return np.array(flat, np.uint64), np.array(starts, np.int64)
+
+
+def _features(texts: list[str | None], flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """FEATURES of each text."""
     parts = np.zeros((len(texts), 3))
     for i, text in enumerate(texts):
         if text:
-            flat_list.extend(map(hashes.__getitem__, words(text)))
             parts[i] = _part_repeats(text.split("\n")), _part_repeats(_SENTENCE.split(text)), _part_repeats(_BLANK.split(text)) if "\n" in text else 0.0
-        starts_list.append(len(flat_list))
-    flat, starts = np.array(flat_list, np.uint64), np.array(starts_list, np.int64)
     n = np.diff(starts)
     row = np.repeat(np.arange(len(n)), n)
     once = np.unique(mix(row.astype(np.uint64)) ^ flat, return_index=True)[1]
     distinct = np.bincount(row[once], minlength=len(n)) / np.maximum(n, 1)
-    x = np.stack(
-        [_covered(flat, starts, RUN), _covered(flat, starts, 4), _top(flat, starts, 2), _top(flat, starts, RUN), parts[:, 0], parts[:, 1], parts[:, 2], distinct, np.log1p(n)], axis=1
-    )
-    return n, x
+    return np.stack([_covered(flat, starts, SHORT_RUN), _top(flat, starts, 2), parts[:, 0], parts[:, 1], parts[:, 2], distinct, np.log1p(n)], axis=1)
+
+
+def repeated_shares(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The exact share of each text's words that lie in a run of RUN words which also begins earlier."""
+    return _covered(flat, starts, RUN)
+
+
+def statistics(texts: list[str | None], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word counts, exact repeated shares, features of FEATURES) of each text; a null text counts no words."""
+    flat, starts = _hashed(texts, hashes)
+    return np.diff(starts), repeated_shares(flat, starts), _features(texts, flat, starts)
 
 
 @dataclass
@@ -130,6 +151,18 @@ class Trees:
             at = np.where(x[rows, self.feature[at]] > self.threshold[at], self.right[at], self.left[at])
         return self.base + self.value[at].sum(axis=1)
 
+    def least(self, low: dict[int, float], high: dict[int, float]) -> float:
+        """A lower bound of the score of every x whose feature j is at least low[j] and at most high[j]: per tree the least leaf within reach."""
+
+        def reach(at: int) -> float:
+            if self.left[at] == at:
+                return float(self.value[at])
+            j, t = int(self.feature[at]), self.threshold[at]
+            ways = ([] if j in low and low[j] > t else [self.left[at]]) + ([] if j in high and high[j] <= t else [self.right[at]])
+            return min(reach(int(w)) for w in ways)
+
+        return self.base + sum(reach(int(r)) for r in self.roots)
+
 
 def fit(x: np.ndarray, y: np.ndarray, monotone: list[int], rounds: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 32, least: int = 8) -> Trees:
     """Squared-error boosting on histograms.
@@ -205,51 +238,93 @@ def fit(x: np.ndarray, y: np.ndarray, monotone: list[int], rounds: int = 60, dep
     return Trees(*(np.array(v) for v in (feature, threshold, left, right, value)), np.array(roots, np.int64), depth, base)
 
 
-SCHEMA = "words long, " + ", ".join(f"{f} double" for f in FEATURES)
+SCHEMA = "words long, repeated_share double, " + ", ".join(f"{f} double" for f in FEATURES)
+_SLACK = 1e-9
+#: Texts that are measured together, so memory stays small.
+TEXTS = 2000
 
 
 def _measure(trees: Trees | None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            texts = batch.column(1)
-            for lo in range(0, batch.num_rows, 2000):
-                part = batch.slice(lo, 2000)
-                n, x = statistics(texts.slice(lo, 2000).to_pylist(), hashes)
-                cols = [part.column(0), pa.array(n.astype(np.int64)), *(pa.array(x[:, j]) for j in range(x.shape[1]))]
-                names = ["id", "words", *FEATURES]
+            for lo in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(lo, TEXTS)
+                n, share, x = statistics(part.column(1).to_pylist(), hashes)
+                cols = [part.column(0), pa.array(n.astype(np.int64)), pa.array(share), *(pa.array(x[:, j]) for j in range(x.shape[1]))]
+                names = ["id", "words", "repeated_share", *FEATURES]
                 if trees is not None:
-                    cols.append(pa.array(trees.score(x) if len(trees.roots) else x[:, 0].copy()))
+                    cols.append(pa.array(trees.score(x)))
                     names.append("score")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return run
 
 
+def gate(trees: Trees, share: float) -> float:
+    """The least score of any text whose repeated share reaches ``share``.
+
+    Each word of a repeated run of RUN words lies in a repeated run of SHORT_RUN
+    words, and stands at an earlier place too, so it adds no distinct word.
+    """
+    return trees.least({FEATURES.index("repeated_short_runs"): share - _SLACK}, {FEATURES.index("distinct_share"): 1 - share + _SLACK}) - _SLACK
+
+
+def _scored_cases(trees: Trees, share: float) -> Callable:
+    """The ids of texts whose score passes the gate and whose exact share, worked out for these alone, reaches ``share``."""
+    least = gate(trees, share)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for lo in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(lo, TEXTS)
+                texts = part.column(1).to_pylist()
+                flat, starts = _hashed(texts, hashes)
+                n = np.diff(starts)
+                passed = np.flatnonzero((n >= RUN) & (trees.score(_features(texts, flat, starts)) >= least))
+                if not len(passed):
+                    continue
+                own = np.concatenate([flat[starts[i] : starts[i + 1]] for i in passed])
+                found = repeated_shares(own, np.r_[0, np.cumsum(n[passed])]) >= share
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(passed[found]))], names=["id"])
+
+    return run
+
+
 def fit_on_sample(rows: DataFrame, id_type: str, sample: int = SAMPLE) -> Trees:
-    """Trees that estimate the share of repeated words, fitted on about ``sample`` rows: those of least hash, whatever the partitioning."""
+    """Trees that estimate the share of repeated words from the other statistics, fitted on about ``sample`` rows: those of least hash, whatever the partitioning."""
     n = rows.count()
     part = rows if n <= sample else rows.where(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30)) < int((1 << 30) * sample / n))
     got = part.mapInArrow(_measure(None), f"id {id_type}, {SCHEMA}").orderBy(F.xxhash64("id", F.lit(17)), "id").limit(2 * sample).toPandas()
-    x = got[FEATURES].to_numpy(np.float64)
-    return fit(x, x[:, 0].copy(), MONOTONE)
+    return fit(got[FEATURES].to_numpy(np.float64), got["repeated_share"].to_numpy(np.float64), MONOTONE)
+
+
+def _texts(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), df.schema[id_col].dataType.simpleString()
 
 
 def repetition(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", trees: Trees | None = None, sample: int = SAMPLE) -> DataFrame:
-    """(id, words, the FEATURES, score) of every row.
+    """(id, words, repeated_share, the FEATURES, score) of every row.
 
     repeated_share is exact: the share of words that lie in a run of 8 words
-    which also begins earlier in the text. Null, empty and wordless texts have 0
-    words and shares of 0, texts under 8 words a repeated_share of 0. Repeated
-    rows each come out; other columns are not read; an empty table gives no rows.
+    which also begins earlier in the text; score is the trees' estimate of it
+    from the FEATURES. Null, empty and wordless texts have 0 words and shares of
+    0, texts under 8 words a repeated_share of 0. Repeated rows each come out;
+    other columns are not read; an empty table gives no rows.
     """
-    kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows, kind = _texts(df, id_col, text_col)
     trees = trees or fit_on_sample(rows, kind, sample)
     return rows.mapInArrow(_measure(trees), f"id {kind}, {SCHEMA}, score double").withColumnRenamed("id", id_col)
 
 
-def repetitive(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE) -> DataFrame:
-    """(id) of the rows whose exact repeated share reaches the share, each id once; the score, fitted on a sample, drops none."""
-    scored = repetition(df, id_col, text_col)
-    return scored.where((F.col("words") >= RUN) & (F.col("repeated_share") >= share)).select(id_col).distinct()
+def repetitive(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE, trees: Trees | None = None, sample: int = SAMPLE) -> DataFrame:
+    """(id) of the rows whose score passes the gate and whose exact repeated share reaches the share, each id once.
+
+    The gate holds for every text, not for the sample only, so no case is lost:
+    trees that learned nothing let everything through to the exact share. Cases
+    as for ``repetition``.
+    """
+    rows, kind = _texts(df, id_col, text_col)
+    trees = trees or fit_on_sample(rows, kind, sample)
+    return rows.mapInArrow(_scored_cases(trees, share), f"id {kind}").distinct().withColumnRenamed("id", id_col)

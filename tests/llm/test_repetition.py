@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -22,8 +23,10 @@ def brute(text):
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.one_of(st.none(), st.lists(st.sampled_from("abc"), max_size=60).map(" ".join)), max_size=6))
 def test_repeated_share_equals_brute_force(texts):
-    n, x = R.statistics(texts, WordHashes())
-    assert np.allclose(x[:, 0], [brute(t) for t in texts]) and n.tolist() == [len(words(t or "")) for t in texts]
+    n, share, x = R.statistics(texts, WordHashes())
+    assert np.allclose(share, [brute(t) for t in texts])
+    assert (x[:, 0] >= share).all() and (x[:, R.FEATURES.index("distinct_share")] <= 1 - share + 1e-12).all()
+    assert n.tolist() == [len(words(t or "")) for t in texts]
 
 
 def test_trees_are_monotone_and_fit():
@@ -62,12 +65,35 @@ def test_cases_of_a_table(spark):
     assert measures[1000].words == 0 and measures[1000].repeated_share == 0 and measures[1002].repeated_share == 0
 
 
-def test_rare_cases_missed_by_the_sample_come_out(spark, monkeypatch):
-    """Three repetitive texts of 600, trees fitted on about 200: no leaf can isolate them."""
+def test_gate_is_a_lower_bound_of_every_case():
+    """Whatever the trees learned, a text within a case's bounds scores no less than the gate; trees of one value let all through."""
+    rng = np.random.default_rng(3)
+    for seed in range(5):
+        x = rng.random((400, len(R.FEATURES)))
+        y = np.clip(x[:, 0] - 0.3 * rng.random(400), 0, 1) * (rng.random(400) < 0.3)
+        trees = R.fit(x, y, R.MONOTONE)
+        other = rng.random((3000, len(R.FEATURES)))
+        within = (other[:, 0] >= 0.25) & (other[:, R.FEATURES.index("distinct_share")] <= 0.75)
+        assert (trees.score(other[within]) >= R.gate(trees, 0.25)).all(), seed
+    flat = R.fit(np.zeros((50, len(R.FEATURES))), np.zeros(50), R.MONOTONE)
+    assert (flat.score(other) >= R.gate(flat, 0.25)).all()
+
+
+def test_gate_spares_most_texts_the_exact_share():
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randint(0, 3000)}" for _ in range(80)) for _ in range(900)]
+    texts += [" ".join([f"r{i}x{j}" for j in range(40)] * 2) for i in range(100)]
+    n, share, x = R.statistics(texts, WordHashes())
+    trees = R.fit(x, share, R.MONOTONE)
+    passed = trees.score(x) >= R.gate(trees, 0.25)
+    assert passed[900:].all() and passed[:900].mean() < 0.2
+
+
+@pytest.mark.parametrize("cases", [0, 1, 4])
+def test_rare_cases_missed_by_the_sample_come_out(spark, cases):
+    """A few repetitive texts of 40,000, trees fitted on about 400."""
     rng = random.Random(2)
-    rows = [(i, " ".join(f"w{rng.randint(0, 90_000)}" for _ in range(60))) for i in range(597)]
-    rows += [(2000 + i, " ".join([f"r{i}x{j}" for j in range(40)] * 2)) for i in range(3)]
-    fitted = R.fit_on_sample
-    monkeypatch.setattr(R, "fit_on_sample", lambda rows, kind, sample: fitted(rows, kind, 200))
+    rows = [(i, " ".join(f"w{rng.randint(0, 90_000)}" for _ in range(24))) for i in range(40_000)]
+    rows += [(50_000 + i, " ".join([f"r{i}x{j}" for j in range(40)] * 2)) for i in range(cases)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.doc_id for r in R.repetitive(df).collect()} == {2000, 2001, 2002}
+    assert {r.doc_id for r in R.repetitive(df, sample=400).collect()} == {50_000 + i for i in range(cases)}
