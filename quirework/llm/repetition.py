@@ -5,8 +5,9 @@ trees estimate the share of repeated words from them; they are fitted on a bound
 sample, are flat numpy arrays of nodes and rise monotonically in the measures of
 repetition. A case obeys two bounds that follow from its definition: its words in
 short repeated runs reach the share, and its distinct words do not exceed the rest.
-The least score that the trees give to any document within these bounds is the gate:
-what scores below it cannot be a case, whatever the sample was. The exact share is
+As the trees are monotone in every statistic, the document that just meets these
+bounds has the least score of all possible cases, and that score is the gate: what
+scores below it cannot be a case, whatever the sample was. The exact share is
 worked out for the others, and decides.
 """
 
@@ -32,9 +33,9 @@ SAMPLE = 4000
 #: Words of a run of the statistic repeated_short_runs: every repeated run of RUN words consists of repeated ones of these.
 SHORT_RUN = 4
 
-FEATURES = ["repeated_short_runs", "top_pair_share", "line_repeats", "sentence_repeats", "paragraph_repeats", "distinct_share", "log_words"]
+FEATURES = ["repeated_short_runs", "top_pair_share", "line_repeats", "sentence_repeats", "paragraph_repeats", "distinct_share"]
 #: Signs of the monotonic constraints: more of any repeated content never lowers the score, more distinct words never raise it.
-MONOTONE = [1, 0, 1, 1, 1, -1, 0]
+MONOTONE = [1, 1, 1, 1, 1, -1]
 
 _SENTENCE = re.compile(r"[.!?。！？]\s*|\n")
 _BLANK = re.compile(r"\n\s*\n")
@@ -116,7 +117,7 @@ def _features(texts: list[str | None], flat: np.ndarray, starts: np.ndarray) ->
     row = np.repeat(np.arange(len(n)), n)
     once = np.unique(mix(row.astype(np.uint64)) ^ flat, return_index=True)[1]
     distinct = np.bincount(row[once], minlength=len(n)) / np.maximum(n, 1)
-    return np.stack([_covered(flat, starts, SHORT_RUN), _top(flat, starts, 2), parts[:, 0], parts[:, 1], parts[:, 2], distinct, np.log1p(n)], axis=1)
+    return np.stack([_covered(flat, starts, SHORT_RUN), _top(flat, starts, 2), parts[:, 0], parts[:, 1], parts[:, 2], distinct], axis=1)
 
 
 def repeated_shares(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -145,24 +146,14 @@ class Trees:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """All trees advance together, one level at a time."""
+        if not len(self.roots):
+            return np.full(len(x), self.base)
         at = np.broadcast_to(self.roots, (len(x), len(self.roots))).copy()
         rows = np.arange(len(x))[:, None]
         for _ in range(self.depth):
             at = np.where(x[rows, self.feature[at]] > self.threshold[at], self.right[at], self.left[at])
         return self.base + self.value[at].sum(axis=1)
 
-    def least(self, low: dict[int, float], high: dict[int, float]) -> float:
-        """A lower bound of the score of every x whose feature j is at least low[j] and at most high[j]: per tree the least leaf within reach."""
-
-        def reach(at: int) -> float:
-            if self.left[at] == at:
-                return float(self.value[at])
-            j, t = int(self.feature[at]), self.threshold[at]
-            ways = ([] if j in low and low[j] > t else [self.left[at]]) + ([] if j in high and high[j] <= t else [self.right[at]])
-            return min(reach(int(w)) for w in ways)
-
-        return self.base + sum(reach(int(r)) for r in self.roots)
-
 
 def fit(x: np.ndarray, y: np.ndarray, monotone: list[int], rounds: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 32, least: int = 8) -> Trees:
     """Squared-error boosting on histograms.
@@ -265,9 +256,14 @@ def gate(trees: Trees, share: float) -> float:
     """The least score of any text whose repeated share reaches ``share``.
 
     Each word of a repeated run of RUN words lies in a repeated run of SHORT_RUN
-    words, and stands at an earlier place too, so it adds no distinct word.
+    words, and stands at an earlier place too, so it adds no distinct word. The
+    trees are monotone in every statistic, so they score no such text below the
+    one that just meets these two bounds and repeats nothing else.
     """
-    return trees.least({FEATURES.index("repeated_short_runs"): share - _SLACK}, {FEATURES.index("distinct_share"): 1 - share + _SLACK}) - _SLACK
+    corner = np.zeros((1, len(FEATURES)))
+    corner[0, FEATURES.index("repeated_short_runs")] = share - _SLACK
+    corner[0, FEATURES.index("distinct_share")] = 1 - share + _SLACK
+    return float(trees.score(corner)[0]) - _SLACK
 
 
 def _scored_cases(trees: Trees, share: float) -> Callable:
