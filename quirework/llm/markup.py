@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 from html.entities import html5
 
 import numpy as np
@@ -19,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirework.scratch import Scratch
+
 # The element names of HTML, current and obsolete.
 ELEMENTS = """
 a abbr acronym address applet area article aside audio b base basefont bdi bdo big blink blockquote body br button canvas caption
@@ -37,35 +41,45 @@ _VALUE = r"""\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'<>=`]+)"""
 _TAG = rf"</?(?i:{'|'.join(ELEMENTS)})(?:\s+(?:[A-Za-z_:][\w:.-]*{_VALUE}|(?i:{_FLAGS.replace(' ', '|')})))*\s*/?>"
 _REFERENCE = r"&(?:\#[0-9]{1,7}|\#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 
-#: HTML, Markdown and wiki markup. Emphasis opens after a blank or an opening sign and closes before a blank or a closing one, so products and primes are text;
-#: it ends before the next mark of its kind, a blank line or 4,000 characters, which keeps the scan linear in the text.
-_LIGHT = re.compile(
-    rf"""
-      (?P<comment><!--.*?-->|<!--)
+_WITHIN = r"\n(?!\s*\n)"  # a line end that does not end the paragraph
+
+#: HTML, Markdown and wiki markup. Emphasis opens after a blank or an opening sign and closes before a blank or a closing one, so products and primes are text.
+#: It runs to the next mark of its kind, however far, but not over a blank line; runs are possessive, so each stretch is read once and the scan is linear.
+_LIGHT_RULES = rf"""
+      (?P<comment>COMMENT<!--)
     | (?P<tag>{_TAG})
     | (?P<ref>{_REFERENCE})
-    | (?P<fence>^[ \t]{{0,3}}(?P<ticks>```+|~~~+)[^\n`]*\n(?:.*?\n)?[ \t]{{0,3}}(?P=ticks)[ \t]*$|^[ \t]{{0,3}}```[^\n`]*$)
-    | (?P<code>(?<!`)(?P<tick>`{{1,2}})(?!`)(?P<codetext>[^`\n]+(?:\n[^`\n]+){{0,3}}?)(?P=tick)(?!`))
+    | (?P<fence>FENCE^[ \t]{{0,3}}```[^\n`]*$)
+    | (?P<code>(?<!`)(?P<tick>`{{1,2}})(?!`)(?P<codetext>[^`\n]++(?:\n[^`\n]++)*+)(?P=tick)(?!`))
     | (?P<image>!\[[^\[\]\n]*(?:\[[^\[\]\n]*\][^\[\]\n]*)*\]\([^()\s]*(?:\s+"[^"\n]*")?\))
-    | (?P<wiki>\[\[[^\[\]\n|]*[^\W\d_][^\[\]\n|]*(?:\|[^\n]{{0,300}}?)?\]\])
+    | (?P<wiki>\[\[[^\[\]\n|]*[^\W\d_][^\[\]\n|]*(?:\|(?:[^\[\]\n]++|\[(?!\[)|\](?!\]))*+\]?)?\]\])
     | (?P<link>\[[^\[\]\n]+(?:\[[^\[\]\n]*\][^\[\]\n]*)*\]\((?:<[^<>\n]*>|[^()\s]*[/.\#:@][^()\s]*|\#[^()\s]*)(?:\s+"[^"\n]*")?\))
     | (?P<footlink>^[ ]{{0,3}}\[[^\[\]\n]+\]:[ \t]+<?https?://\S+)
     | (?P<reflink>\[[^\[\]\n]+\]\[[a-z0-9-]+\](?=[\s.,;:)]|$))
     | (?P<extlink>\[(?:https?|ftp)://[^\s\[\]]+(?:[ \t][^\[\]\n]*)?\])
     | (?P<auto><(?:https?|ftp|mailto):[^\s<>]+>)
-    | (?P<template>\{{\{{\s*[^\W\d_][\w \-:/]*[\w](?:\|[^{{}}]*)*\}}\}})
+    | (?P<template>\{{\{{\s*[^\W\d_][\w \-:/]*[\w](?:\|[^{{}}|]*+)*+\}}\}})
     | (?P<atx>^[ ]{{0,3}}\#{{1,6}}[ \t]+(?=\S))
     | (?P<setext>(?<=\S\n)[ ]{{0,3}}(?:={{3,}}|-{{3,}})[ \t]*$)
     | (?P<wikihead>^[ \t]*(?P<eq>={{2,6}})[ \t]*[^=\s\n](?:[^=\n]*[^=\s\n])?[ \t]*(?P=eq)[ \t]*\r?$)
-    | (?P<bold>(?<![^\W\u3040-\u9fff])(?<!\*)\*{{2,3}}(?=[^\s*])(?:[^*\n]|\*(?!\*)|\n(?!\s*\n)){{1,4000}}?(?<=[^\s*])\*{{2,3}}(?![^\W\u3040-\u9fff]|\*))
-    | (?P<under>(?<![^\W\u3040-\u9fff])_{{2,3}}(?=[^\s_])(?:[^_\n]|_(?!_)|\n(?!\s*\n)){{1,4000}}?(?<=[^\s])_{{2,3}}(?![^\W\u3040-\u9fff]))
-    | (?P<strike>~~(?=[^\s~])(?:[^~\n]|~(?!~)|\n(?!\s*\n)){{1,4000}}?(?<=[^\s~])~~(?!~))
-    | (?P<quote>(?<![\w'’)\]}}])'{{2,5}}(?=[^\s'])(?:[^'\n]|'(?!')|\n(?!\s*\n)){{1,4000}}?(?<=[^\s'])'{{2,5}}(?![\w'(]))
-    | (?P<star>(?<![\w*^)\]}}|])\*(?=[^\s*])[^*\n]{{0,2000}}?(?:\n[^*\n]{{1,2000}}?)??(?<=[^\s*])\*(?![\w*(]))
-    | (?P<line>(?<![\w_^)\]}}\\])_(?=[^\s_])[^_\n]{{0,2000}}?(?:\w_\w[^_\n]{{0,200}}?){{0,20}}(?:\n[^_\n]{{1,2000}}?)??(?<=[^\s_])_(?![\w_({{]))
-    """,
-    re.X | re.S | re.M,
-)
+    | (?P<bold>(?<![^\W\u3040-\u9fff])(?<!\*)\*{{2,3}}(?=[^\s*])(?:[^*\n]++|\*(?!\*)|{_WITHIN})++(?<=[^\s*])\*{{2,3}}(?![^\W\u3040-\u9fff]|\*))
+    | (?P<under>(?<![^\W\u3040-\u9fff])_{{2,3}}(?=[^\s_])(?:[^_\n]++|_(?!_)|{_WITHIN})++(?<=[^\s])_{{2,3}}(?![^\W\u3040-\u9fff]))
+    | (?P<strike>~~(?=[^\s~])(?:[^~\n]++|~(?!~)|{_WITHIN})++(?<=[^\s~])~~(?!~))
+    | (?P<quote>(?<![\w'’)\]}}])'{{2,5}}(?=[^\s'])(?:[^'\n]++|'(?!')|{_WITHIN})++(?<=[^\s'])'{{2,5}}(?![\w'(]))
+    | (?P<star>(?<![\w*^)\]}}|])\*(?=[^\s*])(?:[^*\n]++|{_WITHIN})++(?<=[^\s*])\*(?![\w*(]))
+    | (?P<line>(?<![\w_^)\]}}\\])_(?=[^\s_])(?:[^_\n]++|(?<=[^\W_])_(?=[^\W_])|{_WITHIN})++(?<=[^\s_])_(?![\w_({{]))
+    """
+
+
+@lru_cache(maxsize=4)
+def _light(comments: bool, fences: bool) -> re.Pattern:
+    """The rules; without comments or fences none of them is closed any more, so none is searched to the end of the text in vain."""
+    closed = r"^[ \t]{0,3}(?P<ticks>```+|~~~+)[^\n`]*\n(?:.*?\n)?[ \t]{0,3}(?P=ticks)[ \t]*$|"
+    rules = _LIGHT_RULES.replace("COMMENT", "<!--.*?-->|" if comments else "").replace("FENCE", closed if fences else "")
+    return re.compile(rules, re.X | re.S | re.M)
+
+
+_FENCE_END = re.compile(r"^[ \t]{0,3}(?:```+|~~~+)[ \t]*$", re.M)
 
 _LATEX = re.compile(
     r"""
@@ -124,7 +138,9 @@ def _is_light(m: re.Match, latex: bool) -> bool:
 def light_tokens(text: str, latex: bool = False) -> Iterator[re.Match]:
     """HTML, Markdown and wiki tokens of a text; a candidate that is none is skipped by one character."""
     at = 0
-    while m := _LIGHT.search(text, at):
+    comments = text.rfind("-->")
+    fences = max((f.start() for f in _FENCE_END.finditer(text)), default=-1) if "```" in text or "~~~" in text else -1
+    while m := _light(at <= comments, at <= fences).search(text, at):
         if _is_light(m, latex):
             yield m
             at = max(m.end(), at + 1)
@@ -149,19 +165,6 @@ _SOURCE_HINT = re.compile(_HINTS + "|`(?<!``)(?!`)|```")
 _LATEX_HINT = re.compile(r"[\\$]")
 
 
-def has_residue(text: str | None, latex: bool) -> bool:
-    """Whether a text still holds markup. latex: the text is LaTeX source, where only HTML, Markdown and wiki markup outside LaTeX's own is residue."""
-    if not text:
-        return False
-    if latex:
-        if not _SOURCE_HINT.search(text):
-            return False
-        return next(light_tokens(_OUTSIDE.sub(_mask, text), True), None) is not None
-    if _LATEX_HINT.search(text) and next(latex_tokens(text), None) is not None:
-        return True
-    return _LIGHT_HINT.search(text) is not None and next(light_tokens(text), None) is not None
-
-
 # Cleaning.
 
 #: A path of text is content if its fused ratio reaches this share of the mean over the document's paths.
@@ -361,9 +364,12 @@ def content_paths(nodes: list[_Node], share: float = CONTENT_SHARE) -> set[tuple
     return {n.path for n, p in zip(real, blocks, strict=True) if p in good or any(t in ("pre", "code") for t in n.path)}
 
 
-def _light_nodes(text: str, latex: bool, kept: _Kept) -> tuple[list[_Node], int]:
-    """(text nodes with their tag paths, number of tokens) of a text with HTML, Markdown and wiki markup."""
-    if not (_SOURCE_HINT if latex else _LIGHT_HINT).search(text):
+_LATEX_SIGNS = re.compile(r"[%$\\{}~&#_^]")
+
+
+def _light_nodes(seen: str, text: str, latex: bool, kept: _Kept) -> tuple[list[_Node], int]:
+    """(text nodes with their tag paths, number of tokens) of a text with HTML, Markdown and wiki markup. Tokens are found in ``seen``, the text with what is none of them masked; nodes hold the text."""
+    if not (_SOURCE_HINT if latex else _LIGHT_HINT).search(seen):
         return ([_Node((), text)] if text else []), 0
     nodes: list[_Node] = []
     stack: list[str] = []
@@ -373,29 +379,31 @@ def _light_nodes(text: str, latex: bool, kept: _Kept) -> tuple[list[_Node], int]
         if part:
             nodes.append(_Node(tuple(stack), part))
 
-    def inside(tag: str, part: str) -> None:
+    def inside(tag: str, lo: int, hi: int) -> None:
         stack.append(tag)
-        more, _ = _light_nodes(part, latex, kept)
+        more, _ = _light_nodes(seen[lo:hi], text[lo:hi], latex, kept)
         nodes.extend(_Node(tuple(stack) + n.path, n.text) for n in more)
         stack.pop()
 
-    for m in light_tokens(text, latex):
+    for m in light_tokens(seen, latex):
         say(text[at : m.start()])
-        at, kind, whole = m.end(), m.lastgroup, m.group()
+        lo, at, kind = m.start(), m.end(), m.lastgroup
+        whole = text[lo:at]
         count += 1
         if kind == "ref":
-            say(html.unescape(whole))
+            sign = html.unescape(whole)
+            say(kept.put(sign) if latex and _LATEX_SIGNS.search(sign) else sign)
         elif kind == "fence":
             body = whole.strip().split("\n")
             say("\n" + kept.put("\n".join(["```", *body[1:-1], "```"])) + "\n" if len(body) > 2 else "\n")
         elif kind == "code":
-            say(kept.put("`" + m.group("codetext").strip() + "`"))
+            say(kept.put("`" + text[slice(*m.span("codetext"))].strip() + "`"))
         elif kind == "image":
-            say(re.match(r"!\[(.*)\]\(", whole, re.S).group(1))
+            say(whole[2 : whole.rindex("](")])
         elif kind == "link":
-            inside("md-link", re.match(r"\[(.*)\]\(", whole, re.S).group(1))
+            inside("md-link", lo + 1, lo + m.group().rindex("]("))
         elif kind == "reflink":
-            inside("md-link", whole[1:].split("][")[0])
+            inside("md-link", lo + 1, lo + m.group().index("]["))
         elif kind == "wiki":
             target = whole[2:-2].split("|", 1)
             say("" if re.match(r"(?i)(?:file|image|category):", target[0].strip()) else target[-1].strip("|"))
@@ -404,12 +412,12 @@ def _light_nodes(text: str, latex: bool, kept: _Kept) -> tuple[list[_Node], int]
         elif kind == "auto":
             say(whole[1:-1])
         elif kind == "atx":
-            say("\n" + whole.strip() + " ")
+            say("\n" + kept.put(whole.strip()) + " ")
         elif kind == "wikihead":
-            say("\n" + "#" * len(m.group("eq")) + " " + whole.strip().strip("= \t") + "\n")
+            say("\n" + kept.put("#" * len(m.group("eq"))) + " " + whole.strip().strip("= \t") + "\n")
         elif kind in ("bold", "under", "strike", "quote", "star", "line"):
-            mark = re.match(r"[*_~']+", whole).group()
-            inside("mark", whole[len(mark) : len(whole) - len(re.search(r"[*_~']+\Z", whole).group())])
+            mark = re.match(r"[*_~']+", m.group()).end()
+            inside("mark", lo + mark, at - len(re.search(r"[*_~']+\Z", m.group()).group()))
         elif kind == "tag":
             name = re.match(r"</?([A-Za-z0-9]+)", whole).group(1).lower()
             closing = whole.startswith("</")
@@ -427,7 +435,7 @@ def _light_nodes(text: str, latex: bool, kept: _Kept) -> tuple[list[_Node], int]
                         say("\n")
                     stack.append(name)
                     if re.fullmatch(r"h[1-6]", name):
-                        say("#" * int(name[1]) + " ")
+                        say(kept.put("#" * int(name[1])) + " ")
                     elif name == "li":
                         say("- ")
                     elif name == "td" or name == "th":
@@ -436,8 +444,52 @@ def _light_nodes(text: str, latex: bool, kept: _Kept) -> tuple[list[_Node], int]
     return nodes, count
 
 
+_FORMULA = re.compile(r"\$\$[^$]+\$\$|\$[^$]*[^$\s]\$|\\\(.*?\\\)|\\\[.*?\\\]", re.S)
+
+
+@dataclass
+class Parsed:
+    """A text as nodes with tag paths. tokens: how many pieces of markup it holds; has_latex: whether LaTeX is still to be converted."""
+
+    nodes: list[_Node]
+    tokens: int
+    kept: _Kept
+    has_latex: bool
+
+
+def parsed(text: str, latex: bool) -> Parsed:
+    """latex: the text is LaTeX source, where only HTML, Markdown and wiki markup outside LaTeX's own counts; elsewhere LaTeX counts too."""
+    kept = _Kept()
+    body = text.replace("\ue000", "").replace("\ue001", "")
+    if latex:
+        seen = _OUTSIDE.sub(_mask, body) if _SOURCE_HINT.search(body) else ""
+        nodes, tokens = _light_nodes(seen, body, True, kept) if seen else ([_Node((), body)], 0)
+        return Parsed(nodes, tokens, kept, True)
+    tokens = sum(1 for _ in latex_tokens(body)) if _LATEX_HINT.search(body) else 0
+    shielded = _FORMULA.sub(lambda m: kept.put(m.group()), body) if tokens else body
+    nodes, more = _light_nodes(shielded, shielded, False, kept)
+    return Parsed(nodes, tokens + more, kept, tokens > 0)
+
+
+def has_residue(text: str | None, latex: bool) -> bool:
+    """Whether a text still holds markup; see ``parsed``."""
+    return bool(text) and parsed(text, latex).tokens > 0
+
+
+def converted(p: Parsed, latex: bool) -> str:
+    """Plain text of the content of a parsed text."""
+    done = _selected(p.nodes)
+    if p.has_latex:
+        done = _latex_commands(_OUTSIDE.sub(lambda m: _protect(m, p.kept), done) if latex else done)
+    done = p.kept.back(done) if p.kept.parts else done
+    if p.tokens or latex:
+        done = re.sub(r"[ \t]+(?=\n)", "", done)
+        done = re.sub(r"\n{3,}", "\n\n", done).strip()
+    return done
+
+
 def clean(text: str | None, latex: bool) -> tuple[str | None, int]:
-    """(plain text, number of markup tokens removed); null stays null.
+    """(plain text, number of markup tokens); null stays null.
 
     Headings become lines with leading #, list items lines with a leading - or
     1., code a fenced block or stands between backquotes, formulas stay between
@@ -445,49 +497,57 @@ def clean(text: str | None, latex: bool) -> tuple[str | None, int]:
     """
     if not text:
         return text, 0
-    kept = _Kept()
-    removed = 0
-    body = text.replace("\ue000", "").replace("\ue001", "")
-    if latex or (_LATEX_HINT.search(body) and next(latex_tokens(body), None) is not None):
-        removed += 0 if latex else sum(1 for _ in latex_tokens(body))
-        shielded = _OUTSIDE.sub(lambda m: _protect(m, kept), body) if latex else re.sub(r"\$\$[^$]+\$\$|\$[^$]*[^$\s]\$|\\\(.*?\\\)|\\\[.*?\\\]", lambda m: kept.put(m.group()), body, flags=re.S)
-        nodes, count = _light_nodes(shielded, latex, kept)
-        parts = _selected(nodes)
-        removed += count
-        done = _latex_commands(parts)
-    else:
-        nodes, count = _light_nodes(body, False, kept)
-        removed += count
-        done = _selected(nodes)
-    done = kept.back(done) if kept.parts else done
-    if removed or latex:
-        done = re.sub(r"[ \t]+(?=\n)", "", done)
-        done = re.sub(r"\n{3,}", "\n\n", done).strip()
-    return done, removed
+    p = parsed(text, latex)
+    return converted(p, latex), p.tokens
+
+
+#: What plain text keeps on purpose: code, formulas, and the marks of headings.
+_KEPT_FORMS = re.compile(r"^```\n.*?^```$|`[^`\n]+(?:\n[^`\n]+)*`|\$\$.*?\$\$|\$[^$]*\$|^ {0,3}#{1,6} |\\\(.*?\\\)|\\\[.*?\\\]", re.S | re.M)
+
+
+def left_over(plain: str | None) -> int:
+    """Pieces of markup in a plain text besides its code, formulas and headings."""
+    if not plain:
+        return 0
+    rest = _KEPT_FORMS.sub(_mask, plain)
+    return (sum(1 for _ in latex_tokens(rest)) if _LATEX_HINT.search(rest) else 0) + (sum(1 for _ in light_tokens(rest)) if _LIGHT_HINT.search(rest) else 0)
 
 
 def _selected(nodes: list[_Node]) -> str:
     good = content_paths(nodes)
-    return "".join(n.text for n in nodes if (n.path in good or not n.text.strip()) and not set(n.path) & {"script", "style", "template", "noscript"})
+    return "".join(n.text for n in nodes if (n.path in good or not n.text.strip()) and not set(n.path) & _UNSEEN)
+
 
+_UNSEEN = {"script", "style", "template", "noscript"}
+_KEY = ["field", "arxiv_id", "section_index", "item_index"]
+_KEYS = "field string, arxiv_id string, section_index int, item_index int"
 
-def _scan(cleaned: bool) -> Callable:
-    names = ["field", "arxiv_id", "section_index", "item_index"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fields, texts = batch.column(0).to_pylist(), batch.column(4).to_pylist()
-            if not cleaned:
-                found = np.array([has_residue(t, f != "section_text") for f, t in zip(fields, texts, strict=True)], bool)
-                yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(found)) for i in range(4)], names=names)
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each item with markup: its pieces of markup, its tag paths, and the share of its characters on paths that are content."""
+    for batch in batches:
+        at, tokens, paths, share = [], [], [], []
+        for i, (field, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+            p = parsed(text, field != "section_text")
+            if not p.tokens:
                 continue
-            plain = [clean(t, f != "section_text") for f, t in zip(fields, texts, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:4], pa.array([p for p, _ in plain], pa.string()), pa.array([n for _, n in plain], pa.int32()), pa.array([has_residue(t, f != "section_text") for f, t in zip(fields, texts, strict=True)])],
-                names=[*names, "plain", "removed", "residue"],
-            )
+            good = content_paths(p.nodes)
+            whole = sum(len(n.text) for n in p.nodes)
+            at.append(i)
+            tokens.append(p.tokens)
+            paths.append(len({n.path for n in p.nodes}))
+            share.append(sum(len(n.text) for n in p.nodes if n.path in good and not set(n.path) & _UNSEEN) / whole if whole else 0.0)
+        rows = batch.take(pa.array(at, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*rows.columns[:4], pa.array(tokens, pa.int32()), pa.array(paths, pa.int32()), pa.array(share, pa.float64())], names=[*_KEY, "tokens", "paths", "content_share"])
 
-    return run
+
+def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        plain = [clean(t, f != "section_text") for f, t in zip(batch.column(0).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns[:4], pa.array([p for p, _ in plain], pa.string()), pa.array([n for _, n in plain], pa.int32()), pa.array([n > 0 for _, n in plain]), pa.array([left_over(p) for p, _ in plain], pa.int32())],
+            names=[*_KEY, "plain", "removed", "residue", "left_over"],
+        )
 
 
 def _items(sections: DataFrame, statements: DataFrame) -> DataFrame:
@@ -498,18 +558,43 @@ def _items(sections: DataFrame, statements: DataFrame) -> DataFrame:
     return text.unionByName(raw).unionByName(statement)
 
 
-def residue(sections: DataFrame, statements: DataFrame) -> DataFrame:
-    """(field, arxiv_id, section_index, item_index) of every item that still holds markup, each key once.
+def measured(sections: DataFrame, statements: DataFrame) -> DataFrame:
+    """(field, arxiv_id, section_index, item_index, tokens, paths, content_share) of every item that still holds markup.
 
-    Null, empty and blank texts hold none; null keys come out as null; other
-    columns are not read; empty tables give no rows.
+    tokens: pieces of markup; paths: different tag paths of its text;
+    content_share: the share of its characters on paths that are content by their
+    tag-path ratios. Null, empty and blank texts hold no markup; null keys come out as null;
+    repeated rows come out repeatedly; other columns are not read; empty tables give no rows.
     """
-    schema = "field string, arxiv_id string, section_index int, item_index int"
-    return _items(sections, statements).where("text is not null").mapInArrow(_scan(False), schema).distinct()
+    return _items(sections, statements).where("text is not null").mapInArrow(_measured, f"{_KEYS}, tokens int, paths int, content_share double")
 
 
-def plain_texts(sections: DataFrame, statements: DataFrame) -> DataFrame:
-    """(field, arxiv_id, section_index, item_index, plain, removed, residue) of every item, each key once: the least text where repeated rows differ."""
-    schema = "field string, arxiv_id string, section_index int, item_index int, plain string, removed int, residue boolean"
-    key = ["field", "arxiv_id", "section_index", "item_index"]
-    return _items(sections, statements).mapInArrow(_scan(True), schema).groupBy(key).agg(F.min(F.struct("plain", "removed", "residue")).alias("x")).select(*key, "x.*")
+def residue(sections: DataFrame, statements: DataFrame) -> DataFrame:
+    """(field, arxiv_id, section_index, item_index) of every item that still holds markup, each key once; cases as for ``measured``."""
+    return measured(sections, statements).select(*_KEY).distinct()
+
+
+#: Repeated keys up to this number go to every task; beyond it, rows are shuffled by key.
+REPEATED = 200_000
+
+
+def plain_texts(sections: DataFrame, statements: DataFrame, scratch: Scratch, repeated: int = REPEATED) -> DataFrame:
+    """(field, arxiv_id, section_index, item_index, plain, removed, residue, left_over) of every item, each key once: the least text where repeated rows differ.
+
+    removed: pieces of markup in the text; residue: whether there are any;
+    left_over: pieces of markup in the plain text besides code, formulas and
+    headings. A null text has a null plain text. Only keys are shuffled to find
+    the repeated ones; the texts of these alone meet by key.
+    """
+    schema = f"{_KEYS}, plain string, removed int, residue boolean, left_over int"
+    rows = _items(sections, statements)
+    twice = scratch.table(rows.groupBy(_KEY).count().where("count > 1").select(*_KEY), "repeated")
+    n = twice.count()
+    same = None
+    for name in _KEY:
+        here = F.col(f"r.{name}").eqNullSafe(F.col(f"t.{name}"))
+        same = here if same is None else same & here
+    listed = F.broadcast(twice) if n <= repeated else twice
+    once = rows.alias("r").join(listed.alias("t"), same, "left_anti") if n else rows
+    again = rows.alias("r").join(listed.alias("t"), same, "left_semi").groupBy(_KEY).agg(F.min("text").alias("text")) if n else rows.limit(0)
+    return once.unionByName(again).mapInArrow(_cleaned, schema)

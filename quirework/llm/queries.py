@@ -87,7 +87,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plain text of every item, with headings, lists, code blocks and formulas."""
-    return markup.plain_texts(table(spark, sf_dir, "sections"), table(spark, sf_dir, "statements"))
+    return markup.plain_texts(table(spark, sf_dir, "sections"), table(spark, sf_dir, "statements"), Scratch(spark, "p6"))
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,9 @@
+import time
+
 import pytest
 
 from quirework.llm import markup as M
+from quirework.scratch import Scratch
 
 TEXT = [
     "a <b>bold</b> word", "x<br/>y", "see <!-- gone --> that", "a&nbsp;b", "&#8211;", "&#x3b1;", "**strong** words", "__strong__ words", "an *easy* word", "~~old~~ text",
@@ -58,7 +61,8 @@ def test_tables(spark):
     s = spark.createDataFrame([("p", 0, ["a <b>x</b>", None, "", "fine"], "ok **x**", 1), ("p", 0, ["a <b>x</b>", None, "", "fine"], "ok **x**", 1), ("q", 1, None, None, 1)], "arxiv_id string, section_index int, text array<string>, raw_latex string, field int")
     t = spark.createDataFrame([("p", 0, 2, "<i>x</i>"), (None, None, None, "$x$"), (None, 1, None, "''y'' z")], "arxiv_id string, section_index int, statement_index int, raw_latex string")
     assert {tuple(r) for r in M.residue(s, t).collect()} == {("section_text", "p", 0, 0), ("section_raw", "p", 0, -1), ("statement_raw", "p", 0, 2), ("statement_raw", None, 1, None)}
-    rows = M.plain_texts(s, t).collect()
+    rows = M.plain_texts(s, t, Scratch(spark, "t")).collect()
+    assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, M.plain_texts(s, t, Scratch(spark, "t"), repeated=0).collect()), key=str)
     assert len(rows) == 4 + 2 + 3 and {r.plain for r in rows if r.residue} >= {"a x", "ok x", "x"}
     assert M.residue(s.limit(0), t.limit(0)).count() == 0
 
@@ -78,3 +82,29 @@ def test_short_items_and_words_within_prose_stay():
     page = f"<div><ul><li><a href='x'>Home</a></li><li><a href='y'>About</a></li></ul></div><p>{prose}</p><section><p>{prose}</p></section><footer>{prose}</footer>"
     plain, _ = M.clean(page, False)
     assert "running text" in plain and not any(word in plain for word in ("Home", "About"))
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["an *easy\nword over\nfour\nlines* here", "a **" + "bold " * 3000 + "end** b", "[[Topic|" + "w" * 800 + "]] c", "use `a\nb\nc\nd\ne\nf` here", "_" + "a_b " * 60 + "c_ d", "''" + "x " * 5000 + "y'' z"],
+)
+def test_markup_of_any_extent(text):
+    assert M.has_residue(text, False)
+
+
+@pytest.mark.parametrize("text", ["an *easy\n\nword* here", "a **bold\n \nword** b", "use `a\n\nb"])
+def test_emphasis_ends_with_its_paragraph(text):
+    assert not M.has_residue(text, False)
+
+
+@pytest.mark.parametrize("text", ["{{ab" + "|" * 50_000, "<!--" * 50_000, "~~~x\n" * 30_000, "*a " * 50_000, "**a *b " * 30_000, "[[a|" * 30_000, "_a_b" * 30_000 + " _c", "<b" + " " * 50_000, "[a](" * 30_000, "$a " * 30_000])
+def test_open_marks_take_linear_time(text):
+    began = time.perf_counter()
+    M.has_residue(text, False)
+    assert time.perf_counter() - began < 5
+
+
+def test_conversion_leaves_no_markup():
+    text = "<h1>T</h1> <b>x</b> **y** [z](https://a.example/b) &lt;w&gt; and `**code**` with $a_b*c*$ {{cite|A}} \\emph{v}"
+    plain, n = M.clean(text, False)
+    assert n > 6 and M.left_over(plain) == 0 and M.left_over("a **b** c") == 1 and M.left_over("\\em x") == 1 and M.left_over("# Head\n`*x*` $*y*$") == 0
