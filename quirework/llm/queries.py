@@ -47,6 +47,13 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.oversized_paragraphs(table(spark, sf_dir, "sections"), table(spark, sf_dir, "paragraphs"))
 
 
+def p2_file_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of files that hold the paragraphs of all sections, split from byte ranges."""
+    files = splitting.text_files(table(spark, sf_dir, "sections"), Scratch(spark, "p2"))
+    pieces = splitting.split_files(spark, files, range_bytes=1 << 20)
+    return pieces.select(F.regexp_extract("path", r"file=([0-9]+)", 1).cast("int").alias("file"), "start", "end", "piece")
+
+
 def _vector_tables(spark: SparkSession, sf_dir: str) -> list:
     return [
         ("techniques", table(spark, sf_dir, "techniques"), "passage_id", "embedding"),
@@ -120,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_groups": p1_groups,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
+    "p2_file_pieces": p2_file_pieces,
     "p3_found": p3_found,
     "p3_top5": p3_top5,
     "p4_found": p4_found,

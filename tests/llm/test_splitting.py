@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -6,8 +7,30 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quirework.llm import splitting as S
+from quirework.scratch import Scratch
 
-PIECES = st.lists(st.sampled_from(["a", "bc ", ". ", ".", "\n", "\n\n", "! ", "é。", "\r\n", "  \n \n", '."', "word "]), max_size=1500).map("".join)
+PIECES = st.lists(st.sampled_from(["a", "bc ", ". ", ".", "\n", "\n\n", "! ", "é。", "\r\n", "  \n \n", '."', "word ", "…” ", "\u3000", "\u2003x", "\xa0", "？ ", "😀", "\t\r\n"]), max_size=1500).map("".join)
+
+
+BOUNDARY = re.compile(r"(?P<l>\n)|(?P<s>[.!?…][\"'”’)\]]?(?=\s)|[。！？])|(?P<w>\S(?=\s))")
+
+
+def brute_boundaries(text):
+    kind = {"l": S.LINE_END, "s": S.SENTENCE_END, "w": S.WORD_END}
+    found = {}
+    for m in BOUNDARY.finditer(text):
+        found[m.end()] = S.PARAGRAPH_END if m.lastgroup == "l" and re.search(r"\n[ \t]{0,4}\r?\n\Z", text[max(0, m.end() - 8) : m.end()]) else kind[m.lastgroup]
+    return sorted(found.items())
+
+
+@settings(max_examples=150, deadline=None)
+@given(PIECES, st.integers(5, 300))
+def test_boundaries_of_byte_ranges_equal_those_of_the_text(text, size):
+    at, kind = S.boundaries(text, size)
+    assert list(zip(at.tolist(), kind.tolist(), strict=True)) == brute_boundaries(text)
+    whole = S.Stitched(text.encode(), size)
+    for point in range(0, len(text) + 1, 7):
+        assert whole.byte(point) == len(text[:point].encode()) and whole.point(whole.byte(point)) == point
 
 
 def check(text, cut, most=1500, overlap=(100, 200)):
@@ -66,3 +89,19 @@ def test_files_by_byte_ranges(spark, tmp_path):
         assert 100 <= a.end - b.start <= 200
     one = sorted(S.split_files(spark, [str(path)], range_bytes=1 << 24).collect(), key=lambda r: r.start)
     assert [(r.start, r.end) for r in one] == S.split(text)
+
+
+def test_paragraphs_of_sections_as_files(spark, tmp_path):
+    long = "One sentence here, né. " * 900
+    rows = [(f"p{i}", 0, [f"start {i}", long, None, "end"]) for i in range(6)] + [("p0", 0, ["start 0", long, None, "end"])]
+    sections = spark.createDataFrame(rows, "arxiv_id string, section_index int, text array<string>")
+    files = S.text_files(sections, Scratch(spark, "t"), rows=9)
+    got = S.split_files(spark, files, range_bytes=16_000).collect()
+    assert len(files) == len({r.path for r in got}) > 1
+    for path in files:
+        with open(path.removeprefix("file://"), encoding="utf-8") as f:
+            text = f.read()
+        own = sorted((r.start, r.end, r.piece) for r in got if r.path == path)
+        assert own[0][0] == 0 and own[-1][1] == len(text) and all(text[a:b] == t and len(t) <= 1500 for a, b, t in own)
+        assert all(100 <= a[1] - b[0] <= 200 for a, b in zip(own, own[1:], strict=False))
+    assert S.text_files(sections.limit(0), Scratch(spark, "t")) == []
