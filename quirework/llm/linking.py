@@ -105,8 +105,8 @@ def _bucket_pairs(max_hamming: int, direct: int) -> Callable:
     return run
 
 
-def _cross_pairs(max_hamming: int) -> Callable:
-    """Pairs of a block pair whose items lie in different components."""
+def _cross_pairs(max_hamming: int, complete: bool) -> Callable:
+    """Pairs of a block pair whose items lie in different components; all its pairs if ``complete``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, list] = {}
@@ -114,7 +114,8 @@ def _cross_pairs(max_hamming: int) -> Callable:
         def work(parts: list) -> pa.RecordBatch:
             side, key, bits, comp = (np.concatenate([p[i] for p in parts]) for i in range(4))
             left, right = side <= 0, side >= 0
-            i, j = np.nonzero((_hamming(bits[left], bits[right]) <= max_hamming) & (comp[left][:, None] != comp[right][None, :]))
+            close = _hamming(bits[left], bits[right]) <= max_hamming
+            i, j = np.nonzero(close if complete else close & (comp[left][:, None] != comp[right][None, :]))
             x, y = key[left][i], key[right][j]
             keep = x != y
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[keep]), pa.array(np.maximum(x, y)[keep])], names=["a", "b"])
@@ -142,6 +143,7 @@ def link_components(
     scratch: Scratch,
     direct: int = DIRECT,
     block: int = BLOCK,
+    complete: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """(components, links) of the items whose candidate pairs ``verify`` accepts.
 
@@ -153,7 +155,10 @@ def link_components(
     filter. A larger one first gives only its links to its smallest item (a hub);
     after components are known, its pairs across components are compared in
     blocks of ``block`` items. Pairs within a component already joined change
-    nothing, so no link that matters is lost and no hot bucket meets one task.
+    no component, so none is lost and no hot bucket meets one task; buckets of
+    one component are done. Links are complete outside hot buckets; with
+    ``complete`` the pairs within components are compared there too, and links are
+    complete everywhere.
     """
     rows = sketches.repartition("h").sortWithinPartitions("h", "key").mapInArrow(_bucket_pairs(max_hamming, direct), PAIRS)
     rows = scratch.table(rows, "candidates")
@@ -163,6 +168,9 @@ def link_components(
     hot = rows.where("h is not null").select("h", "key", "bits").distinct()
     if not hot.isEmpty():
         hot = hot.join(comps.select(F.col("node").alias("key"), "comp"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+        if not complete:
+            mixed = hot.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("h")
+            hot = hot.join(mixed, "h", "left_semi")
         hot = scratch.table(hot, "hot")
         blocks = hot.groupBy("h").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("n"))
         at = F.pmod(F.xxhash64("key"), F.col("n")).cast("int")
@@ -179,7 +187,7 @@ def link_components(
                 "comp",
             )
         )
-        across = spread.repartition("h", "p").sortWithinPartitions("h", "p").mapInArrow(_cross_pairs(max_hamming), "a long, b long")
+        across = spread.repartition("h", "p").sortWithinPartitions("h", "p").mapInArrow(_cross_pairs(max_hamming, complete), "a long, b long")
         more = scratch.table(verify(across.distinct().join(links.select("a", "b"), ["a", "b"], "left_anti")), "more-links")
         links = scratch.table(links.unionByName(more), "all-links")
         comps = connected_components(links, scratch)

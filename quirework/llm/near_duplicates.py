@@ -2,8 +2,10 @@
 
 Each text is a sequence of lower-case words. A sketch entry is the two or
 three k-mers (with occurrence numbers) of least hash, kept in text order; texts
-that share an entry are candidates. Candidates are aligned in a band and held against
-the exact similarity: distinct words in both over distinct words in either.
+that share an entry are candidates. Candidates are aligned in a band. The similarity
+asked for is distinct words in both over distinct words in either; a short edit
+distance proves it, and where the alignment proves nothing (parts in another order,
+insertions wider than the band) the overlap itself is counted.
 """
 
 from __future__ import annotations
@@ -265,25 +267,81 @@ def banded_alignment(pairs: list[tuple[np.ndarray, np.ndarray]], band: int = BAN
     return 1 - out / longest
 
 
-def _verify(threshold: float):
+def _aligned(pairs: list[tuple[np.ndarray, np.ndarray]], band: int = BAND) -> np.ndarray:
+    """``banded_alignment`` of many pairs, those of like length together, so that memory stays small."""
+    out = np.empty(len(pairs))
+    length = np.array([max(len(a), len(b)) for a, b in pairs], np.int64)
+    order = np.argsort(length, kind="stable")
+    lo = 0
+    while lo < len(order):
+        hi = min(lo + 1024, len(order))
+        while hi - lo > 1 and length[order[hi - 1]] * (hi - lo) > 2_000_000:
+            hi = lo + max(1, (hi - lo) // 2)
+        out[order[lo:hi]] = banded_alignment([pairs[i] for i in order[lo:hi]], band)
+        lo = hi
+    return out
+
+
+def proven(alignment: np.ndarray, longest: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A lower bound of the similarity of each pair that its alignment proves. a, b: distinct words of both; longest: words of the longer.
+
+    With e edits at most e words of either text are matched by none of the other,
+    so at least max(a, b) - e distinct words are in both.
+    """
+    both = np.maximum(np.maximum(a, b) - np.rint((1 - alignment) * longest), 0)
+    return both / np.maximum(a + b - both, 1)
+
+
+def _overlap(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Distinct words in both over distinct words in either; pairs hold distinct words."""
+    both = np.empty(len(pairs))
+    for i, (x, y) in enumerate(pairs):
+        z = np.concatenate([x, y])
+        z.sort()
+        both[i] = (z[1:] == z[:-1]).sum()
+    return both / np.array([len(x) + len(y) for x, y in pairs] - both)
+
+
+def _verify(threshold: float, exact: bool):
+    """(a, b, similarity, alignment) of the pairs that hold. Without ``exact`` the similarity of a pair proven by its alignment is the proven lower bound."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wide = [(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) for x, y in zip(batch.column("wa").to_pylist(), batch.column("wb").to_pylist(), strict=True)]
+            sets = [(np.unique(x), np.unique(y)) for x, y in wide]
+            na, nb = (np.array([len(p[i]) for p in sets], np.int64) for i in range(2))
+            at = np.flatnonzero(np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9)  # others cannot reach the threshold
+            if not len(at):
+                continue
+            aligned = _aligned([wide[i] for i in at])
+            longest = np.array([max(len(wide[i][0]), len(wide[i][1])) for i in at])
+            similarity = proven(aligned, longest, na[at], nb[at])
+            open_ = np.ones(len(at), bool) if exact else similarity < threshold - 1e-12
+            similarity[open_] = _overlap([sets[i] for i in at[open_]])
+            good = similarity >= threshold - 1e-12
+            rows = batch.take(pa.array(at[good]))
+            yield pa.RecordBatch.from_arrays([rows.column("a"), rows.column("b"), pa.array(similarity[good]), pa.array(aligned[good])], names=["a", "b", "similarity", "alignment"])
+
+    return run
+
+
+def _prefixes(common: np.ndarray, threshold: float):
+    """Sketch rows that miss no pair: of each text the words, in an order that puts common ones last, of which two texts at the threshold share at least one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
-            pairs = [(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) for x, y in zip(batch.column("wa").to_pylist(), batch.column("wb").to_pylist(), strict=True)]
-            similarity = np.empty(len(pairs))
-            for i, (x, y) in enumerate(pairs):
-                x, y = set(x.tolist()), set(y.tolist())
-                both = len(x & y)
-                similarity[i] = both / (len(x) + len(y) - both)
-            good = np.flatnonzero(similarity >= threshold - 1e-12)
-            aligned = np.empty(len(good))
-            for lo in range(0, len(good), 512):  # a table row of 512 pairs at a time keeps memory small
-                part = good[lo : lo + 512]
-                longest = max(max(len(pairs[i][0]), len(pairs[i][1])) for i in part)
-                step = max(1, min(512, 2_000_000 // max(1, longest)))
-                for s in range(0, len(part), step):
-                    aligned[lo + s : lo + s + len(part[s : s + step])] = banded_alignment([pairs[i] for i in part[s : s + step]])
-            yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good]), pa.array(similarity[good]), pa.array(aligned)], names=["a", "b", "similarity", "alignment"])
+            if not batch.num_rows:
+                continue
+            keys, h, n = batch.column(0).to_numpy(), [], []
+            flat, starts = _sequences(batch.column(1))
+            for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+                own = np.unique(flat[lo:hi])
+                own = own[np.lexsort([own, np.isin(_kmers(own, np.arange(len(own) + 1), 1)[0], common)])]
+                own = own[: len(own) - int(np.ceil(threshold * len(own) - 1e-9)) + 1]
+                h.append(own)
+                n.append(len(own))
+            key = np.repeat(keys, n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), pa.array(key), pa.array(np.zeros(len(key), np.int64))], names=["h", "key", "bits"])
 
     return run
 
@@ -298,13 +356,19 @@ def near_duplicates(
     entries: int = ENTRIES,
     max_hamming: int = MAX_HAMMING,
     direct: int = DIRECT,
+    complete: bool = True,
+    exact: bool = False,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, groups, links) of the near-duplicates among a table's texts.
 
     members: (id, key) of every row with words; key stands for one word sequence,
     so rows that are exact copies share it and are compared once. groups: (key,
     comp) of the keys linked to another; links: (a, b, similarity, alignment) of
-    keys whose distinct words overlap by at least ``threshold``.
+    keys whose distinct words overlap by at least ``threshold``. complete: links
+    hold every candidate pair; otherwise those that components need, and a
+    similarity may be the lower bound that the alignment proves. exact: candidates
+    come from shared words of which no pair at the threshold has none, instead of
+    from sketches; slower, and certain.
 
     Null ids, null texts and texts without a word take no part. Repeated rows of
     an id count once. Other columns of ``df`` are not read. An empty table gives
@@ -312,15 +376,19 @@ def near_duplicates(
     """
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     rows = scratch.table(rows.mapInArrow(_tokenise, TOKENS), "words")
-    common = common_kmers(rows.select("words"), k=k)
-    sketches = rows.select("key", "words").mapInArrow(_sketch(common, k, entries), "h long, key long, bits long")
+    common = common_kmers(rows.select("words"), k=1 if exact else k)
+    if exact:
+        once = rows.groupBy("key").agg(F.min("words").alias("words"))
+        sketches, max_hamming = once.mapInArrow(_prefixes(common, threshold), "h long, key long, bits long"), 64
+    else:
+        sketches = rows.select("key", "words").mapInArrow(_sketch(common, k, entries), "h long, key long, bits long")
     packed = rows.groupBy("key").agg(F.min("words").alias("words"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         both = pairs.join(packed.select(F.col("key").alias("a"), F.col("words").alias("wa")), "a").join(packed.select(F.col("key").alias("b"), F.col("words").alias("wb")), "b")
-        return both.select("a", "b", "wa", "wb").mapInArrow(_verify(threshold), "a long, b long, similarity double, alignment double")
+        return both.select("a", "b", "wa", "wb").mapInArrow(_verify(threshold, complete), "a long, b long, similarity double, alignment double")
 
-    groups, links = link_components(sketches, verify, max_hamming, scratch, direct)
+    groups, links = link_components(sketches, verify, max_hamming, scratch, direct, complete=complete)
     members = rows.select("id", "key").dropDuplicates(["id"])
     return members, groups.select(F.col("node").alias("key"), "comp"), links
 
@@ -328,3 +396,13 @@ def near_duplicates(
 def grouped_rows(members: DataFrame, groups: DataFrame) -> DataFrame:
     """(id, group): a row's group is that of its key; copies of one text form a group also without a link."""
     return members.join(groups, "key", "left").select("id", F.coalesce("comp", "key").alias("group"))
+
+
+def pairs_of_groups(rows: DataFrame, block: int = 4096) -> DataFrame:
+    """(a, b): every pair of ids of one group, the smaller first. A group of more than ``block`` rows is dealt to tasks in pairs of blocks."""
+    sizes = rows.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
+    many = F.ceil(F.col("n") / F.lit(block)).cast("int")
+    sized = rows.join(sizes, "group").select("group", "id", many.alias("blocks"), F.pmod(F.xxhash64("id"), many).cast("int").alias("block"))
+    left = sized.select("group", F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.col("id").alias("a"))
+    right = sized.select("group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.col("block").alias("j"), F.col("id").alias("b"))
+    return left.join(right, ["group", "i", "j"]).where("a < b").select("a", "b")

@@ -18,11 +18,8 @@ __all__ = ["ORACLE", "QUERIES"]
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of passages of one group of near-duplicates."""
-    members, groups, _ = nd.near_duplicates(table(spark, sf_dir, "techniques"), Scratch(spark, "p1"))
-    rows = nd.grouped_rows(members, groups)
-    a = rows.select("group", F.col("id").alias("passage_id_a"))
-    b = rows.select("group", F.col("id").alias("passage_id_b"))
-    return a.join(b, "group").where("passage_id_a < passage_id_b").select("passage_id_a", "passage_id_b")
+    members, groups, _ = nd.near_duplicates(table(spark, sf_dir, "techniques"), Scratch(spark, "p1"), complete=False)
+    return nd.pairs_of_groups(nd.grouped_rows(members, groups)).select(F.col("a").alias("passage_id_a"), F.col("b").alias("passage_id_b"))
 
 
 def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,6 +102,59 @@ def test_hub_path_finds_links_not_through_the_hub(spark):
     assert links.where("b - a = 1").count() == 39
 
 
+def test_links_of_a_hot_bucket_are_complete(spark):
+    """With complete links every pair within the threshold is one, in hot buckets too; without, components are the same."""
+    sketch = spark.createDataFrame([(1, k, 0) for k in range(40)] + [(2, k, 0) for k in range(5)], "h long, key long, bits long")
+    verify = lambda p: p.where("b - a <= 3")
+    comps, links = linking.link_components(sketch, verify, 64, Scratch(spark, "test"), direct=4, block=7, complete=True)
+    assert {(r.a, r.b) for r in links.collect()} == {(a, b) for a in range(40) for b in range(a + 1, min(a + 4, 40))}
+    few, some = linking.link_components(sketch, verify, 64, Scratch(spark, "test"), direct=4, block=7)
+    assert {tuple(r) for r in few.collect()} == {tuple(r) for r in comps.collect()} and some.count() < links.count()
+
+
+def test_exact_candidates_miss_no_pair(spark):
+    """Texts of few words, and pairs right at the threshold, where sketches are least sure."""
+    rng = random.Random(9)
+    rows = []
+    for k in range(150):
+        own = [f"w{rng.randint(0, 60)}" for _ in range(rng.randint(1, 24))]
+        rows.append((f"a{k}", " ".join(own)))
+        rng.shuffle(own)
+        rows.append((f"b{k}", " ".join(own[: max(1, round(len(own) * 0.75))])))
+    got, links = run(spark, rows, exact=True)
+    assert pairs(got) == pairs(brute_groups(rows))
+    sets = {}
+    for _, text in rows:
+        sets[tuple(words(text))] = set(words(text))
+    own = list(sets.values())
+    assert links.count() == sum(len(x & y) >= 0.7 * len(x | y) - 1e-9 for i, x in enumerate(own) for y in own[i + 1 :])
+
+
+def test_texts_in_another_order_are_linked_though_alignment_proves_nothing(spark):
+    a, b = [f"x{i}" for i in range(40)], [f"y{i}" for i in range(40)]
+    got, links = run(spark, [("p", " ".join(a + b)), ("q", " ".join(b + a)), ("r", " ".join(a + b[:36]))])
+    assert pairs(got) == {("p", "q"), ("p", "r"), ("q", "r")}
+    assert min(r.alignment for r in links.collect()) < 0.2
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.lists(st.integers(1, 9), min_size=1, max_size=15), st.lists(st.integers(1, 9), min_size=1, max_size=15)), min_size=1, max_size=5))
+def test_proven_similarity_is_a_lower_bound(pairs_):
+    aligned = nd.banded_alignment([(np.array(a, np.uint32), np.array(b, np.uint32)) for a, b in pairs_])
+    sets = [(set(a), set(b)) for a, b in pairs_]
+    low = nd.proven(aligned, np.array([max(len(a), len(b)) for a, b in pairs_]), *(np.array([len(p[i]) for p in sets]) for i in range(2)))
+    for (x, y), value in zip(sets, low, strict=True):
+        assert value <= len(x & y) / len(x | y) + 1e-9
+
+
+def test_pairs_of_large_groups_come_in_blocks(spark):
+    rows = spark.createDataFrame([(1, f"i{k:02d}") for k in range(30)] + [(2, "z"), (3, "x"), (3, "y")], "group long, id string")
+    want = {(f"i{a:02d}", f"i{b:02d}") for a in range(30) for b in range(a + 1, 30)} | {("x", "y")}
+    for block in (4, 4096):
+        got = nd.pairs_of_groups(rows, block).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
