@@ -1,7 +1,7 @@
 """Problem 4: clusters of similar vectors by MinHash, exact checks and connected components.
 
-A vector becomes a set of tokens: for each of many random rotations, the axis
-and sign of the rotated vector's largest coordinate. Similar vectors share
+A vector becomes a set of tokens: for each of many random rotations, the axes
+and signs of the rotated vector's few largest coordinates. Similar vectors share
 tokens, so bands of MinHash values of the sets give candidate pairs. Candidates
 must reach an exact Jaccard similarity of their sets and then the exact cosine;
 connected components of the links are the clusters. Inside a component, degrees
@@ -20,106 +20,150 @@ from pyspark.sql import functions as F
 
 from quirework.llm.common import mix
 from quirework.llm.linking import DIRECT, link_components
-from quirework.llm.neighbours import ROWS, _exact, _matrix, _space_rows, _whole
+from quirework.llm.neighbours import ROWS, _exact, _matrix, _signed, _space_rows, _usable, _whole
 from quirework.scratch import Scratch
 
-#: Rotations, that is tokens of a vector's set.
-TOKENS = 192
-#: MinHash values of a band, and bands.
+#: Rotations, and tokens that each adds to a vector's set.
+ROTATIONS = 32
+LARGEST = 4
+#: MinHash values of a band, and bands: at a cosine of 0.8 a pair shares a band with 0.995.
 ROWS_PER_BAND = 2
-BANDS = 128
-#: Least exact Jaccard similarity of two token sets; a cosine of 0.8 has about 0.2 on average.
-LEAST_JACCARD = 0.06
-#: Sign bits in which two vectors may differ: at a cosine of 0.8 about 13 of 64 on average, for unrelated ones 32.
-MAX_HAMMING = 24
+BANDS = 68
+#: Least exact Jaccard similarity of two token sets. At a cosine of 0.8 it is 0.28 on average with a deviation of 0.03; at 0.5, 0.10.
+LEAST_JACCARD = 0.13
+#: Sign bits, of 64 planes at right angles, in which two vectors may differ: at a cosine of 0.8 about 13 on average and more than 22 with 0.0007, for unrelated ones 32.
+MAX_HAMMING = 22
+#: Pairs are compared by vectors of half precision; nearer to the threshold than this, by the vectors themselves.
+ROUGH = 2e-3
 #: Directions of one block where degrees are counted; a part of no more is divided in one task.
 BLOCK = 2048
 SEED = 7
 
 
-def _rotations(dim: int) -> np.ndarray:
-    """TOKENS random rotations of the space, one below the other; every worker makes the same."""
-    rng = np.random.default_rng([SEED, dim])
-    return np.concatenate([np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(TOKENS)]).astype(np.float32)
+def _at_right_angles(rng: np.random.Generator, dim: int, n: int) -> np.ndarray:
+    """n unit vectors, each ``dim`` of them at right angles."""
+    turns = [np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(-(-n // dim))]
+    return np.concatenate(turns)[:n].astype(np.float32)
 
 
 class _Tokeniser:
+    """Every worker makes the same rotations: ROTATIONS * dim * dim floats."""
+
     def __init__(self) -> None:
         self._of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def __call__(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(tokens, sign bits) of each vector; token t of rotation t is 2 * axis + sign, so equal sets agree place by place."""
+        """(tokens, sign bits) of each vector: (n, ROTATIONS, LARGEST) tokens 2 * axis + sign, and 64 bits. Fewer axes than LARGEST give repeated tokens."""
         dim = x.shape[1]
         if dim not in self._of:
-            planes = np.random.default_rng([SEED + 1, dim]).standard_normal((dim, 64)).astype(np.float32)
-            self._of[dim] = _rotations(dim), planes
+            rng = np.random.default_rng([SEED, dim])
+            self._of[dim] = _at_right_angles(rng, dim, ROTATIONS * dim), _at_right_angles(rng, dim, 64)
         rotations, planes = self._of[dim]
-        tokens = np.empty((len(x), TOKENS), np.int32)
+        most = min(LARGEST, dim)
+        tokens = np.empty((len(x), ROTATIONS, LARGEST), np.uint8 if 2 * dim <= 256 else np.int32)
         for lo in range(0, len(x), 256):
-            turned = (x[lo : lo + 256] @ rotations.T).reshape(-1, TOKENS, dim)
-            axis = np.abs(turned).argmax(axis=2)
-            sign = np.take_along_axis(turned, axis[:, :, None], 2)[:, :, 0] < 0
-            tokens[lo : lo + 256] = 2 * axis + sign
-        bits = ((x @ planes > 0).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+            turned = (x[lo : lo + 256] @ rotations.T).reshape(-1, ROTATIONS, dim)
+            axis = np.argpartition(-np.abs(turned), most - 1, axis=2)[:, :, :most] if most < dim else np.broadcast_to(np.arange(dim), turned.shape)
+            own = 2 * axis + (np.take_along_axis(turned, axis, 2) < 0)
+            tokens[lo : lo + 256, :, :most] = own
+            tokens[lo : lo + 256, :, most:] = own[:, :, :1]
+        bits = ((x @ planes.T > 0).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
         return tokens, bits.view(np.int64)
 
 
-def _min_hashes(tokens: np.ndarray, dim: int, n: int) -> np.ndarray:
-    """(len(tokens), n): for each hash function the least hash over the set's tokens."""
-    named = mix((tokens.astype(np.uint64) + np.uint64(2 * dim) * np.arange(tokens.shape[1], dtype=np.uint64)[None, :]) + np.uint64(1))
-    odd = mix(np.arange(1, n + 1, dtype=np.uint64) + np.uint64(SEED << 20)) | np.uint64(1)
-    out = np.empty((len(tokens), n), np.uint64)
+def _min_hashes(tokens: np.ndarray, n: int) -> np.ndarray:
+    """(len(tokens), n): for each hash function the least hash over the set's tokens; a token is known with its rotation."""
+    named = mix((tokens.astype(np.uint64) + (np.arange(tokens.shape[1], dtype=np.uint64) << np.uint64(32))[None, :, None]).reshape(len(tokens), -1) + np.uint64(1))
+    named = (named >> np.uint64(32)).astype(np.uint32)
+    odd = (mix(np.arange(1, n + 1, dtype=np.uint64) + np.uint64(SEED << 20)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    out = np.empty((len(tokens), n), np.uint32)
     for i in range(n):
         out[:, i] = (named * odd[i]).min(axis=1)
     return out
 
 
+def jaccard(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Exact Jaccard similarity of the token sets of each pair, both (n, ROTATIONS, LARGEST)."""
+    once = [np.stack([~(t[:, :, :k] == t[:, :, k : k + 1]).any(axis=2) for k in range(LARGEST)], axis=2) for t in (x, y)]  # the first of repeated tokens
+    both = sum(((x[:, :, k : k + 1] == y).any(axis=2) & once[0][:, :, k]).sum(axis=1) for k in range(LARGEST))
+    return both / (once[0].sum(axis=(1, 2)) + once[1].sum(axis=(1, 2)) - both)
+
+
+SETS = "id string, key long, bits long, dim int, tokens binary, half binary, v binary"
+
+
+def _tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of SETS: each usable vector with its tokens, its sign bits, and itself in half and single precision."""
+    of = _Tokeniser()
+    for batch in batches:
+        for rows, x, keys, packed in _usable(batch):
+            single = x.astype(np.float32)
+            tokens, bits = of(single)
+            data = [rows.column(0), pa.array(_signed(keys)), pa.array(bits), pa.array(np.full(len(x), x.shape[1], np.int32))]
+            data += [pa.array([t.tobytes() for t in tokens], pa.binary()), pa.array([h.tobytes() for h in x.astype(np.float16)], pa.binary()), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(data, names=[f.split()[0] for f in SETS.split(", ")])
+
+
+def _sets(column: pa.Array, dim: int) -> np.ndarray:
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), np.uint8 if 2 * dim <= 256 else np.int32).reshape(len(rows), ROTATIONS, LARGEST)
+
+
+def _of_one_length(batch: pa.RecordBatch, dims: str) -> Iterator[tuple[pa.RecordBatch, int]]:
+    dim = np.asarray(batch.column(dims))
+    for one in np.unique(dim).tolist():
+        yield (batch if (dim == one).all() else batch.filter(pa.array(dim == one))), one
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Band rows of each direction, once per partition."""
-    of = _Tokeniser()
     seen: set[int] = set()
     for batch in batches:
-        keys, first = np.unique(batch.column("key").to_numpy(), return_index=True)
-        rows = batch.column("v").to_pylist()
-        fresh = [(k, rows[i]) for k, i in zip(keys.tolist(), first.tolist(), strict=True) if k not in seen]
-        seen.update(k for k, _ in fresh)
-        if len(seen) > 1_000_000:
-            seen.clear()
-        for size in {len(v) for _, v in fresh}:
-            own = [(k, v) for k, v in fresh if len(v) == size]
-            for lo in range(0, len(own), 1024):
-                part = own[lo : lo + 1024]
-                x = np.frombuffer(b"".join(v for _, v in part), np.float32).reshape(len(part), -1)
-                tokens, bits = of(x)
-                values = _min_hashes(tokens, x.shape[1], BANDS * ROWS_PER_BAND).reshape(len(part), BANDS, ROWS_PER_BAND)
-                h = mix(np.arange(BANDS, dtype=np.uint64)[None, :] + np.uint64(x.shape[1] << 16))
-                for r in range(ROWS_PER_BAND):
-                    h = mix(h ^ values[:, :, r])
-                key = np.array([k for k, _ in part], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h.T.ravel().view(np.int64)), pa.array(np.tile(key, BANDS)), pa.array(np.tile(bits, BANDS))], names=["h", "key", "bits"])
+        for rows, dim in _of_one_length(batch, "dim"):
+            keys, first = np.unique(rows.column("key").to_numpy(), return_index=True)
+            fresh = np.array([k not in seen for k in keys.tolist()], bool)
+            seen.update(keys.tolist())
+            if len(seen) > 1_000_000:
+                seen.clear()
+            rows = rows.take(pa.array(first[fresh]))
+            if not rows.num_rows:
+                continue
+            values = _min_hashes(_sets(rows.column("tokens"), dim), BANDS * ROWS_PER_BAND).reshape(rows.num_rows, BANDS, ROWS_PER_BAND)
+            h = mix(np.arange(BANDS, dtype=np.uint64)[None, :] + np.uint64(dim << 16))
+            for r in range(ROWS_PER_BAND):
+                h = mix(h ^ values[:, :, r])
+            key, bits = (np.tile(rows.column(c).to_numpy(), BANDS) for c in ("key", "bits"))
+            yield pa.RecordBatch.from_arrays([pa.array(h.T.ravel().view(np.int64)), pa.array(key), pa.array(bits)], names=["h", "key", "bits"])
 
 
 def _verify(least: float, least_jaccard: float):
+    """(a, b, cosine, jaccard, close) of the pairs of enough Jaccard similarity and cosine; those too close to the threshold to tell by half precision are marked."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = _Tokeniser()
         for batch in batches:
-            wide = [len(v) for v in batch.column("va").to_pylist()]
-            same = np.array(wide) == np.array([len(v) for v in batch.column("vb").to_pylist()])
-            for size in set(wide):
-                rows = batch.filter(pa.array(same & (np.array(wide) == size)))
-                if not rows.num_rows:
-                    continue
-                x, y = _matrix(rows.column("va")), _matrix(rows.column("vb"))
-                cosine = _exact(x, y)
-                ends = np.concatenate([rows.column("a").to_numpy(), rows.column("b").to_numpy()])
-                _, first, at = np.unique(ends, return_index=True, return_inverse=True)
-                tokens = of(np.concatenate([x, y])[first])[0]
-                equal = (tokens[at[: len(x)]] == tokens[at[len(x) :]]).sum(axis=1)
-                jaccard = equal / (2 * TOKENS - equal)
-                keep = (jaccard >= least_jaccard) & (cosine >= least)
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column("a").filter(pa.array(keep)), rows.column("b").filter(pa.array(keep)), pa.array(cosine[keep]), pa.array(jaccard[keep])], names=["a", "b", "cosine", "jaccard"]
-                )
+            batch = batch.filter(pa.array(np.asarray(batch.column("da")) == np.asarray(batch.column("db"))))
+            for rows, dim in _of_one_length(batch, "da") if batch.num_rows else ():
+                alike = jaccard(_sets(rows.column("ta"), dim), _sets(rows.column("tb"), dim))
+                at = np.flatnonzero(alike >= least_jaccard)
+                rows = rows.take(pa.array(at))
+                x, y = (np.frombuffer(b"".join(rows.column(c).to_pylist()), np.float16).reshape(len(at), dim).astype(np.float32) for c in ("va", "vb"))
+                cosine = np.einsum("ij,ij->i", x, y).astype(np.float64)
+                good = cosine >= least - ROUGH
+                data = [rows.column("a").filter(pa.array(good)), rows.column("b").filter(pa.array(good)), pa.array(cosine[good]), pa.array(alike[at][good]), pa.array(cosine[good] < least + ROUGH)]
+                yield pa.RecordBatch.from_arrays(data, names=["a", "b", "cosine", "jaccard", "close"])
+
+    return run
+
+
+def _surely(least: float):
+    """(a, b, cosine, jaccard) of the pairs whose vectors themselves have the cosine."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, _ in _of_one_length(batch.append_column("dim", pa.array([len(v) for v in batch.column("va").to_pylist()], pa.int64())), "dim") if batch.num_rows else ():
+                cosine = _exact(_matrix(rows.column("va")), _matrix(rows.column("vb")))
+                good = pa.array(cosine >= least)
+                yield pa.RecordBatch.from_arrays([rows.column("a").filter(good), rows.column("b").filter(good), pa.array(cosine).filter(good), rows.column("jaccard").filter(good)], names=["a", "b", "cosine", "jaccard"])
 
     return run
 
@@ -133,16 +177,24 @@ def linked(
     decimals. Cases as for the nearest vectors: unusable vectors and null ids
     take no part, a repeated id counts once, vectors compare only with vectors of
     their own length, empty tables give no rows. Links of a cosine exactly
-    ``least`` count.
+    ``least`` count. A link's cosine is right to 0.001, its holding certain.
     """
-    rows = scratch.table(_space_rows(df, id_col, vector_col, "").mapInArrow(_whole, ROWS), "rows")
+    rows = scratch.table(_space_rows(df, id_col, vector_col, "").mapInArrow(_tokenised, SETS), "rows")
     ids = rows.groupBy("id").agg(F.min("key").alias("key"))
-    sketches = rows.select("key", "v").mapInArrow(_sketch, "h long, key long, bits long")
-    packed = rows.groupBy("key").agg(F.min("v").alias("v"))
+    sketches = rows.select("key", "bits", "dim", "tokens").mapInArrow(_sketch, "h long, key long, bits long")
+    packed = rows.groupBy("key").agg(F.min(F.struct("dim", "tokens", "half")).alias("x")).select("key", "x.*")
+    whole = rows.groupBy("key").agg(F.min("v").alias("v"))
+
+    def ends(pairs: DataFrame, of: DataFrame, names: dict[str, str]) -> DataFrame:
+        for end in "ab":
+            pairs = pairs.join(of.select(F.col("key").alias(end), *(F.col(c).alias(short + end) for c, short in names.items())), end)
+        return pairs
 
     def verify(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(packed.select(F.col("key").alias("a"), F.col("v").alias("va")), "a").join(packed.select(F.col("key").alias("b"), F.col("v").alias("vb")), "b")
-        return both.select("a", "b", "va", "vb").mapInArrow(_verify(least, least_jaccard), "a long, b long, cosine double, jaccard double")
+        rough = ends(pairs, packed, {"dim": "d", "tokens": "t", "half": "v"}).select("a", "b", "da", "db", "ta", "tb", "va", "vb")
+        rough = scratch.table(rough.mapInArrow(_verify(least, least_jaccard), "a long, b long, cosine double, jaccard double, close boolean"), "rough")
+        near = ends(rough.where("close").select("a", "b", "jaccard"), whole, {"v": "v"}).select("a", "b", "jaccard", "va", "vb")
+        return rough.where("not close").drop("close").unionByName(near.mapInArrow(_surely(least), "a long, b long, cosine double, jaccard double"))
 
     comps, links = link_components(sketches, verify, MAX_HAMMING, scratch, direct)
     return ids, comps.select(F.col("node").alias("key"), "comp"), links

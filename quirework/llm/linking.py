@@ -33,8 +33,42 @@ def _near(keys: np.ndarray, bits: np.ndarray, most: int) -> tuple[np.ndarray, np
     return keys[i], keys[j]
 
 
-def _runs(batches: Iterator[pa.RecordBatch], whole: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool, int]]:
-    """(h, keys, bits, first, anchor) of each bucket of rows sorted by h and key; a bucket of more than ``whole`` rows comes in parts."""
+#: Buckets of up to this many rows are compared many at a time; rows that are looked at together.
+SMALL = 16
+GATHERED = 100_000
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], rows: int = GATHERED) -> Iterator[list[np.ndarray]]:
+    """The columns of about ``rows`` rows at a time."""
+    held: list[list[np.ndarray]] = []
+    size = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append([np.asarray(batch.column(n)) for n in names])
+            size += batch.num_rows
+        if size >= rows:
+            yield [np.concatenate(c) for c in zip(*held, strict=True)]
+            held, size = [], 0
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def _small_pairs(keys: np.ndarray, bits: np.ndarray, begin: np.ndarray, length: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The near pairs of many small buckets: place i of all buckets of one length against place j."""
+    out: list[tuple[np.ndarray, np.ndarray]] = [(keys[:0], keys[:0])]
+    word = bits.view(np.uint64)
+    for n in np.unique(length).tolist():
+        first = begin[length == n]
+        for i in range(n):
+            for j in range(i + 1, n):
+                x, y = first + i, first + j
+                near = (np.bitwise_count(word[x] ^ word[y]) <= most) & (keys[x] != keys[y])
+                out.append((keys[x[near]], keys[y[near]]))
+    return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
+
+
+def _runs(batches: Iterator[pa.RecordBatch], whole: int, small: Callable) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool, int]]:
+    """(h, keys, bits, first, anchor) of each bucket of rows sorted by h and key; a bucket of more than ``whole`` rows comes in parts. Small ones that are whole in what is gathered go to ``small``."""
     held: list[tuple[np.ndarray, ...]] = []
     anchor, started = 0, False
 
@@ -43,13 +77,15 @@ def _runs(batches: Iterator[pa.RecordBatch], whole: int) -> Iterator[tuple[int,
         keep[1:] = part[1][1:] != part[1][:-1]
         return part[1][keep], part[2][keep]
 
-    for batch in batches:
-        cols = [np.asarray(batch.column(n)) for n in ("h", "key", "bits")]
-        if not len(cols[0]):
-            continue
+    for cols in _gathered(batches, ("h", "key", "bits")):
         edges = np.flatnonzero(np.diff(cols[0])) + 1
         begin, stop = np.r_[0, edges], np.r_[edges, len(cols[0])]
-        more = stop - begin > 1  # a bucket of one row, wholly inside the batch, gives nothing
+        length = stop - begin
+        few = (length > 1) & (length <= min(SMALL, whole))
+        few[[0, -1]] = False
+        if few.any():
+            small(cols[1], cols[2], begin[few], length[few])
+        more = (length > 1) & ~few  # a bucket of one row, wholly inside, gives nothing
         more[[0, -1]] = True
         for lo, hi in zip(begin[more].tolist(), stop[more].tolist(), strict=True):
             piece = tuple(c[lo:hi] for c in cols)
@@ -87,7 +123,16 @@ def _bucket_pairs(max_hamming: int, direct: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
-        for h, keys, bits, first, anchor in _runs(batches, direct):
+
+        def small(keys: np.ndarray, bits: np.ndarray, begin: np.ndarray, length: np.ndarray) -> None:
+            pair = _small_pairs(keys, bits, begin, length, max_hamming)
+            if len(pair[0]):
+                few.append(pair)
+
+        few: list[tuple[np.ndarray, np.ndarray]] = []
+        for h, keys, bits, first, anchor in _runs(batches, direct, small):
+            while few:
+                yield emit(list(few.pop()), 0)
             if first and len(keys) <= direct:
                 if len(keys) > 1:
                     pair = _near(keys, bits, max_hamming)
@@ -99,6 +144,8 @@ def _bucket_pairs(max_hamming: int, direct: int) -> Callable:
             if size > 50_000:
                 yield emit([np.concatenate(c) for c in zip(*out, strict=True)], 0)
                 out, size = [], 0
+        while few:
+            yield emit(list(few.pop()), 0)
         if out:
             yield emit([np.concatenate(c) for c in zip(*out, strict=True)], 0)
 
