@@ -5,7 +5,8 @@ and the triangle inequality holds. Rows are dealt to shards by several
 vantage-point partitions, whose vantage points and radii are fitted on a bounded
 sample while every row is indexed; each shard builds its own vantage-point tree.
 A subtree is skipped when the query's distance to its boundary exceeds the
-search radius divided by ``factor``: 1 is exact, more is faster.
+search radius divided by ``factor``: 1 is exact, more is faster. A pair that one
+partition separates is found by another; how many there are follows from their depth.
 """
 
 from __future__ import annotations
@@ -23,12 +24,15 @@ from quirework.scratch import Scratch
 
 #: Rows of one shard, on average.
 SHARD = 2048
-#: Partitions of the whole collection; a pair missed by one is found by another.
-TREES = 6
-#: At most so many levels of a partition; the sample has SAMPLE_PER_LEAF rows for each of its leaves, so it is bounded.
+#: At a cosine of 0.95 or more a pair stays together at one level of a partition with about KEEP, measured; so many partitions are made that a pair is
+#: separated by all of them with at most MISS, and no fewer than LEAST_TREES.
+KEEP, MISS, LEAST_TREES = 0.93, 0.0015, 6
+#: Levels of a partition before rows are moved; the sample has SAMPLE_PER_LEAF rows for each of its leaves, so it is bounded. A shard that still has more
+#: than TWICE * SHARD rows is divided further where it is searched.
 MAX_DEPTH = 13
+TWICE = 2
 SAMPLE_PER_LEAF = 32
-FACTOR = 4.0
+FACTOR = 1.0
 #: Shards that one task searches on average, so that what a task reads stays the same at any size.
 SHARDS_PER_TASK = 4
 LEAF = 256
@@ -179,10 +183,11 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(_signed(keys)), pa.array(packed, pa.binary())], names=["id", "space", "key", "v"])
 
 
-def _route(routers: dict[tuple[str, int], list[Router]]):
-    """Each direction once per partition and tree, with its shard."""
+def _route(routers: list[tuple[str, int, list[Router]]]):
+    """Each direction once per partition and tree, with its shard: the place of its table and length in ``routers``, its shard and its tree in one number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = {(space, dim): (i, trees) for i, (space, dim, trees) in enumerate(routers)}
         seen: set[tuple[str, int]] = set()
         for batch in batches:
             for rows, x, keys, packed in _usable(batch):
@@ -199,9 +204,10 @@ def _route(routers: dict[tuple[str, int], list[Router]]):
                 for name in set(names.tolist()):
                     own = fresh[names == name]
                     key, v = _signed(keys)[own], pa.array([packed[i] for i in own], pa.binary())
-                    for tree, router in enumerate(routers[name, x.shape[1]]):
-                        shard = router.shard(x[own].astype(np.float32)) * 64 + tree
-                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(own)), pa.array(np.full(len(own), x.shape[1], np.int32)), pa.array(shard), pa.array(key), v], names=["space", "dim", "shard", "key", "v"])
+                    place, trees = of[name, x.shape[1]]
+                    for tree, router in enumerate(trees):
+                        shard = (place << 40) + (router.shard(x[own].astype(np.float32)) << 8) + tree
+                        yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(key), v], names=["shard", "key", "v"])
 
     return run
 
@@ -222,21 +228,50 @@ def _exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", x.astype(np.float64), y.astype(np.float64))
 
 
-def _search_shard(k: int, least: float, factor: float):
+def _every(x: np.ndarray, queries: np.ndarray, own: np.ndarray, cos: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) of what a search found, with all rows that tie with the last of the k best where the list ends within the tie."""
+    q, j = np.nonzero(at >= 0)
+    hit = at[q, j]
+    last = cos[:, k - 1] - np.float32(1e-6)
+    more = np.flatnonzero((at[:, -1] >= 0) & (cos[:, -1] >= last))
+    for lo in range(0, len(more), 256):
+        part = more[lo : lo + 256]
+        i, row = np.nonzero(queries[part] @ x.T >= last[part][:, None])
+        keep = row != own[part][i]
+        q, hit = np.r_[q, part[i[keep]]], np.r_[hit, row[keep]]
+    if len(more):
+        q, hit = np.unique(np.stack([q, hit]), axis=1)
+    return q, hit
+
+
+def _search_part(keys: np.ndarray, x: np.ndarray, k: int, least: float, factor: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    tree, out = VPTree(x), []
+    for lo in range(0, len(x), 4096):
+        own = np.arange(lo, min(lo + 4096, len(x)))
+        cos, at = tree.search(x[own], k + 3, least, factor, own)
+        q, hit = _every(x, x[own], own, cos, at, k)
+        exact = _exact(x[own[q]], x[hit])
+        keep = exact >= least
+        out.append((keys[own[q]][keep], keys[hit][keep], exact[keep]))
+    return out
+
+
+def _search_shard(spaces: list[str], k: int, least: float, factor: float, shard: int):
     def run(rows: pa.Table) -> pa.Table:
+        number = rows.column("shard")[0].as_py()
         keys, first = np.unique(rows.column("key").to_numpy(), return_index=True)
         x = _matrix(rows.column("v"))[first]
-        tree = VPTree(x)
-        out = [[np.empty(0, np.int64)] * 2 + [np.empty(0)]]
-        for lo in range(0, len(x), 4096):
-            own = np.arange(lo, min(lo + 4096, len(x)))
-            cos, at = tree.search(x[own], k, least, factor, own)
-            q, j = np.nonzero(at >= 0)
-            hit = at[q, j]
-            out.append([keys[own[q]], keys[hit], _exact(x[own[q]], x[hit])])
-        a, b, c = (np.concatenate(p) for p in zip(*out, strict=True))
-        keep = c >= least
-        return _result(rows.column("space")[0].as_py(), a[keep], b[keep], c[keep])
+        parts = [np.arange(len(x))]
+        if len(x) > TWICE * shard:
+            levels = int(np.ceil(np.log2(len(x) / shard)))
+            sample = x[np.random.default_rng(number % 1009).permutation(len(x))[: SAMPLE_PER_LEAF * 2**levels]]
+            of = Router(sample, levels, number % 1013).shard(x)
+            order = np.argsort(of, kind="stable")
+            parts = np.split(order, np.flatnonzero(np.diff(of[order])) + 1)
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        for own in parts:
+            out += _search_part(keys[own], x[own], k, least, factor)
+        return _result(spaces[number >> 40], *(np.concatenate(p) for p in zip(*out, strict=True)))
 
     return run
 
@@ -245,18 +280,24 @@ def _space_rows(df: DataFrame, id_col: str, vector_col: str, space: str) -> Data
     return df.select(F.col(id_col).cast("string").alias("id"), F.lit(space).alias("space"), F.col(vector_col).cast("array<float>").alias("v")).where("id is not null and v is not null")
 
 
-def routers(rows: DataFrame, counts: dict[tuple[str, int], int], shard: int, trees: int, max_depth: int = MAX_DEPTH) -> dict[tuple[str, int], list[Router]]:
-    """Partitions fitted on the rows of least hash: at most SAMPLE_PER_LEAF * 2**max_depth of them, the same whatever the partitioning."""
-    depth = {at: int(np.clip(np.ceil(np.log2(max(1, n / shard))), 0, max_depth)) for at, n in counts.items()}
-    out: dict[tuple[str, int], list[Router]] = {}
-    for (space, dim), levels in depth.items():
+def trees_for(n: int, shard: int = SHARD, miss: float = MISS) -> int:
+    """Partitions of n rows such that a pair that one keeps with KEEP a level is kept by none with at most ``miss``."""
+    kept = KEEP ** max(0.0, np.ceil(np.log2(max(1, n / shard))))
+    return 1 if kept == 1 else max(LEAST_TREES, int(np.ceil(np.log(miss) / np.log(1 - kept))))
+
+
+def routers(rows: DataFrame, counts: dict[tuple[str, int], int], shard: int, trees: int | None = None, max_depth: int = MAX_DEPTH) -> list[tuple[str, int, list[Router]]]:
+    """(table, length, partitions) fitted on the rows of least hash: at most SAMPLE_PER_LEAF * 2**max_depth of them, the same whatever the partitioning."""
+    out = []
+    for (space, dim), n in sorted(counts.items()):
+        levels = int(np.clip(np.ceil(np.log2(max(1, n / shard))), 0, max_depth))
         if levels == 0:
-            out[space, dim] = [Router(np.empty((0, dim), np.float32), 0, 0)]
+            out.append((space, dim, [Router(np.empty((0, dim), np.float32), 0, 0)]))
             continue
         own = rows.where((F.col("space") == space) & (F.octet_length("v") == 4 * dim))
         got = own.select("v", F.xxhash64("id").alias("o"), "id").orderBy("o", "id").limit(SAMPLE_PER_LEAF * 2**levels).select("v").toArrow()
         sample = _matrix(got.column("v"))
-        out[space, dim] = [Router(sample, levels, seed + 1) for seed in range(trees)]
+        out.append((space, dim, [Router(sample, levels, seed + 1) for seed in range(trees or trees_for(n, shard))]))
     return out
 
 
@@ -267,7 +308,7 @@ def nearest(
     least: float = 0.95,
     factor: float = FACTOR,
     shard: int = SHARD,
-    trees: int = TREES,
+    trees: int | None = None,
 ) -> DataFrame:
     """(space, id, other, cosine, rank): the up to k rows of the same table most similar to each row, with a cosine of at least ``least``.
 
@@ -285,10 +326,10 @@ def nearest(
     ids = scratch.table(rows.mapInArrow(_ids, "id string, space string, key long, dim int").groupBy("space", "id").agg(F.min("key").alias("key"), F.min("dim").alias("dim")), "ids")
     counts = {(r.space, r.dim): r.n for r in ids.groupBy("space", "dim").agg(F.count("*").alias("n")).collect()}  # one row a table and vector length
     fitted = routers(rows.mapInArrow(_whole, ROWS), counts, shard, trees)
-    routed = rows.mapInArrow(_route(fitted), "space string, dim int, shard long, key long, v binary")
-    shards = sum(2 ** fitted[at][0].depth * len(fitted[at]) for at in counts)
-    routed = routed.repartition(int(np.clip(-(-shards // SHARDS_PER_TASK), 1, 100_000)), "space", "dim", "shard")
-    found = routed.groupBy("space", "dim", "shard").applyInArrow(_search_shard(k + 3, least, factor), FOUND)
+    routed = rows.mapInArrow(_route(fitted), "shard long, key long, v binary")
+    shards = sum(2 ** t[0].depth * len(t) for _, _, t in fitted)
+    routed = routed.repartition(int(np.clip(-(-shards // SHARDS_PER_TASK), 1, 100_000)), "shard")
+    found = routed.groupBy("shard").applyInArrow(_search_shard([space for space, _, _ in fitted], k, least, factor, shard), FOUND)
     found = found.groupBy("space", "a", "b").agg(F.max("cosine").alias("cosine"))
     best = Window.partitionBy("space", "a").orderBy(F.desc("cosine"))
     found = scratch.table(found.withColumn("r", F.rank().over(best)).where(F.col("r") <= k).drop("r"), "found")
@@ -327,9 +368,9 @@ def _search_block(k: int, factor: float):
             return _result(space, np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
         position = np.searchsorted(own_keys, q_keys)
         position = np.where((position < len(own_keys)) & (own_keys[np.minimum(position, len(own_keys) - 1)] == q_keys), position, -1)
-        cos, at = VPTree(x[data], leaf=2048).search(x[q], k, -1.0, factor, position)
-        i, j = np.nonzero(at >= 0)
-        return _result(space, q_keys[i], own_keys[at[i, j]], _exact(x[q[i]], x[data[at[i, j]]]))
+        cos, at = VPTree(x[data], leaf=2048).search(x[q], k + 3, -1.0, factor, position)
+        i, hit = _every(x[data], x[q], position, cos, at, k)
+        return _result(space, q_keys[i], own_keys[hit], _exact(x[q[i]], x[data[hit]]))
 
     return run
 
@@ -352,7 +393,7 @@ def nearest_of_queries(table: tuple[str, DataFrame, str, str], is_query, scratch
     data = rows.select("space", "key", "v", F.lit(False).alias("query"), at.alias("x"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("y"))
     asked = queries.select("space", "key", "v", F.lit(True).alias("query"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("x"), F.pmod(F.xxhash64("key"), F.lit(m)).cast("int").alias("y"))
     both = data.unionByName(asked).withColumn("dim", F.octet_length("v"))
-    found = both.groupBy("space", "dim", "x", "y").applyInArrow(_search_block(k + 3, factor), FOUND)
+    found = both.groupBy("space", "dim", "x", "y").applyInArrow(_search_block(k, factor), FOUND)
     best = Window.partitionBy("space", "a").orderBy(F.desc("cosine"))
     found = scratch.table(found.withColumn("r", F.rank().over(best)).where(F.col("r") <= k).drop("r"), "found")
     every = _expand(ids, found, k)

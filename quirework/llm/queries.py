@@ -64,8 +64,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 5 most similar rows, whatever their cosine, of every 20th technique by the checksum of its id."""
-    return neighbours.nearest_of_queries(_vector_tables(spark, sf_dir)[0], F.pmod(F.crc32("id"), F.lit(20)) == 0, Scratch(spark, "p3"))
+    """The 5 most similar rows, whatever their cosine, of every 20th technique and paper by the checksum of its id."""
+    techniques, papers = _vector_tables(spark, sf_dir)
+    every = F.pmod(F.crc32("id"), F.lit(20)) == 0
+    return neighbours.nearest_of_queries(techniques, every, Scratch(spark, "p3")).unionByName(neighbours.nearest_of_queries(papers, every, Scratch(spark, "p3")))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

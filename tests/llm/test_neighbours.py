@@ -90,3 +90,30 @@ def test_recall_of_relaxed_search_without_radius():
 def test_tiny_trees(n):
     cos, at = N.VPTree(units(n, 4)).search(units(2, 4, 3), 5)
     assert cos.shape == (2, 5) and (at >= 0).sum() == 2 * n
+
+
+def test_trees_follow_from_depth():
+    assert N.trees_for(100) == 1 and N.trees_for(10_000) == N.LEAST_TREES
+    many = [N.trees_for(2048 * 2**d) for d in range(1, 24)]
+    assert many == sorted(many) and many[-1] > 2 * many[4]
+    assert all((1 - N.KEEP**d) ** t <= N.MISS for d, t in enumerate(many, 1))
+
+
+def test_oversized_shards_are_divided_where_they_are_searched(spark, monkeypatch):
+    """Without a level of routing all rows meet in one shard, which is divided by the counted size; pairs stay together as often as the depth allows."""
+    monkeypatch.setattr(N, "routers", lambda rows, counts, shard, trees: [(s, d, [N.Router(np.empty((0, d), np.float32), 0, 0)]) for s, d in sorted(counts)])
+    x = near_copies(1200)
+    got = N.nearest([("t", frame(spark, x), "vid", "vec")], Scratch(spark, "test"), shard=150)
+    found = {(int(r.id[1:]), int(r.other[1:])) for r in got.collect()}
+    want = best(x / np.linalg.norm(x, axis=1, keepdims=True), 5, 0.95)
+    assert len(found & want) >= 0.6 * len(want) and not found - want
+
+
+def test_ties_longer_than_the_list_are_whole(spark):
+    """Forty directions at one and the same cosine from a row: the smallest ids among them count."""
+    dim = 41
+    rows = [[1.0] + [0.0] * 40] + [[1.0] + [0.2 if i == j else 0.0 for j in range(40)] for i in range(40)]
+    ids = ["a"] + [f"b{i:02d}" for i in range(40)]
+    df = spark.createDataFrame([(i, v, "s") for i, v in zip(ids, rows, strict=True)], "vid string, vec array<float>, key string")
+    got = N.nearest([("t", df, "vid", "vec")], Scratch(spark, "test"), least=0.97)
+    assert len(rows[0]) == dim and [r.other for r in sorted(got.where("id = 'a'").collect(), key=lambda r: r["rank"])] == [f"b{i:02d}" for i in range(5)]
