@@ -1,10 +1,10 @@
 """Rows that fail to parse: valid rows typed, the rest with one reason each.
 
-Records come one to a row. Quoting is checked record by record; what is well
-quoted goes to the pyarrow CSV reader, whose invalid-row handler reports records
-of the wrong width; all fields are read as strings, and vectors of them are held
-against the feed's rules before they are cast. Records of different shapes never
-disturb one another.
+Records come one to a row. Those that hold a quote are checked for it one by one;
+what is well quoted goes to the pyarrow CSV reader, whose invalid-row handler
+reports records of the wrong width; all fields are read as strings, and vectors of
+them are held against the feed's rules, column by column, before they are cast, so
+that the failing cell is named. Records of different shapes never disturb one another.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.csv as pcsv
@@ -120,54 +121,66 @@ def _read(records: list[str], numbers: list[int], feed: Feed) -> tuple[pa.Table,
     return got, bad
 
 
-def _valid(rows: pa.Table, feed: Feed) -> pa.Array:
-    """Whether each record's values obey the feed's rules, taken exactly as written."""
-    good = pa.array([True] * rows.num_rows, pa.bool_())
-    for name, pattern in feed.patterns.items():
-        good = pc.and_(good, pc.match_substring_regex(rows.column(name).combine_chunks(), rf"\A(?:{pattern})\z"))
-    for name in feed.not_blank:
-        good = pc.and_(good, pc.not_equal(pc.utf8_trim_whitespace(rows.column(name).combine_chunks()), ""))
-    for name, (tail, others) in feed.same_row.items():
-        head = pc.binary_join_element_wise(*(rows.column(o).combine_chunks() for o in others), ":")
+def _failing(rows: pa.Table, feed: Feed) -> np.ndarray:
+    """Of each record the place of the first column whose cell breaks the feed's rules, taken exactly as written; -1 where none does."""
+    first = np.full(rows.num_rows, -1)
+    for place in range(len(feed.columns) - 1, -1, -1):
+        name = feed.columns[place]
         column = rows.column(name).combine_chunks()
-        starts = pa.array([c.startswith(h) for c, h in zip(column.to_pylist(), head.to_pylist(), strict=True)], pa.bool_())
-        rest = pa.array([c[len(h) :] for c, h in zip(column.to_pylist(), head.to_pylist(), strict=True)], pa.string())
-        good = pc.and_(good, pc.and_(starts, pc.match_substring_regex(rest, rf"\A(?:{tail})\z")))
-    return good
-
-
-def _sorted_out(feed: Feed) -> Callable[[list[int], list[str | None]], tuple[pa.Table, list[tuple[int, str]]]]:
+        good = []
+        if name in feed.patterns:
+            good.append(pc.match_substring_regex(column, rf"\A(?:{feed.patterns[name]})\z"))
+        if name in feed.not_blank:
+            good.append(pc.not_equal(pc.utf8_trim_whitespace(column), ""))
+        if name in feed.same_row:
+            tail, others = feed.same_row[name]
+            end = pc.struct_field(pc.extract_regex(column, rf"(?P<tail>{tail})\z"), "tail")
+            whole = pc.binary_join_element_wise(pc.binary_join_element_wise(*(rows.column(o).combine_chunks() for o in others), ":"), end, "")
+            good.append(pc.fill_null(pc.equal(column, whole), False))
+        for g in good:
+            first[~np.asarray(g)] = place
+    return first
+
+
+#: (position, reason, column, value) of a record that cannot be read; column and value only where a cell is wrong.
+Reject = tuple[int, str, str | None, str | None]
+
+
+def _sorted_out(feed: Feed) -> Callable[[list[str | None]], tuple[pa.Table, list[Reject]]]:
     quoted = _well_quoted(feed.separator)
 
-    def run(ids: list[int], records: list[str | None]) -> tuple[pa.Table, list[tuple[int, str]]]:
-        """(typed rows with __number = position, (position, reason) of the rest)."""
-        rejects: list[tuple[int, str]] = []
+    def run(records: list[str | None]) -> tuple[pa.Table, list[Reject]]:
+        """(rows of strings with __number = position, the rest)."""
+        rejects: list[Reject] = []
         keep: list[int] = []
         odd: list[int] = []
         for i, record in enumerate(records):
             if record is None:
-                rejects.append((i, COLUMNS))
-            elif not quoted(record):
-                rejects.append((i, QUOTING))
+                rejects.append((i, COLUMNS, None, None))
+            elif '"' in record and not quoted(record):
+                rejects.append((i, QUOTING, None, None))
             elif "" in record or "" in record or "\x00" in record:
                 odd.append(i)  # holds the stand-ins of line breaks itself, or a sign the reader stops at
             else:
                 keep.append(i)
         rows, bad = _read([records[i] for i in keep], keep, feed) if keep else (pa.table({n: pa.array([], pa.int64() if n == "__number" else pa.string()) for n in ["__number", *feed.columns]}), [])
-        rejects += [(i, COLUMNS) for i in bad]
+        rejects += [(i, COLUMNS, None, None) for i in bad]
         rows = rows.set_column(0, "__number", rows.column(0).combine_chunks())
         for c in feed.columns:
             at = rows.schema.get_field_index(c)
             rows = rows.set_column(at, c, _unswap(rows.column(c).combine_chunks()))
         if odd:
             fields = {i: _fields(records[i], feed.separator) for i in odd}
-            rejects += [(i, COLUMNS) for i, f in fields.items() if len(f) != len(feed.columns)]
+            rejects += [(i, COLUMNS, None, None) for i, f in fields.items() if len(f) != len(feed.columns)]
             fits = [i for i in odd if len(fields[i]) == len(feed.columns)]
             more = pa.table({"__number": pa.array(fits, pa.int64()), **{c: pa.array([fields[i][k] for i in fits], pa.string()) for k, c in enumerate(feed.columns)}})
             rows = pa.concat_tables([rows, more.cast(rows.schema)])
-        good = _valid(rows, feed)
-        rejects += [(i, VALUE) for i in rows.column("__number").filter(pc.invert(good)).to_pylist()]
-        return rows.filter(good), rejects
+        failing = _failing(rows, feed)
+        number = rows.column("__number").to_numpy()
+        for place in np.unique(failing[failing >= 0]).tolist():
+            at, name = np.flatnonzero(failing == place), feed.columns[place]
+            rejects += [(int(i), VALUE, name, v) for i, v in zip(number[at], rows.column(name).take(pa.array(at)).to_pylist(), strict=True)]
+        return rows.filter(pa.array(failing < 0)), rejects
 
     return run
 
@@ -200,13 +213,14 @@ def _reject_batches(feeds: dict[str, Feed]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = {name: _sorted_out(feed) for name, feed in feeds.items()}
         for batch in batches:
-            ids, names, lines = (batch.column(i).to_pylist() for i in range(3))
-            out: list[tuple[int, str]] = []
             for name in feeds:
-                at = [i for i, n in enumerate(names) if n == name]
-                if at:
-                    out += [(ids[at[i]], reason) for i, reason in work[name]([ids[i] for i in at], [lines[i] for i in at])[1]]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.int64()), pa.array([r for _, r in out], pa.string())], names=["line_id", "reason"])
+                own = batch.filter(pc.fill_null(pc.equal(batch.column(1), name), False))
+                if not own.num_rows:
+                    continue
+                out = work[name](own.column(2).to_pylist())[1]
+                ids = own.column(0).take(pa.array([r[0] for r in out], pa.int64()))
+                cells = [pa.array([r[i] for r in out], pa.string()) for i in (1, 2, 3)]
+                yield pa.RecordBatch.from_arrays([ids, pa.array([name] * len(out), pa.string()), *cells], names=["line_id", "feed", "reason", "column", "value"])
 
     return run
 
@@ -216,7 +230,7 @@ def _valid_batches(feed: Feed) -> Callable:
         work = _sorted_out(feed)
         for batch in batches:
             ids, lines = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            rows, _ = work(ids, lines)
+            rows, _ = work(lines)
             number = rows.column("__number").to_pylist()
             cols = [pa.array([ids[i] for i in number], pa.int64())]
             for c in feed.columns:
@@ -231,16 +245,23 @@ def _lines(df: DataFrame, feed: str | None = None) -> DataFrame:
     return rows if feed is None else rows.where(F.col("feed") == feed).drop("feed")
 
 
-def rejected(df: DataFrame, feeds: dict[str, Feed] | None = None) -> DataFrame:
-    """(line_id, reason) of every record that cannot be read: quoting, columns or value, the first that applies.
+def rejected_cells(df: DataFrame, feeds: dict[str, Feed] | None = None) -> DataFrame:
+    """(line_id, feed, reason, column, value) of every record that cannot be read: quoting, columns or value, the first that applies.
 
-    A null record has no fields: columns. An empty one has one empty field. A
-    header row is a record like any other, so its values are wrong. A feed that
-    is null or not listed has no rules, and its rows come out neither here nor
-    among the valid ones. Line breaks are text inside a record. Repeated line_ids
-    each come out; other columns are not read; no rows give no rows.
+    column and value name the first failing cell, in the feed's order, of a record
+    rejected for its values, and are null otherwise. A null record has no fields:
+    columns. An empty one has one empty field. A header row is a record like any
+    other, so its values are wrong. A feed that is null or not listed has no
+    rules, and its rows come out neither here nor among the valid ones. Line breaks
+    are text inside a record. Repeated line_ids each come out; other columns are
+    not read; no rows give no rows.
     """
-    return _lines(df).mapInArrow(_reject_batches(feeds or FEEDS), "line_id long, reason string")
+    return _lines(df).mapInArrow(_reject_batches(feeds or FEEDS), "line_id long, feed string, reason string, column string, value string")
+
+
+def rejected(df: DataFrame, feeds: dict[str, Feed] | None = None) -> DataFrame:
+    """(line_id, reason) of every record that cannot be read; cases as in ``rejected_cells``."""
+    return rejected_cells(df, feeds).select("line_id", "reason")
 
 
 def valid_rows(df: DataFrame, name: str, feed: Feed | None = None) -> DataFrame:
