@@ -84,6 +84,19 @@ def test_random_records_equal_the_plain_reading(feed):
                 own = list(good)
                 own[rng.randrange(len(own))] = rng.choice(['"x' + rules.separator + 'y"', '"x\ny"', '"a""b"', "", " ", "yes", 'in "side"', "1"])
                 lines.append(rules.separator.join(own))
-        rows, bad = R._sorted_out(rules)(list(range(5)), lines)
+        rows, bad = R._sorted_out(rules)(lines)
         want = {i: r for i, line in enumerate(lines) if (r := expected(feed, line))}
-        assert dict(bad) == want and sorted(rows.column("__number").to_pylist()) == [i for i in range(5) if i not in want]
+        assert {i: r for i, r, _, _ in bad} == want and all((c is not None) == (r == R.VALUE) for _, r, c, _ in bad) and sorted(rows.column("__number").to_pylist()) == [i for i in range(5) if i not in want]
+
+
+def test_failing_cell_is_the_first_in_order(spark):
+    lines = ["2901.00001\t0\t1\th\t \t9", "x\t0\t1\th\tp\t9", "2901.00001\t0\tx\th\tp\t1", "a\tb", "\"a\tb"]
+    df = spark.createDataFrame([(i, "labels", line) for i, line in enumerate(lines)], "line_id long, feed string, line string")
+    got = {r.line_id: (r.feed, r.reason, r.column, r.value) for r in R.rejected_cells(df).collect()}
+    assert got == {
+        0: ("labels", "value", "paragraph", " "),
+        1: ("labels", "value", "arxiv_id", "x"),
+        2: ("labels", "value", "paragraph_index", "x"),
+        3: ("labels", "columns", None, None),
+        4: ("labels", "quoting", None, None),
+    }
