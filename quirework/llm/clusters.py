@@ -31,8 +31,8 @@ ROWS_PER_BAND = 2
 BANDS = 68
 #: Least exact Jaccard similarity of two token sets. At a cosine of 0.8 it is 0.28 on average with a deviation of 0.03; at 0.5, 0.10.
 LEAST_JACCARD = 0.13
-#: Sign bits, of 64 planes at right angles, in which two vectors may differ: at a cosine of 0.8 about 13 on average and more than 22 with 0.0007, for unrelated ones 32.
-MAX_HAMMING = 22
+#: Sign bits, of twice 64 planes at right angles, in which two vectors may differ: at a cosine of 0.8 about 26 on average, with a deviation of 4, at 0.5 about 43.
+MAX_HAMMING = 40
 #: Pairs are compared by vectors of half precision; nearer to the threshold than this, by the vectors themselves.
 ROUGH = 2e-3
 #: Directions of one block where degrees are counted; a part of no more is divided in one task.
@@ -53,11 +53,11 @@ class _Tokeniser:
         self._of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def __call__(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(tokens, sign bits) of each vector: (n, ROTATIONS, LARGEST) tokens 2 * axis + sign, and 64 bits. Fewer axes than LARGEST give repeated tokens."""
+        """(tokens, sign bits) of each vector: (n, ROTATIONS, LARGEST) tokens 2 * axis + sign, and twice 64 bits. Fewer axes than LARGEST give repeated tokens."""
         dim = x.shape[1]
         if dim not in self._of:
             rng = np.random.default_rng([SEED, dim])
-            self._of[dim] = _at_right_angles(rng, dim, ROTATIONS * dim), _at_right_angles(rng, dim, 64)
+            self._of[dim] = _at_right_angles(rng, dim, ROTATIONS * dim), _at_right_angles(rng, dim, 128)
         rotations, planes = self._of[dim]
         most = min(LARGEST, dim)
         tokens = np.empty((len(x), ROTATIONS, LARGEST), np.uint8 if 2 * dim <= 256 else np.int32)
@@ -67,7 +67,7 @@ class _Tokeniser:
             own = 2 * axis + (np.take_along_axis(turned, axis, 2) < 0)
             tokens[lo : lo + 256, :, :most] = own
             tokens[lo : lo + 256, :, most:] = own[:, :, :1]
-        bits = ((x @ planes.T > 0).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+        bits = ((x @ planes.T > 0).reshape(len(x), 2, 64).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
         return tokens, bits.view(np.int64)
 
 
@@ -89,7 +89,7 @@ def jaccard(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return both / (once[0].sum(axis=(1, 2)) + once[1].sum(axis=(1, 2)) - both)
 
 
-SETS = "id string, key long, bits long, dim int, tokens binary, half binary, v binary"
+SETS = "id string, key long, bits long, more long, dim int, tokens binary, half binary, v binary"
 
 
 def _tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +99,7 @@ def _tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, x, keys, packed in _usable(batch):
             single = x.astype(np.float32)
             tokens, bits = of(single)
-            data = [rows.column(0), pa.array(_signed(keys)), pa.array(bits), pa.array(np.full(len(x), x.shape[1], np.int32))]
+            data = [rows.column(0), pa.array(_signed(keys)), pa.array(bits[:, 0]), pa.array(bits[:, 1]), pa.array(np.full(len(x), x.shape[1], np.int32))]
             data += [pa.array([t.tobytes() for t in tokens], pa.binary()), pa.array([h.tobytes() for h in x.astype(np.float16)], pa.binary()), pa.array(packed, pa.binary())]
             yield pa.RecordBatch.from_arrays(data, names=[f.split()[0] for f in SETS.split(", ")])
 
@@ -132,8 +132,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h = mix(np.arange(BANDS, dtype=np.uint64)[None, :] + np.uint64(dim << 16))
             for r in range(ROWS_PER_BAND):
                 h = mix(h ^ values[:, :, r])
-            key, bits = (np.tile(rows.column(c).to_numpy(), BANDS) for c in ("key", "bits"))
-            yield pa.RecordBatch.from_arrays([pa.array(h.T.ravel().view(np.int64)), pa.array(key), pa.array(bits)], names=["h", "key", "bits"])
+            more = [pa.array(np.tile(rows.column(c).to_numpy(), BANDS)) for c in ("key", "bits", "more")]
+            yield pa.RecordBatch.from_arrays([pa.array(h.T.ravel().view(np.int64)), *more], names=["h", "key", "bits", "more"])
 
 
 def _verify(least: float, least_jaccard: float):
@@ -181,7 +181,7 @@ def linked(
     """
     rows = scratch.table(_space_rows(df, id_col, vector_col, "").mapInArrow(_tokenised, SETS), "rows")
     ids = rows.groupBy("id").agg(F.min("key").alias("key"))
-    sketches = rows.select("key", "bits", "dim", "tokens").mapInArrow(_sketch, "h long, key long, bits long")
+    sketches = rows.select("key", "bits", "more", "dim", "tokens").mapInArrow(_sketch, "h long, key long, bits long, more long")
     packed = rows.groupBy("key").agg(F.min(F.struct("dim", "tokens", "half")).alias("x")).select("key", "x.*")
     whole = rows.groupBy("key").agg(F.min("v").alias("v"))
 

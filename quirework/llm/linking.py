@@ -1,7 +1,8 @@
 """From sketches to verified groups: bucketed candidate pairs, exact checks, components.
 
-A sketch row is (h, key, bits): a bucket, the item, and 64 bits whose Hamming
-distance estimates dissimilarity. Items in one bucket are candidates.
+A sketch row is (h, key, bits...): a bucket, the item, and one or more columns of
+64 bits whose Hamming distance estimates dissimilarity. Items in one bucket are
+candidates.
 """
 
 from __future__ import annotations
@@ -21,11 +22,16 @@ DIRECT = 512
 #: Items of one block of a large bucket.
 BLOCK = 4096
 
-PAIRS = "a long, b long, h long, key long, bits long"
+def _bits(words: list[np.ndarray]) -> np.ndarray:
+    """(rows, columns) of unsigned bits; of signed numbers the count would be that of the absolute value's."""
+    return np.stack([w.view(np.uint64) for w in words], axis=1)
 
 
 def _hamming(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x.view(np.uint64)[:, None] ^ y.view(np.uint64)[None, :])  # of signed numbers it would count the absolute value's bits
+    out = np.bitwise_count(x[:, None, 0] ^ y[None, :, 0])
+    for w in range(1, x.shape[1]):
+        out = out + np.bitwise_count(x[:, None, w] ^ y[None, :, w])
+    return out
 
 
 def _near(keys: np.ndarray, bits: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,18 +62,17 @@ def _gathered(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], rows: i
 def _small_pairs(keys: np.ndarray, bits: np.ndarray, begin: np.ndarray, length: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """The near pairs of many small buckets: place i of all buckets of one length against place j."""
     out: list[tuple[np.ndarray, np.ndarray]] = [(keys[:0], keys[:0])]
-    word = bits.view(np.uint64)
     for n in np.unique(length).tolist():
         first = begin[length == n]
         for i in range(n):
             for j in range(i + 1, n):
                 x, y = first + i, first + j
-                near = (np.bitwise_count(word[x] ^ word[y]) <= most) & (keys[x] != keys[y])
+                near = (np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1) <= most) & (keys[x] != keys[y])
                 out.append((keys[x[near]], keys[y[near]]))
     return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
-def _runs(batches: Iterator[pa.RecordBatch], whole: int, small: Callable) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool, int]]:
+def _runs(batches: Iterator[pa.RecordBatch], words: tuple[str, ...], whole: int, small: Callable) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool, int]]:
     """(h, keys, bits, first, anchor) of each bucket of rows sorted by h and key; a bucket of more than ``whole`` rows comes in parts. Small ones that are whole in what is gathered go to ``small``."""
     held: list[tuple[np.ndarray, ...]] = []
     anchor, started = 0, False
@@ -77,7 +82,8 @@ def _runs(batches: Iterator[pa.RecordBatch], whole: int, small: Callable) -> Ite
         keep[1:] = part[1][1:] != part[1][:-1]
         return part[1][keep], part[2][keep]
 
-    for cols in _gathered(batches, ("h", "key", "bits")):
+    for h, key, *own in _gathered(batches, ("h", "key", *words)):
+        cols = (h, key, _bits(own))
         edges = np.flatnonzero(np.diff(cols[0])) + 1
         begin, stop = np.r_[0, edges], np.r_[edges, len(cols[0])]
         length = stop - begin
@@ -111,14 +117,12 @@ def _runs(batches: Iterator[pa.RecordBatch], whole: int, small: Callable) -> Ite
         yield int(joined[0][0]), k, b, not started, anchor if started else int(k[0])
 
 
-def _bucket_pairs(max_hamming: int, direct: int) -> Callable:
-    names = [f.split()[0] for f in PAIRS.split(", ")]
+def _bucket_pairs(max_hamming: int, direct: int, words: tuple[str, ...]) -> Callable:
+    names = ["a", "b", "h", "key", *words]
 
-    def emit(cols: list[np.ndarray], valid: int) -> pa.RecordBatch:
-        n = len(cols[0])
-        null = pa.nulls(n, pa.int64())
+    def emit(cols: list[np.ndarray]) -> pa.RecordBatch:
         data = [pa.array(c) for c in cols]
-        return pa.RecordBatch.from_arrays(data + [null] * 3 if valid == 0 else data[:2] + data[2:], names=names)
+        return pa.RecordBatch.from_arrays(data + [pa.nulls(len(cols[0]), pa.int64())] * (len(names) - len(data)), names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[np.ndarray, np.ndarray]] = []
@@ -130,9 +134,9 @@ def _bucket_pairs(max_hamming: int, direct: int) -> Callable:
                 few.append(pair)
 
         few: list[tuple[np.ndarray, np.ndarray]] = []
-        for h, keys, bits, first, anchor in _runs(batches, direct, small):
+        for h, keys, bits, first, anchor in _runs(batches, words, direct, small):
             while few:
-                yield emit(list(few.pop()), 0)
+                yield emit(list(few.pop()))
             if first and len(keys) <= direct:
                 if len(keys) > 1:
                     pair = _near(keys, bits, max_hamming)
@@ -140,19 +144,19 @@ def _bucket_pairs(max_hamming: int, direct: int) -> Callable:
                         out.append(pair)
                         size += len(pair[0])
             else:
-                yield emit([np.full(len(keys), anchor), keys, np.full(len(keys), h), keys, bits], 1)
+                yield emit([np.full(len(keys), anchor), keys, np.full(len(keys), h), keys, *bits.T.view(np.int64)])
             if size > 50_000:
-                yield emit([np.concatenate(c) for c in zip(*out, strict=True)], 0)
+                yield emit([np.concatenate(c) for c in zip(*out, strict=True)])
                 out, size = [], 0
         while few:
-            yield emit(list(few.pop()), 0)
+            yield emit(list(few.pop()))
         if out:
-            yield emit([np.concatenate(c) for c in zip(*out, strict=True)], 0)
+            yield emit([np.concatenate(c) for c in zip(*out, strict=True)])
 
     return run
 
 
-def _cross_pairs(max_hamming: int, complete: bool) -> Callable:
+def _cross_pairs(max_hamming: int, words: tuple[str, ...], complete: bool) -> Callable:
     """Pairs of a block pair whose items lie in different components; all its pairs if ``complete``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +172,8 @@ def _cross_pairs(max_hamming: int, complete: bool) -> Callable:
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[keep]), pa.array(np.maximum(x, y)[keep])], names=["a", "b"])
 
         for batch in batches:
-            h, p, side, key, bits, comp = (np.asarray(batch.column(n)) for n in ("h", "p", "side", "key", "bits", "comp"))
+            h, p, side, key, comp = (np.asarray(batch.column(n)) for n in ("h", "p", "side", "key", "comp"))
+            bits = _bits([np.asarray(batch.column(n)) for n in words])
             cut = np.flatnonzero((np.diff(h) != 0) | (np.diff(p) != 0)) + 1
             for lo, hi in zip(np.r_[0, cut], np.r_[cut, len(h)], strict=True):
                 if lo == hi:
@@ -194,7 +199,7 @@ def link_components(
 ) -> tuple[DataFrame, DataFrame]:
     """(components, links) of the items whose candidate pairs ``verify`` accepts.
 
-    sketches: (h long, key long, bits long). verify takes distinct pairs (a, b)
+    sketches: (h long, key long, bits long, and any further columns of bits). verify takes distinct pairs (a, b)
     with a < b and returns those that hold, with any further columns. components
     is (node, comp) of linked items.
 
@@ -207,12 +212,14 @@ def link_components(
     ``complete`` the pairs within components are compared there too, and links are
     complete everywhere.
     """
-    rows = sketches.repartition("h").sortWithinPartitions("h", "key").mapInArrow(_bucket_pairs(max_hamming, direct), PAIRS)
+    words = tuple(c for c in sketches.columns if c not in ("h", "key"))
+    fields = ", ".join(f"{c} long" for c in ("a", "b", "h", "key", *words))
+    rows = sketches.repartition("h").sortWithinPartitions("h", "key").mapInArrow(_bucket_pairs(max_hamming, direct, words), fields)
     rows = scratch.table(rows, "candidates")
     pairs = rows.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = scratch.table(verify(pairs), "links")
     comps = connected_components(links, scratch)
-    hot = rows.where("h is not null").select("h", "key", "bits").distinct()
+    hot = rows.where("h is not null").select("h", "key", *words).distinct()
     if not hot.isEmpty():
         hot = hot.join(comps.select(F.col("node").alias("key"), "comp"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
         if not complete:
@@ -230,11 +237,11 @@ def link_components(
                 (F.least("at", "to").cast("long") * F.col("n") + F.greatest("at", "to")).alias("p"),
                 F.when(F.col("at") == F.col("to"), 0).when(F.col("at") < F.col("to"), -1).otherwise(1).alias("side"),
                 "key",
-                "bits",
+                *words,
                 "comp",
             )
         )
-        across = spread.repartition("h", "p").sortWithinPartitions("h", "p").mapInArrow(_cross_pairs(max_hamming, complete), "a long, b long")
+        across = spread.repartition("h", "p").sortWithinPartitions("h", "p").mapInArrow(_cross_pairs(max_hamming, words, complete), "a long, b long")
         more = scratch.table(verify(across.distinct().join(links.select("a", "b"), ["a", "b"], "left_anti")), "more-links")
         links = scratch.table(links.unionByName(more), "all-links")
         comps = connected_components(links, scratch)
