@@ -21,11 +21,12 @@ from quirework.scratch import Scratch
 
 SEED = 20270101
 #: Documents of a block, on average; a source has at most MAX_BLOCKS, so tables of blocks are bounded.
-BLOCK = 128
+BLOCK = 32
 MAX_BLOCKS = 16384
-#: Documents of an output shard, on average, and the most shards.
-SHARD = 20_000
-MAX_SHARDS = 4096
+#: Documents of an output shard, on average, and the blocks that it has at least, so that its shares come near the targets; where blocks are large, shards
+#: are too, and Spark sorts each by its own spill.
+SHARD = 2_000
+LEAST_BLOCKS = 32
 
 
 def normalised(source):
@@ -120,6 +121,7 @@ def mix(
     source_col: str = "source",
     vocabulary: str = VOCABULARY,
     seed: int = SEED,
+    shard: int = SHARD,
 ) -> tuple[DataFrame, list[Quota]]:
     """((shard, position, doc_id, source, copy, tokens), quotas): the mixture and what it was to hold.
 
@@ -158,7 +160,7 @@ def mix(
                 documents_drawn += int(n[k])
                 left -= int(size[k])
         draws.append(mine)
-    shards = int(np.clip(-(-documents_drawn // SHARD), 1, MAX_SHARDS))
+    shards = max(1, min(-(-documents_drawn // shard), sum(map(len, draws)) // LEAST_BLOCKS))
     dealt = split_tree(np.array([len(d) for d in draws], np.int64), shards, rng)
     plan = [(*d, s) for mine, per in zip(draws, dealt.T, strict=True) for d, s in zip(mine, np.repeat(np.arange(shards), per).tolist(), strict=True)]
     schema = "source string, block int, copy int, most long, partly boolean, shard int"
@@ -185,3 +187,9 @@ def shares(mixture: DataFrame, rows: list[Quota]) -> DataFrame:
     )
     total = F.sum("tokens").over(Window.partitionBy(F.lit(1)))  # as many rows as targets
     return out.withColumn("reached_share", F.when(total > 0, F.col("tokens") / total).otherwise(F.lit(0.0)))
+
+
+def shard_shares(mixture: DataFrame) -> DataFrame:
+    """(shard, source, documents, tokens, share): what each output shard holds of each source; the shares of a shard sum to 1."""
+    per = mixture.groupBy("shard", "source").agg(F.count("*").alias("documents"), F.sum("tokens").alias("tokens"))
+    return per.withColumn("share", F.col("tokens") / F.sum("tokens").over(Window.partitionBy("shard")))

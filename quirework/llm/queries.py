@@ -111,6 +111,11 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(*mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), Scratch(spark, "p8")))
 
 
+def p8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each output shard of the mixture holds of each source."""
+    return mixing.shard_shares(mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), Scratch(spark, "p8"))[0])
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of which at least a quarter of the words is repeated."""
     return repetition.repetitive(table(spark, sf_dir, "documents"))
@@ -136,6 +141,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_ids": p7_ids,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
+    "p8_shards": p8_shards,
     "p9_found": p9_found,
     "p9_shares": p9_shares,
 }

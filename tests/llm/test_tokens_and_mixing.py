@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quirework.llm import mixing as M
 from quirework.llm import tokens as T
@@ -83,6 +84,31 @@ def test_shares_caps_and_determinism(spark):
     assert sorted(map(tuple, again)) == sorted(map(tuple, got))
 
 
+def test_tree_draws_follow_the_hypergeometric_law():
+    """Over many seeds a shard's draws of a source have the mean and the variance of the hypergeometric law."""
+    counts = np.array([60, 30, 10])
+    got = np.array([M.split_tree(counts, 4, np.random.default_rng(s))[2] for s in range(2000)])
+    mean, n, total = counts / 4, 25, 100
+    variance = n * counts / total * (1 - counts / total) * (total - n) / (total - 1)
+    assert np.abs(got.mean(axis=0) - mean).max() < 0.2 and np.abs(got.var(axis=0) / variance - 1).max() < 0.15
+
+
+def test_several_shards_hold_the_same_mixture(spark):
+    """Small shards: every document's use lies in one of them, each shard holds near its part of each source."""
+    t = targets(spark, [("alpha", 0.5, 3), ("beta", 0.3, 1), ("gamma", 0.2, 2)])
+    d = documents(spark).withColumn("doc_id", F.col("doc_id")).crossJoin(spark.range(30).withColumnRenamed("id", "k")).select((F.col("doc_id") + 10_000 * F.col("k")).alias("doc_id"), "text", "source", "tokens")
+    mixture, rows = M.mix(d, t, Scratch(spark, "test"), shard=1500)
+    got = mixture.collect()
+    shards = {r.shard for r in got}
+    assert len(shards) >= 5 and len({(r.doc_id, r.copy) for r in got}) == len(got)
+    per = M.shard_shares(mixture).collect()
+    assert all(abs(sum(r.share for r in per if r.shard == s) - 1) < 1e-9 for s in shards)
+    sizes = [sum(r.tokens for r in per if r.shard == s) for s in shards]
+    assert max(sizes) < 2 * min(sizes) and sum(sizes) == sum(r.tokens for r in got)
+    for s in shards:
+        assert abs(sum(r.share for r in per if r.shard == s and r.source == "alpha") - 0.5) < 0.25
+
+
 def test_nothing_to_mix(spark):
     t = targets(spark, [("alpha", 0.5, 3), (None, 0.5, 1), ("beta", None, None)])
     assert M.mix(documents(spark).limit(0), t, Scratch(spark, "test"))[0].count() == 0
