@@ -45,3 +45,8 @@ def document_body(latex: Column) -> Column:
     begin, end = "\\begin{document}", "\\end{document}"
     rest = F.when(F.contains(latex, F.lit(begin)), F.substring(latex, F.locate(begin, latex) + len(begin), F.length(latex))).otherwise(latex)
     return F.when(F.contains(rest, F.lit(end)), F.substring(rest, F.lit(1), F.locate(end, rest) - 1)).otherwise(rest)
+
+
+def split_paragraphs(text: Column) -> Column:
+    """The paragraphs of a source: cut at blank lines and \\par, without blank ones; null for null."""
+    return F.filter(F.split(text, r"\r?\n\r?\n|\\par\b"), lambda p: F.trim(p, F.lit(" \t\n\r")) != "")

@@ -1,4 +1,10 @@
-"""Cluster trees: memberships of all ancestors, sizes, depth, centroids, and density clustering of bounded sets."""
+"""Cluster trees: memberships of all ancestors, sizes, depth, centroids, and density clustering.
+
+Density clustering compares every pair of a group in pairs of blocks. Each block
+pair gives the least distances of its rows, and then a spanning tree of its own
+edges; together these hold the spanning tree of the group, from which one task
+makes the condensed tree. So a group of any size is clustered as a whole.
+"""
 
 from __future__ import annotations
 
@@ -6,14 +12,16 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirework.functions import distributions as D
 from quirework.operators.ranking import seeded_order
 from quirework.scratch import Scratch
 
-#: Rows that density clustering takes at most: its distances are a matrix in one process.
-MAX_DENSITY_ROWS = 8000
+#: Rows of one block of a group.
+BLOCK = 1000
 
 
 def ancestors(tree: DataFrame, scratch: Scratch, max_depth: int = 64) -> DataFrame:
@@ -75,28 +83,13 @@ def approximate_centroids(memberships: DataFrame, coordinates: DataFrame, sample
     return joined.where(good).groupBy("cluster_id").agg(F.count("*").alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y"))
 
 
-def density_tree(vectors: np.ndarray, min_cluster_size: int = 5, min_samples: int | None = None) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
-    """(tree rows (parent, child, child_size, lambda_val), selected cluster of each point or -1, membership strength).
+def _gaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((x**2).sum(axis=1)[:, None] + (y**2).sum(axis=1)[None, :] - 2 * x @ y.T, 0))
 
-    Hierarchical density clustering after Campello, Moulavi and Sander: mutual
-    reachability, minimum spanning tree, condensed tree, clusters of greatest
-    excess of mass. Points keep their numbers; clusters are numbered from the
-    number of points, which is the root.
-    """
-    n = len(vectors)
-    if n > MAX_DENSITY_ROWS:
-        raise ValueError(f"density clustering takes at most {MAX_DENSITY_ROWS} rows; reduce or cluster within shards first")
-    if min_cluster_size < 2:
-        raise ValueError("a cluster needs two members")
-    empty = pd.DataFrame({"parent": [], "child": [], "child_size": [], "lambda_val": []})
-    if n < min_cluster_size:
-        return empty, np.full(n, -1), np.zeros(n)
-    k = min(min_samples or min_cluster_size, n - 1)
-    square = (vectors**2).sum(axis=1)
-    gap = np.sqrt(np.maximum(square[:, None] + square[None, :] - 2 * vectors @ vectors.T, 0))
-    core = np.partition(gap, k, axis=1)[:, k]
-    gap = np.maximum(gap, np.maximum(core[:, None], core[None, :]))
-    # Minimum spanning tree by growing from point 0.
+
+def spanning_edges(gap: np.ndarray) -> list[tuple[float, int, int]]:
+    """(length, point, point) of a minimum spanning tree, grown from point 0; an infinite gap is no edge."""
+    n = len(gap)
     inside = np.zeros(n, bool)
     best, near = gap[0].copy(), np.zeros(n, int)
     inside[0] = True
@@ -107,7 +100,36 @@ def density_tree(vectors: np.ndarray, min_cluster_size: int = 5, min_samples: in
         inside[j] = True
         closer = gap[j] < best
         best[closer], near[closer] = gap[j][closer], j
-    edges.sort()
+    return edges
+
+
+def density_tree(vectors: np.ndarray, min_cluster_size: int = 5, min_samples: int | None = None) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    """``condensed_tree`` of the points of one process: a matrix of all distances is made."""
+    n = len(vectors)
+    if min_cluster_size < 2:
+        raise ValueError("a cluster needs two members")
+    if n < min_cluster_size:
+        return condensed_tree(n, [], min_cluster_size)
+    k = min(min_samples or min_cluster_size, n - 1)
+    gap = _gaps(vectors, vectors)
+    core = np.partition(gap, k, axis=1)[:, k]
+    return condensed_tree(n, spanning_edges(np.maximum(gap, np.maximum(core[:, None], core[None, :]))), min_cluster_size)
+
+
+def condensed_tree(n: int, edges: list[tuple[float, int, int]], min_cluster_size: int = 5) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    """(tree rows (parent, child, child_size, lambda_val), selected cluster of each point or -1, membership strength).
+
+    Hierarchical density clustering after Campello, Moulavi and Sander: mutual
+    reachability, minimum spanning tree, condensed tree, clusters of greatest
+    excess of mass. edges hold a minimum spanning tree of the n points' mutual
+    reachability, and maybe further edges, which change nothing. Points keep
+    their numbers; clusters are numbered from the number of points, which is the
+    root.
+    """
+    empty = pd.DataFrame({"parent": [], "child": [], "child_size": [], "lambda_val": []})
+    if n < min_cluster_size:
+        return empty, np.full(n, -1), np.zeros(n)
+    edges = sorted(edges)
     # Single linkage: node n + i joins the two sides of the i-th edge.
     top, size, left, right, height = list(range(2 * n - 1)), [1] * n + [0] * (n - 1), {}, {}, {}
 
@@ -117,9 +139,13 @@ def density_tree(vectors: np.ndarray, min_cluster_size: int = 5, min_samples: in
             i = top[i]
         return i
 
-    for i, (d, a, b) in enumerate(edges):
+    i = 0
+    for d, a, b in edges:
         x, y = find(a), find(b)
+        if x == y:
+            continue
         node = n + i
+        i += 1
         top[x] = top[y] = node
         left[node], right[node], height[node] = x, y, d
         size[node] = size[x] + size[y]
@@ -214,29 +240,133 @@ def tree_memberships(tree: pd.DataFrame, strength: np.ndarray, n: int) -> tuple[
     return members, [(int(c), int(k), up.get(int(c), -1)) for c, k in sorted(count.items())]
 
 
-def clusters_within(df: DataFrame, group: str, id_col: str, vector_col: str, min_cluster_size: int = 5, shard: int = 2000) -> DataFrame:
-    """(group, shard, id, cluster, strength): density clustering of each group by itself.
+def _numbered(df: DataFrame, group: str, id_col: str, vector_col: str, block: int) -> DataFrame:
+    """(grp, dim, no, id, v, n, blocks, block): usable vectors scaled to length one, numbered by id within their group and length."""
+    v = F.col(vector_col).cast("array<double>")
+    rows = df.select(F.col(group).cast("string").alias("grp"), F.col(id_col).cast("string").alias("id"), D.unit(v).alias("v"), D.usable_vector(F.col(vector_col)).alias("ok"))
+    rows = rows.where("grp is not null and id is not null and ok").drop("ok").withColumn("dim", F.size("v"))
+    w = Window.partitionBy("grp", "dim")
+    rows = rows.withColumn("no", F.row_number().over(w.orderBy("id")) - 1).withColumn("n", F.count("*").over(w))
+    blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
+    return rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.col("no"), F.col("blocks")).cast("int"))
 
-    A group of more than ``shard`` rows is first divided by the signs of its
-    vectors' leading components, and a part beyond MAX_DENSITY_ROWS in id order,
-    so no task gathers more; clusters of different shards are different. Numbers
-    of clusters are local to a shard; -1 is noise.
-    """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id")
+def _pairs_of_blocks(rows: DataFrame):
+    """The rows once for each pair of blocks that theirs is in; side: 0 within one block, -1 and 1 for the two of a pair."""
+    far = rows.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("block") == F.col("to"), 0).when(F.col("block") < F.col("to"), -1).otherwise(1)
+    return far.withColumn("side", side).withColumn("x", F.least("block", "to")).withColumn("y", F.greatest("block", "to")).drop("to").groupBy("grp", "dim", "x", "y")
+
+
+def _rows(part: pa.Table) -> np.ndarray:
+    return part.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+
+
+def _least_gaps(k: int):
+    """(grp, dim, no, gaps): of each row its k + 1 least distances, itself among them, to the other block of its pair, or within its own."""
+
+    def run(part: pa.Table) -> pa.Table:
+        side, no, v = np.asarray(part.column("side")), np.asarray(part.column("no")), _rows(part)
         out = []
-        for lo in range(0, len(rows), MAX_DENSITY_ROWS):
-            part = rows.iloc[lo : lo + MAX_DENSITY_ROWS]
-            x = np.stack(part.v.to_numpy()).astype(np.float64)
-            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-            _, label, strength = density_tree(x, min_cluster_size)
-            out.append(pd.DataFrame({"grp": part.grp, "shard": part.shard + f".{lo // MAX_DENSITY_ROWS}", "id": part.id, "cluster": label.astype("int32"), "strength": strength}))
-        return pd.concat(out)
-
-    v = F.col(vector_col)
-    rows = df.select(F.col(group).cast("string").alias("grp"), F.col(id_col).cast("string").alias("id"), v.alias("v")).where("grp is not null and id is not null and v is not null and size(v) > 0")
-    n = rows.groupBy("grp", F.size("v").alias("dim")).agg(F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / F.lit(shard)))).cast("int").alias("bits"))
-    signs = F.array_join(F.transform(F.slice("v", F.lit(1), F.least(F.col("bits"), F.col("dim"))), lambda x: F.when(x > 0, "1").otherwise("0")), "")
-    rows = rows.withColumn("dim", F.size("v")).join(n, ["grp", "dim"]).select("grp", "id", "v", F.concat_ws(":", F.col("dim").cast("string"), signs).alias("shard"))
-    return rows.groupBy("grp", "shard").applyInPandas(run, "grp string, shard string, id string, cluster int, strength double").withColumnRenamed("grp", group).withColumnRenamed("id", id_col)
+        for mine, other in ((side == -1, side == 1), (side == 1, side == -1), (side == 0, side == 0)):
+            if mine.any() and other.any():
+                gap = _gaps(v[mine], v[other])
+                few = min(k + 1, gap.shape[1])
+                out += list(zip(no[mine].tolist(), np.partition(gap, few - 1, axis=1)[:, :few].tolist(), strict=True))
+        n = len(out)
+        return pa.table({"grp": pa.array([part.column("grp")[0].as_py()] * n, pa.string()), "dim": pa.array([part.column("dim")[0].as_py()] * n, pa.int32()), "no": pa.array([o[0] for o in out], pa.int32()), "gaps": pa.array([o[1] for o in out], pa.list_(pa.float64()))})
+
+    return run
+
+
+def _block_edges(part: pa.Table) -> pa.Table:
+    """(grp, dim, a, b, gap): a spanning tree of the mutual reachability between the two blocks of a pair, or within one."""
+    side, no, v, core = np.asarray(part.column("side")), np.asarray(part.column("no")), _rows(part), np.asarray(part.column("core"))
+    order = np.argsort(no)
+    side, no, v, core = side[order], no[order], v[order], core[order]
+    gap = np.maximum(_gaps(v, v), np.maximum(core[:, None], core[None, :]))
+    if (side != 0).any():
+        gap[side[:, None] == side[None, :]] = np.inf
+    edges = [e for e in spanning_edges(gap) if np.isfinite(e[0])]
+    n = len(edges)
+    return pa.table(
+        {
+            "grp": pa.array([part.column("grp")[0].as_py()] * n, pa.string()),
+            "dim": pa.array([part.column("dim")[0].as_py()] * n, pa.int32()),
+            "a": pa.array(no[[e[1] for e in edges]].astype(np.int32) if n else [], pa.int32()),
+            "b": pa.array(no[[e[2] for e in edges]].astype(np.int32) if n else [], pa.int32()),
+            "gap": pa.array([e[0] for e in edges], pa.float64()),
+        }
+    )
+
+
+def density_edges(rows: DataFrame, min_samples: int, scratch: Scratch) -> DataFrame:
+    """(grp, dim, a, b, gap): edges that hold a minimum spanning tree of the mutual reachability of each group of numbered rows."""
+    gaps = _pairs_of_blocks(rows).applyInArrow(_least_gaps(min_samples), "grp string, dim int, no int, gaps array<double>")
+    every = F.array_sort(F.flatten(F.collect_list("gaps")))  # min_samples + 1 numbers a block
+    core = gaps.groupBy("grp", "dim", "no").agg(every.alias("g")).select("grp", "dim", "no", "g")
+    known = rows.join(core, ["grp", "dim", "no"]).withColumn("core", F.element_at("g", F.least(F.lit(min_samples), F.col("n") - 1).cast("int") + 1)).drop("g")
+    known = scratch.table(known, "cores")
+    return scratch.table(_pairs_of_blocks(known).applyInArrow(_block_edges, "grp string, dim int, a int, b int, gap double"), "edges")
+
+
+def _with_edges(rows: DataFrame, edges: DataFrame, make, schema: str) -> DataFrame:
+    return rows.select("grp", "dim", "no", "id").groupBy("grp", "dim").cogroup(edges.groupBy("grp", "dim")).applyInArrow(make, schema)
+
+
+def _sorted_ids(rows: pa.Table) -> pa.Table:
+    return rows.sort_by("no")
+
+
+def _edge_list(edges: pa.Table) -> list[tuple[float, int, int]]:
+    return list(zip(edges.column("gap").to_pylist(), edges.column("a").to_pylist(), edges.column("b").to_pylist(), strict=True))
+
+
+def clusters_within(df: DataFrame, group: str, id_col: str, vector_col: str, scratch: Scratch, min_cluster_size: int = 5, min_samples: int | None = None, block: int = BLOCK) -> DataFrame:
+    """(group, dim, id, cluster, strength): density clustering of each group by itself, by the distance of vectors scaled to length one.
+
+    Exact at every size: all pairs of a group are compared in pairs of blocks of
+    ``block`` rows, at a cost in the square of the group; the last step of a group
+    reads its spanning trees, two numbers and a length for each row and block, in
+    one task. Vectors of different lengths are different groups; unusable vectors,
+    null ids and null groups take no part; numbers of clusters are local to a
+    group; -1 is noise.
+    """
+    if min_cluster_size < 2:
+        raise ValueError("a cluster needs two members")
+
+    def make(rows: pa.Table, edges: pa.Table) -> pa.Table:
+        rows = _sorted_ids(rows)
+        _, label, strength = condensed_tree(rows.num_rows, _edge_list(edges), min_cluster_size)
+        return pa.table({"grp": rows.column("grp"), "dim": rows.column("dim"), "id": rows.column("id"), "cluster": pa.array(label.astype(np.int32)), "strength": pa.array(strength.astype(np.float64))})
+
+    rows = scratch.table(_numbered(df, group, id_col, vector_col, block), "numbered")
+    edges = density_edges(rows, min_samples or min_cluster_size, scratch)
+    return _with_edges(rows, edges, make, "grp string, dim int, id string, cluster int, strength double").withColumnRenamed("grp", group).withColumnRenamed("id", id_col)
+
+
+def whole_tree(df: DataFrame, id_col: str, vector_col: str, scratch: Scratch, min_cluster_size: int = 5, min_samples: int | None = None, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """((cluster_id, id, certainty), (cluster_id, size, parent_cluster_id)): one density tree of all rows, with a membership for each ancestor; the root holds every row and has parent -1.
+
+    Vectors must be of one length. Fewer rows than ``min_cluster_size`` give no clusters.
+    """
+
+    def make(rows: pa.Table, edges: pa.Table) -> pa.Table:
+        rows = _sorted_ids(rows)
+        tree, _, strength = condensed_tree(rows.num_rows, _edge_list(edges), min_cluster_size)
+        members, clusters = tree_memberships(tree, strength, rows.num_rows) if len(tree) else ([], [])
+        up, ids = {c: p for c, _, p in clusters}, rows.column("id").to_pylist()
+        return pa.table(
+            {
+                "cluster_id": pa.array([c for c, _, _ in members], pa.int32()),
+                "parent_cluster_id": pa.array([up[c] for c, _, _ in members], pa.int32()),
+                "id": pa.array([ids[p] for _, p, _ in members], pa.string()),
+                "certainty": pa.array([s for _, _, s in members], pa.float64()),
+            }
+        )
+
+    rows = scratch.table(_numbered(df.withColumn("__all", F.lit("all")), "__all", id_col, vector_col, block), "numbered")
+    edges = density_edges(rows, min_samples or min_cluster_size, scratch)
+    got = scratch.table(_with_edges(rows, edges, make, "cluster_id int, parent_cluster_id int, id string, certainty double"), "memberships")
+    clusters = got.groupBy("cluster_id").agg(F.count("*").cast("int").alias("size"), F.min("parent_cluster_id").alias("parent_cluster_id"))
+    return got.select("cluster_id", F.col("id").alias(id_col), "certainty"), clusters

@@ -117,3 +117,14 @@ def logistic_probabilities(train: DataFrame, rows: DataFrame, features: str, lab
     )
     out = model.transform(rows.withColumn("__x", array_to_vector(F.col(features))))
     return out.withColumn("__p", vector_to_array("probability")[1]).drop("__x", "rawPrediction", "prediction", "probability").withColumnRenamed("__p", "probability")
+
+
+def left_out_accuracy(rows: DataFrame, features: str, label: str, group: str, parts: int = 5) -> DataFrame:
+    """(mean, spread, parts): accuracy of logistic regression on the groups it was not fitted on. Groups are dealt to ``parts`` by hash, each left out once; an empty part counts for nothing."""
+    part = F.pmod(F.xxhash64(F.col(group)), F.lit(parts))
+    out = None
+    for i in range(parts):
+        own = logistic_probabilities(rows.where(part != i), rows.where(part == i), features, label)
+        right = own.agg(F.lit(i).alias("part"), F.avg(((F.col("probability") >= 0.5).cast("int") == F.col(label)).cast("double")).alias("a"))
+        out = right if out is None else out.unionByName(right)
+    return out.agg(F.avg("a").alias("mean"), F.stddev_pop("a").alias("spread"), F.count("a").alias("parts"))

@@ -179,25 +179,79 @@ def similar_papers(queries: DataFrame, passages: DataFrame, k: int, pairs_per_pa
     return best.groupBy("query_id", "target_id").agg(F.round(F.avg("weighted"), 6).alias("score"), F.count("*").alias("pairs"))
 
 
-def best_labels(queries: DataFrame, rows: DataFrame, deal: int = 64) -> DataFrame:
-    """(query_id, label, best): the highest dot product of each query with the rows of every other label.
+def _vectors(column: pa.ChunkedArray) -> np.ndarray:
+    """The rows of a list column of one length, from its buffer."""
+    flat = column.combine_chunks().flatten()
+    return flat.to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
-    queries: (query_id, own, q); rows: (label, embedding). Rows are dealt to
-    ``deal`` parts that each meet all queries, and only one number per query and
-    label leaves a part.
+
+#: Rows, and queries, that meet in one task.
+PART_ROWS, PART_QUERIES = 50_000, 4_096
+
+
+def best_by_label(queries: DataFrame, rows: DataFrame, k: int | None = None, part_rows: int = PART_ROWS, part_queries: int = PART_QUERIES) -> DataFrame:
+    """(query_id, label, best): the highest dot product of each query's vectors with the rows of every other label, rounded to six places; with k only each query's k best labels.
+
+    queries: (query_id string, own string, v array<double>), any number of rows a
+    query; rows: (label string, v array<double>). Rows are dealt to parts by their
+    count, and each part of rows meets each part of queries in one task, from which
+    one number per query and label comes, or the k best: a label among a query's
+    k best is so where its best row is. Ties go to the smaller label. Vectors
+    compare with those of their own length.
     """
+    usable = lambda df: df.where(D.usable_vector(F.col("v")))
+    p, q = usable(rows.select("label", F.col("v").cast("array<double>").alias("v"))), usable(queries.select("query_id", "own", F.col("v").cast("array<double>").alias("v")))
+    n, m = max(1, -(-p.count() // part_rows)), max(1, -(-q.count() // part_queries))
 
     def run(part: pa.Table) -> pa.Table:
+        empty = pa.table({"query_id": pa.array([], pa.string()), "label": pa.array([], pa.string()), "best": pa.array([], pa.float64())})
         asked = np.asarray(part.column("asked"))
-        q, p = part.take(np.flatnonzero(asked)), part.take(np.flatnonzero(~asked))
-        if not q.num_rows or not p.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "label": pa.array([], pa.int32()), "best": pa.array([], pa.float64())})
-        close = np.round(np.array(q.column("v").to_pylist(), np.float64) @ np.array(p.column("v").to_pylist(), np.float64).T, 6)
-        label, own, ids = p.column("label").to_numpy(), q.column("label").to_numpy(), q.column("id").to_numpy()
-        out = [(ids[own != c], np.full((own != c).sum(), c), close[own != c][:, label == c].max(axis=1)) for c in np.unique(label)]
-        return pa.table({"query_id": pa.array(np.concatenate([o[0] for o in out]), pa.int64()), "label": pa.array(np.concatenate([o[1] for o in out]).astype(np.int32)), "best": pa.array(np.concatenate([o[2] for o in out]))})
-
-    p = rows.select(F.lit(0).cast("long").alias("id"), F.col("label").cast("int"), F.col("embedding").cast("array<double>").alias("v"), F.lit(False).alias("asked"), F.pmod(F.xxhash64("embedding"), F.lit(deal)).alias("part"))
-    q = queries.select(F.col("query_id").alias("id"), F.col("own").cast("int").alias("label"), F.col("q").cast("array<double>").alias("v"), F.lit(True).alias("asked"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(deal - 1).cast("long"))).alias("part"))
-    both = p.where("v is not null").unionByName(q.where("v is not null"))
-    return both.groupBy("part", F.size("v").alias("dim")).applyInArrow(run, "query_id long, label int, best double").groupBy("query_id", "label").agg(F.max("best").alias("best"))
+        own, data = part.filter(pa.array(asked)), part.filter(pa.array(~asked))
+        if not own.num_rows or not data.num_rows:
+            return empty
+        names, at = np.unique(np.array(data.column("label").to_pylist(), object), return_inverse=True)
+        ids, of = np.unique(np.array(own.column("query_id").to_pylist(), object), return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        begin = np.searchsorted(at[order], np.arange(len(names)))
+        x, y = _vectors(data.column("v"))[order], _vectors(own.column("v"))
+        best = np.full((len(ids), len(names)), -np.inf)
+        mine = np.array(own.column("label").to_pylist(), object)
+        for lo in range(0, len(y), 256):
+            close = np.maximum.reduceat(y[lo : lo + 256] @ x.T, begin, axis=1)
+            close[mine[lo : lo + 256][:, None] == names[None, :]] = -np.inf
+            np.maximum.at(best, of[lo : lo + 256], close)
+        best = np.round(best, 6)
+        if k is not None and k < len(names):
+            last = -np.partition(-best, k - 1, axis=1)[:, k - 1]
+            best[best < last[:, None]] = -np.inf
+        i, j = np.nonzero(best > -np.inf)
+        return pa.table({"query_id": pa.array(ids[i], pa.string()), "label": pa.array(names[j], pa.string()), "best": pa.array(best[i, j], pa.float64())})
+
+    each = lambda c, of: F.explode(F.sequence(F.lit(0), F.lit(of - 1))).alias(c)
+    data = p.select(F.lit(None).cast("string").alias("query_id"), "label", "v", F.lit(False).alias("asked"), F.pmod(F.xxhash64("v"), F.lit(n)).cast("int").alias("x"), each("y", m))
+    asked = q.select("query_id", F.col("own").alias("label"), "v", F.lit(True).alias("asked"), each("x", n), F.pmod(F.xxhash64("query_id"), F.lit(m)).cast("int").alias("y"))
+    both = data.unionByName(asked).withColumn("dim", F.size("v"))
+    found = both.groupBy("dim", "x", "y").applyInArrow(run, "query_id string, label string, best double").groupBy("query_id", "label").agg(F.max("best").alias("best"))
+    if k is None:
+        return found
+    w = Window.partitionBy("query_id").orderBy(F.desc("best"), "label")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def best_labels(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """(query_id, label, best) for whole numbers as ids and labels. queries: (query_id, own, q); rows: (label, embedding)."""
+    q = queries.select(F.col("query_id").cast("string").alias("query_id"), F.col("own").cast("string").alias("own"), F.col("q").alias("v"))
+    found = best_by_label(q, rows.select(F.col("label").cast("string").alias("label"), F.col("embedding").alias("v")))
+    return found.select(F.col("query_id").cast("long").alias("query_id"), F.col("label").cast("int").alias("label"), "best")
+
+
+def nearest_papers(queries: DataFrame, passages: DataFrame, k: int) -> DataFrame:
+    """(query_id, target_id, similarity, rank): of each query paper the k papers with the highest cosine over all pairs of passages, ties by id, the query itself left out.
+
+    queries, passages: (arxiv_id, embedding). A query paper without a usable
+    vector has no rows.
+    """
+    unit = D.unit(F.col("embedding"))
+    q = queries.where("arxiv_id is not null").select(F.col("arxiv_id").alias("query_id"), F.col("arxiv_id").alias("own"), unit.alias("v"))
+    found = best_by_label(q, passages.where("arxiv_id is not null").select(F.col("arxiv_id").alias("label"), unit.alias("v")), k)
+    return found.select("query_id", F.col("label").alias("target_id"), F.col("best").alias("similarity"), "rank")

@@ -95,7 +95,7 @@ def u7_sibling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def u6_density_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Density clusters of the papers of each category."""
     p = table(spark, sf_dir, "papers").where("primary_category is not null").groupBy("arxiv_id").agg(F.min("primary_category").alias("primary_category"), F.first("area_embedding", True).alias("area_embedding"))
-    return C.clusters_within(p, "primary_category", "arxiv_id", "area_embedding")
+    return C.clusters_within(p, "primary_category", "arxiv_id", "area_embedding", Scratch(spark, "u6"))
 
 
 @query(

@@ -89,11 +89,18 @@ def proj5_area_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _papers(spark, sf_dir).where("title is not null and abstract is not null").select("arxiv_id", F.concat("title", F.lit("\n\n"), "abstract").alias("area_text"))
 
 
-@query("select arxiv_id, array_to_string(list_distinct(authors), '|') is not null as has, len(authors) as n, authors[1] as first_author from papers where authors is not null and len(authors) > 0 group by all")
+@query(
+    """with p as (select arxiv_id, min(authors) as a from papers where authors is not null and len(authors) > 0 group by 1)
+    select arxiv_id, list_filter(case when ascii(right(arxiv_id, 1)) % 2 = 0 then list_transform(a, lambda x: x) else list_transform(string_split(array_to_string(a, ', '), ','), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))) end, lambda x: x <> '') as authors from p"""
+)
 def proj2_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Author lists of papers."""
-    p = table(spark, sf_dir, "papers").where("authors is not null and size(authors) > 0")
-    return p.select("arxiv_id", F.array_join(F.array_distinct("authors"), "|").isNotNull().alias("has"), F.size("authors").cast("long").alias("n"), F.element_at("authors", 1).alias("first_author")).distinct()
+    """Authors of records: of those with parsed names, surname and first name; of the others the text cut at commas."""
+    p = table(spark, sf_dir, "papers").where("authors is not null and size(authors) > 0").groupBy("arxiv_id").agg(F.min("authors").alias("a"))
+    even = F.ascii(F.right("arxiv_id", F.lit(1))) % 2 == 0
+    parsed = F.when(even, F.transform("a", lambda x: F.array(x, F.lit(""), F.lit("Jr."))))
+    lines = p.select(F.to_json(F.struct(F.col("arxiv_id").alias("id"), F.when(~even, F.array_join("a", ", ")).alias("authors"), parsed.alias("authors_parsed"))).alias("value"))
+    r = M.parse_records(lines).select("record")
+    return r.select(F.col("record.id").alias("arxiv_id"), M.author_names(F.col("record")).alias("authors"))
 
 
 @query(f"select arxiv_id from {_ONE} where list_has_any(string_split_regex(lower(trim(primary_category)), '\\s+'), ['cs.lg', 'math.pr'])")

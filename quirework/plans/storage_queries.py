@@ -90,14 +90,26 @@ def j11_one_to_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("arxiv_id").agg(F.count("*").alias("papers"), F.sum("n").alias("passages"))
 
 
-@query(
-    """select event_id, json_valid(props) and json_type(props) = 'OBJECT' as is_object, list_sort(json_keys(props)) as keys from events where props is not null and json_valid(props)"""
-)
+@query("select event_id, list_sort(json_keys(props)) as keys from events where props is not null and json_valid(props)")
 def x46_json_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of JSON objects, as the exact key set of an answer is checked."""
-    e = table(spark, sf_dir, "events").where("props is not null")
-    keys = F.json_object_keys("props")
-    return e.select("event_id", keys.isNotNull().alias("is_object"), F.array_sort(keys).alias("keys"))
+    return table(spark, sf_dir, "events").where("props is not null").select("event_id", F.array_sort(F.json_object_keys("props")).alias("keys"))
+
+
+@query("select event_id, case event_id % 6 when 1 then 'not an object' when 2 then 'wrong keys' when 3 then 'no category' when 4 then 'no evidence' when 5 then 'blank quote' end as problem from events")
+def x46_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why a connection's answer is refused; answers are made of events, five of six broken in one way each."""
+    kind = F.pmod("event_id", F.lit(6))
+    nothing = F.lit(None).cast("struct<description: string>")
+    quote = F.struct(F.lit("s0_p0").alias("block_id"), F.when(kind == 5, " ").otherwise(F.col("event_type")).alias("quote"))
+    evidence = F.when(kind == 4, F.array().cast("array<struct<block_id: string, quote: string>>")).otherwise(F.array(quote))
+    fields = [
+        F.when(kind == 3, " ").otherwise(F.col("event_type")).alias("category"), F.lit("reduction").alias("relation_type"), F.array(F.lit("a"), F.lit("b")).alias("objects"), F.array(F.lit("x")).alias("fields"),
+        evidence.alias("evidence"), nothing.alias("objective"), nothing.alias("obstacle"), nothing.alias("benefit"),
+    ]
+    whole = {"ignoreNullFields": "false"}
+    answer = F.when(kind == 1, "[1, 2]").when(kind == 2, F.to_json(F.struct(*fields[1:]), whole)).otherwise(F.to_json(F.struct(*fields), whole))
+    return table(spark, sf_dir, "events").select("event_id", C.connection_problem(answer).alias("problem"))
 
 
 @query("select arxiv_id, to_json(min(authors))::varchar as authors from papers where authors is not null group by 1")

@@ -30,17 +30,11 @@ def x25_extract_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.extracted_statements(_sections(spark, sf_dir)).select("arxiv_id", "section_index", "statement_index", "statement_type", body, "labels")
 
 
-@query("select arxiv_id, section_index, statement_index, labels[1] as first_label, len(labels) as n from statements where len(labels) > 0")
+@query("select arxiv_id, section_index, statement_index, labels[1] as first_label, len(labels) as n, array_to_string(labels, ' ') as all_labels from statements where len(labels) > 0")
 def x24_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First label of each labelled statement."""
-    s = table(spark, sf_dir, "statements").where("size(labels) > 0")
-    return s.select("arxiv_id", "section_index", "statement_index", F.col("labels")[0].alias("first_label"), F.size("labels").cast("long").alias("n"))
-
-
-@query()
-def x27_statement_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which statements' proofs mention which others."""
-    return D.statement_edges(table(spark, sf_dir, "sections"))
+    """Labels that the parser finds directly inside each statement of every section's source."""
+    s = D.extracted_statements(_sections(spark, sf_dir)).where("size(labels) > 0")
+    return s.select("arxiv_id", "section_index", "statement_index", F.col("labels")[0].alias("first_label"), F.size("labels").cast("long").alias("n"), F.array_join("labels", " ").alias("all_labels"))
 
 
 @query()
@@ -55,17 +49,20 @@ def x1_without_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sections(spark, sf_dir).where("raw_latex is not null").select("arxiv_id", "section_index", F.md5(X.without_comments(F.col("raw_latex"))).alias("digest"))
 
 
-@query(f"select arxiv_id, section_index, length(regexp_replace(raw_latex, '(?is)\\\\begin\\{{(?:verbatim|lstlisting|minted)\\}}.*?\\\\end\\{{(?:verbatim|lstlisting|minted)\\}}', ' ', 'g')) as n from {_S} where raw_latex is not null")
+@query(f"select arxiv_id, section_index, md5(regexp_replace(raw_latex, '(?is)\\\\begin\\{{(?:verbatim|lstlisting|minted)\\}}.*?\\\\end\\{{(?:verbatim|lstlisting|minted)\\}}', ' ', 'g')) as digest from {_S} where raw_latex is not null")
 def x7_without_verbatim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Length of each source without verbatim blocks."""
-    return _sections(spark, sf_dir).where("raw_latex is not null").select("arxiv_id", "section_index", F.length(X.without_verbatim(F.col("raw_latex"))).cast("long").alias("n"))
+    """Digest of each source without verbatim blocks."""
+    return _sections(spark, sf_dir).where("raw_latex is not null").select("arxiv_id", "section_index", F.md5(X.without_verbatim(F.col("raw_latex"))).alias("digest"))
 
 
-@query(f"select arxiv_id, section_index, len(list_filter(string_split_regex(raw_latex, '\\r?\\n\\r?\\n|\\\\par\\b'), lambda p: trim(p, ' ' || chr(9) || chr(10) || chr(13)) <> '')) as n from {_S} where raw_latex is not null")
+@query(
+    f"""with p as (select arxiv_id, section_index, list_filter(string_split_regex(raw_latex, '\\r?\\n\\r?\\n|\\\\par\\b'), lambda p: trim(p, ' ' || chr(9) || chr(10) || chr(13)) <> '') as parts from {_S} where raw_latex is not null)
+    select arxiv_id, section_index, len(parts) as n, md5(array_to_string(parts, chr(31))) as digest from p"""
+)
 def x19_split_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Number of paragraphs of each source."""
-    parts = F.filter(F.split("raw_latex", r"\r?\n\r?\n|\\par\b"), lambda p: F.trim(p, F.lit(" \t\n\r")) != "")
-    return _sections(spark, sf_dir).where("raw_latex is not null").select("arxiv_id", "section_index", F.size(parts).cast("long").alias("n"))
+    """Number and digest of the paragraphs of each source."""
+    parts = X.split_paragraphs(F.col("raw_latex"))
+    return _sections(spark, sf_dir).where("raw_latex is not null").select("arxiv_id", "section_index", F.size(parts).cast("long").alias("n"), F.md5(F.array_join(parts, "\x1f")).alias("digest"))
 
 
 @query()
@@ -102,19 +99,6 @@ def proj6_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.blocks(one, _sections(spark, sf_dir)).select("arxiv_id", "block_id", F.md5("text").alias("digest"))
 
 
-@query(
-    f"""select arxiv_id, section_index, string_agg(substr(t, 1, 40), '|' order by i) as openings, count(*) as n from
-    (select arxiv_id, section_index, text[i] as t, i from (select *, unnest(range(1, len(text) + 1)) as i from {_S}) where regexp_matches(coalesce(major_section_header, ''), '(?i)proof|main'))
-    where trim(t) <> '' group by all"""
-)
-def f12_overview_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Openings of the paragraphs of sections whose major header tells of proofs or main results."""
-    s = _sections(spark, sf_dir).where(F.coalesce("major_section_header", F.lit("")).rlike("(?i)proof|main"))
-    own = F.filter("text", lambda t: F.trim(t) != "")
-    out = s.select("arxiv_id", "section_index", own.alias("t")).where("size(t) > 0")
-    return out.select("arxiv_id", "section_index", F.array_join(F.transform("t", lambda t: F.substring(t, 1, 40)), "|").alias("openings"), F.size("t").cast("long").alias("n"))
-
-
 _Q = "(select * from (values ('q1', 'spectral gap estimate of the graph'), ('q2', 'tokenizer and verifier'), ('q3', 'graph graph')) v(query_id, query))"
 _TOK = "regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9]+')"
 

@@ -148,3 +148,25 @@ def parse_id_lines(lines: DataFrame, value: str = "value", position: str = "posi
     """(arxiv_id, position): ids separated by white space or commas, without what follows a # sign, each at its first place."""
     ids = F.filter(F.split(F.regexp_replace(value, "#.*", ""), r"[\s,]+"), lambda x: x != "")
     return lines.select(position, F.posexplode(ids).alias("k", "arxiv_id")).groupBy("arxiv_id").agg(F.min(F.struct(position, "k")).alias("p")).select("arxiv_id", F.col(f"p.{position}").alias(position))
+
+
+def write_subset(lines: DataFrame, path: str, value: str = "value") -> None:
+    """Writes the lines of mathematics and computer science, unchanged; lines that are no object are left out."""
+    rows = parse_records(lines, value)
+    rows.where(is_math_or_cs(F.col("record")["categories"])).select(F.col(value).alias("value")).write.mode("errorifexists").text(path)
+
+
+def iso_time(at: Column) -> Column:
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def from_iso(text: Column) -> Column:
+    """A time in ISO form with or without a zone; null where it is none."""
+    return F.try_to_timestamp(F.regexp_replace(text, "Z$", "+00:00"))
+
+
+def within_days(at: Column, last: Column, days: int) -> Column:
+    """Whether a time lies on ``last`` or one of the ``days`` days before it."""
+    if days < 0:
+        raise ValueError("days must not be negative")
+    return at.cast("date").between(F.date_sub(last, days), last)

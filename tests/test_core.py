@@ -19,6 +19,7 @@ from quirework.functions import text as X
 from quirework.operators import cluster_tree as T
 from quirework.operators import documents, metrics, models, ranking, sampling, search, storage, techniques, workflow
 from quirework.operators.components import connected_components
+from quirework.operators.deltas import Store
 from quirework.scratch import Scratch
 from quirework.sources import files, metadata
 from quirework.streaming import ingest
@@ -299,8 +300,33 @@ def test_density_clusters(spark):
     assert {c[2] for c in clusters if c[0] == len(x)} == {-1} and dict((c[0], c[1]) for c in clusters)[len(x)] == len(x)
     assert T.density_tree(x[:3], 8)[1].tolist() == [-1] * 3
     df = spark.createDataFrame([("g", str(i), [float(a) for a in v]) for i, v in enumerate(x)] + [("h", "1", [1.0, 2.0]), (None, "2", [1.0, 1.0]), ("h", "3", None)], "g string, id string, v array<double>")
-    got = T.clusters_within(df, "g", "id", "v", 5).collect()
-    assert len(got) == len(x) + 1 and T.clusters_within(df, "g", "id", "v", 5, shard=20).count() == len(x) + 1
+    got = T.clusters_within(df, "g", "id", "v", Scratch(spark, "t"), 5).collect()
+    assert len(got) == len(x) + 1
+
+
+def groups(label):
+    out = {}
+    for i, c in label.items():
+        out.setdefault(c, set()).add(i)
+    return {frozenset(v) for c, v in out.items() if c != -1}, out.get(-1, set())
+
+
+def test_density_clusters_do_not_depend_on_blocks(spark):
+    """A group in blocks of 25 rows gives the clusters and the tree that one matrix gives."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(c, 0.15, (40, 6)) for c in np.eye(6)[:4] * 3] + [rng.normal(0, 1, (30, 6))])
+    df = spark.createDataFrame([("g", f"{i:03d}", [float(a) for a in v]) for i, v in enumerate(x)], "g string, id string, v array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    tree, label, strength = T.density_tree(unit, 5)
+    want = groups({f"{i:03d}": c for i, c in enumerate(label.tolist())})
+    for block in (25, 1000):
+        got = T.clusters_within(df, "g", "id", "v", Scratch(spark, "t"), 5, block=block).collect()
+        assert groups({r.id: r.cluster for r in got}) == want
+        assert max(abs(r.strength - strength[int(r.id)]) for r in got) < 1e-6
+    members, clusters = T.whole_tree(df, "id", "v", Scratch(spark, "t"), 5, block=25)
+    wanted = T.tree_memberships(tree, strength, len(x))
+    assert sorted(r["size"] for r in clusters.collect()) == sorted(c[1] for c in wanted[1]) and members.count() == len(wanted[0])
+    assert T.clusters_within(df.limit(0), "g", "id", "v", Scratch(spark, "t")).count() == 0
 
 
 def test_components(spark):
@@ -353,13 +379,16 @@ def test_atomic_writes_manifests_and_stream(spark, tmp_path):
     source = str(tmp_path / "in")
     rows = spark.createDataFrame([("a", "x", 1), ("b", "y", 1)], "arxiv_id string, title string, n int")
     rows.write.parquet(source)
-    args = (spark, source, rows.schema, "papers", target, str(tmp_path / "check"), ["n"])
+    args = (spark, source, rows.schema, "papers", target, str(tmp_path / "check"))
     ingest.ingest(*args).awaitTermination()
     spark.createDataFrame([("a", "z", 2)], rows.schema).write.mode("append").parquet(source)
     ingest.ingest(*args).awaitTermination()
-    assert {(r.arxiv_id, r.title) for r in spark.read.parquet(target).collect()} == {("a", "z"), ("b", "y")}
-    ingest.upserting(spark, "papers", target, [F.col("n")])(rows, 0)
-    assert spark.read.parquet(target).count() == 2
+    store = Store(spark, target)
+    assert {(r.arxiv_id, r.title) for r in store.read("papers", ["n"]).collect()} == {("a", "z"), ("b", "y")}
+    before = store.commits()
+    ingest.adding(store, "papers")(rows, 0)  # the first batch again
+    assert store.commits() == before and store.compact("papers", "once", ["n"]) and not store.compact("papers", "once", ["n"])
+    assert {(r.arxiv_id, r.title) for r in store.read("papers").collect()} == {("a", "z"), ("b", "y")} and store.rows("papers").select("__commit").distinct().count() == 1
 
 
 def test_labelled_tables(spark, tmp_path):
