@@ -64,10 +64,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 5 most similar rows, whatever their cosine, of every 20th technique and paper by the checksum of its id."""
+    """The 5 most similar rows, whatever their cosine, of every 20th technique and paper by the digest of its id."""
     techniques, papers = _vector_tables(spark, sf_dir)
-    every = F.pmod(F.crc32("id"), F.lit(20)) == 0
-    return neighbours.nearest_of_queries(techniques, every, Scratch(spark, "p3")).unionByName(neighbours.nearest_of_queries(papers, every, Scratch(spark, "p3")))
+    every = F.conv(F.substring(F.md5("id"), 1, 4), 16, 10).cast("int") % 20 == 0
+    return neighbours.nearest_of_queries(techniques, every, Scratch(spark, "p3")).unionByName(neighbours.nearest_of_queries(papers, every, Scratch(spark, "p3"))).withColumn("cosine", F.round("cosine", 5))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +122,12 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Measures of repetition of every document."""
+    """Words and exact repeated share of every document."""
+    return repetition.repetition(table(spark, sf_dir, "documents")).select("doc_id", "words", F.round("repeated_share", 6).alias("repeated_share"))
+
+
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All measures of repetition of every document, with the trees' estimate of its share."""
     return repetition.repetition(table(spark, sf_dir, "documents"))
 
 
@@ -144,4 +149,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_shards": p8_shards,
     "p9_found": p9_found,
     "p9_shares": p9_shares,
+    "p9_scores": p9_scores,
 }
