@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from quirework.functions import latex as L
 
-#: Sections of one paper that dependencies are built from in one task, in characters; more are an error of the input.
-MAX_PAPER_CHARS = 50_000_000
+#: Query terms up to this number go to every task; more are joined by term.
+FEW_TERMS = 100_000
 
 
 def carried_header(sections: DataFrame, header: str = "header", out: str = "major_header") -> DataFrame:
@@ -78,22 +78,24 @@ def tokens(text) -> F.Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def bm25(documents: DataFrame, queries: DataFrame, id_col: str, text_col: str, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def bm25(documents: DataFrame, queries: DataFrame, id_col: str, text_col: str, k: int, k1: float = 1.5, b: float = 0.75, few: int = FEW_TERMS) -> DataFrame:
     """(query_id, id, score, rank): the k best documents of each query by BM25; a query's repeated terms count once.
 
     documents are read twice: once for lengths and document counts, once for the
     postings of query terms. queries: (query_id, query), a stated bounded set.
-    Documents of no query term are not listed; ties go to the smaller id.
+    Documents of no query term are not listed; ties go to the smaller id. Terms go
+    to every task up to ``few`` of them, counted.
     """
     docs = documents.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t")).withColumn("n", F.size("t"))
     whole = docs.agg(F.count("*").alias("N"), F.avg("n").alias("mean"))
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    wanted = F.broadcast(terms.select("term").distinct())
+    sent = F.broadcast if terms.limit(few + 1).count() <= few else (lambda rows: rows)
+    wanted = sent(terms.select("term").distinct())
     post = docs.select("id", "n", F.explode("t").alias("term")).join(wanted, "term", "left_semi").groupBy("id", "n", "term").agg(F.count("*").alias("tf"))
     df = post.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.join(F.broadcast(whole)).withColumn("idf", F.ln(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))).select("term", "idf", "mean")
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
-    score = post.join(F.broadcast(terms), "term").join(F.broadcast(idf), "term").groupBy("query_id", "id").agg(F.round(F.sum(weight), 6).alias("score"))
+    score = post.join(sent(terms), "term").join(sent(idf), "term").groupBy("query_id", "id").agg(F.round(F.sum(weight), 6).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return score.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -140,7 +140,7 @@ def x39_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(D.normalised(m, 3), lambda x: F.round(x, 6)).alias("p"))
 
 
-@query()
+@query("select arxiv_id, section_index, statement_index, statement_index <> section_index and statement_index between 0 and 9 and section_index between 0 and 9 as valid from statements")
 def x48_valid_selections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked selections checked for count, range and repeats; answers are made from ids."""
     s = table(spark, sf_dir, "statements").select("arxiv_id", "section_index", "statement_index")

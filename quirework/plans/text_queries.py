@@ -10,6 +10,7 @@ from quirework.functions import text as X
 from quirework.operators import documents as D
 from quirework.operators import metrics as E
 from quirework.plans._collect import Collected
+from quirework.plans.rejected_rows import REVIEW_SQL, typed_sql
 from quirework.session import table
 from quirework.sources import rejects
 
@@ -117,20 +118,28 @@ def x43_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.bm25(table(spark, sf_dir, "documents"), q, "doc_id", "text", 10)
 
 
+_REVIEW = f"({typed_sql(REVIEW_SQL, rejects.REVIEW)})"
+
+
 def _review(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rejects.valid_rows(table(spark, sf_dir, "raw_lines"), "review")
 
 
-@query()
+@query(
+    f"""with e as (select connection_id, arxiv_id, unnest(from_json(evidence, '[{{"block_id":"VARCHAR","quote":"VARCHAR"}}]')) as e from {_REVIEW} where json_valid(evidence) and json_type(evidence) = 'ARRAY'),
+    b as (select arxiv_id, 'abstract' as block_id, min(abstract) as text from papers where abstract is not null group by 1 union all select arxiv_id, 's' || section_index || '_p' || (i - 1), text[i] from (select *, unnest(range(1, len(text) + 1)) as i from {_S})),
+    m as (select arxiv_id, block_id, min(text) as text from b group by all)
+    select connection_id, e.arxiv_id, e.e.block_id as block_id, e.e.quote as quote, coalesce(contains(m.text, e.e.quote), false) as supported from e left join m on m.arxiv_id = e.arxiv_id and m.block_id = e.e.block_id"""
+)
 def j12_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quotes of review records held against their blocks. Parsing the records has no SQL."""
+    """Quotes of review records held against their blocks."""
     kind = "array<struct<block_id: string, quote: string>>"
     ev = _review(spark, sf_dir).select("connection_id", "arxiv_id", F.explode(F.from_json("evidence", kind)).alias("e")).select("connection_id", "arxiv_id", "e.block_id", "e.quote")
     one = table(spark, sf_dir, "papers").groupBy("arxiv_id").agg(F.min("abstract").alias("abstract"))
     return D.supported_quotes(ev, D.blocks(one, _sections(spark, sf_dir)))
 
 
-@query()
+@query(f"select line_id, connection_id from {_REVIEW} where lower(trim(match)) in ('', 'uncertain') or contains(lower(coalesce(review_notes, '')), 'human review needed')")
 def f8_needs_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Review records without a decision."""
     m = F.lower(F.trim("match"))
@@ -138,19 +147,21 @@ def f8_needs_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _review(spark, sf_dir).where(undecided).select("line_id", "connection_id")
 
 
-@query()
+@query(f"select arxiv_id, condition, case when count(distinct match) = 1 then min(match) else 'uncertain' end as decision from {_REVIEW} where match <> '' group by all")
 def a19_collapsed_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One decision per paper and condition: uncertain unless all its records agree."""
     rows = _review(spark, sf_dir).where("match <> ''").groupBy("arxiv_id", "condition").agg(F.collect_set("match").alias("m"))
     return rows.select("arxiv_id", "condition", F.when(F.size("m") == 1, F.col("m")[0]).otherwise("uncertain").alias("decision"))
 
 
-@query()
+@query(
+    f"""select condition, round(avg((match = 'yes')::int), 6) as share, count(*) as n from {_REVIEW} where match in ('yes', 'no') and arxiv_id in (select arxiv_id from {_REVIEW} group by 1 having count(distinct condition) = 3) group by 1"""
+)
 def a13_paired_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of yes among decided records of each condition, over papers that have all three."""
     rows = _review(spark, sf_dir)
     whole = rows.groupBy("arxiv_id").agg(F.countDistinct("condition").alias("n")).where("n = 3")
-    return rows.join(whole, "arxiv_id", "left_semi").where("match in ('yes', 'no')").groupBy("condition").agg(F.avg((F.col("match") == "yes").cast("double")).alias("share"), F.count("*").alias("n"))
+    return rows.join(whole, "arxiv_id", "left_semi").where("match in ('yes', 'no')").groupBy("condition").agg(F.round(F.avg((F.col("match") == "yes").cast("double")), 6).alias("share"), F.count("*").alias("n"))
 
 
 @query(

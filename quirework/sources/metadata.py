@@ -7,6 +7,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,12 +22,16 @@ PAGE = "https://arxiv.org/abs/"
 
 
 def zip_member_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, position, value): the lines of the single member of each ZIP archive, streamed by one task per archive; another number of members is an error."""
+    """(path, position, value): the lines of the single member of each ZIP archive, streamed by one task per archive; another number of members is an error.
+
+    Paths are of any file system that pyarrow opens by their scheme, or mounted everywhere.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                with zipfile.ZipFile(path.removeprefix("file://")) as z:
+                system, name = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+                with system.open_input_file(name) as file, zipfile.ZipFile(file) as z:
                     members = [m for m in z.infolist() if not m.is_dir()]
                     if len(members) != 1:
                         raise ValueError(f"{path}: expected one member, found {len(members)}")
