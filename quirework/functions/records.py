@@ -42,13 +42,25 @@ def valid_selection(answer: Column, count: Column, available: Column) -> Column:
     return F.coalesce(fine, F.lit(False))
 
 
-def appended_note(notes: Column, match: Column) -> Column:
-    """Review notes after a decision: the mark of an open review goes, that of a human decision is added once."""
-    left = F.trim(F.regexp_replace(F.coalesce(notes, F.lit("")), r"(?i)\bhuman review needed\b[.;]?", ""))
-    done = F.when(F.contains(left, F.lit("Human reviewed.")), left).otherwise(F.trim(F.concat_ws(" ", F.when(left != "", left), F.lit("Human reviewed."))))
-    return F.when(F.lower(F.trim(match)).isin("", "uncertain"), notes).otherwise(done)
+#: Fixed value: the mark of a review that is still open.
+OPEN_REVIEW = "human review needed"
 
 
-def listed(names: list[str]) -> Column:
-    """'name: value' of each non-blank column, one below the other."""
-    return F.array_join(F.filter(F.array(*(F.when(F.trim(F.col(n)) != "", F.concat(F.lit(n + ": "), F.col(n))) for n in names)), lambda x: x.isNotNull()), "\n")
+def decided_notes(notes: Column, match: Column) -> Column:
+    """Review notes after a decision: the open mark goes; an uncertain decision gets it back before the reason, any other keeps the reason or says it was reviewed."""
+    reason = F.trim(F.regexp_replace(F.coalesce(notes, F.lit("")), rf"(?i){OPEN_REVIEW}\s*:?\s*", ""), F.lit(" \t\n\r"))
+    unsure = F.concat(F.lit(OPEN_REVIEW), F.when(reason != "", F.concat(F.lit(": "), reason)).otherwise(""))
+    return F.when(match == "uncertain", unsure).when(reason != "", reason).otherwise("Human reviewed.")
+
+
+def stated(names: list[str]) -> Column:
+    """Each column's name in words and its value, or that it is not stated, with blank lines between."""
+    parts = [F.concat(F.lit(n.replace("_", " ").title() + "\n"), F.when(F.coalesce(F.col(n), F.lit("")) != "", F.col(n)).otherwise("(not stated)")) for n in names]
+    return F.concat_ws("\n\n", *parts)
+
+
+def evidence_text(evidence: Column) -> Column:
+    """Block and quote of each piece of evidence, with blank lines between; what is no such list stays as it is."""
+    items = F.from_json(evidence, "array<struct<block_id: string, quote: string>>")
+    whole = items.isNotNull() & F.forall(items, lambda e: e.isNotNull() & e["block_id"].isNotNull() & e["quote"].isNotNull())
+    return F.when(whole, F.array_join(F.transform(items, lambda e: F.concat(F.lit("["), e["block_id"], F.lit("]\n"), e["quote"])), "\n\n")).otherwise(evidence)

@@ -174,3 +174,30 @@ def passage_ids(techniques: DataFrame, order: list[Column]) -> DataFrame:
     w = Window.partitionBy("arxiv_id").orderBy(*order)
     rows = techniques.withColumn("technique_index", F.row_number().over(w) - 1)
     return rows.withColumn("technique_id", F.concat_ws("::", "arxiv_id", F.lit("technique"), F.col("technique_index").cast("string")))
+
+
+# Keys and sections of delimited rows.
+
+
+def typed_keys(rows: DataFrame, line: str = "line") -> DataFrame:
+    """(arxiv_id, section_index, paragraph_index, ...) with whole numbers as the last two parts of the key; at run time a part that is none is an error that names the line."""
+    number = lambda c: F.when(F.col(c).rlike(r"\A[0-9]+\z"), F.col(c).try_cast("int"))
+    fine = (F.trim(F.coalesce("arxiv_id", F.lit(""))) != "") & number("section_index").isNotNull() & number("paragraph_index").isNotNull()
+    good = F.when(F.coalesce(fine, F.lit(False)), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("no key in line "), F.col(line).cast("string"))).cast("boolean"))
+    kept = [c for c in rows.columns if c not in ("arxiv_id", "section_index", "paragraph_index")]
+    return rows.where(good).select("arxiv_id", number("section_index").alias("section_index"), number("paragraph_index").alias("paragraph_index"), *kept)
+
+
+def one_header(rows: DataFrame, header: str = "section_header") -> DataFrame:
+    """The rows of sections; at run time a section whose rows do not agree on the header is an error."""
+    w = Window.partitionBy("arxiv_id", "section_index")
+    h = F.coalesce(header, F.lit(""))
+    marked = rows.withColumn("__low", F.min(h).over(w)).withColumn("__high", F.max(h).over(w))
+    fine = F.when(F.col("__low") == F.col("__high"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("two headers of a section of "), "arxiv_id")).cast("boolean"))
+    return marked.where(fine).drop("__low", "__high")
+
+
+def labelled_in_order(rows: DataFrame, answers: DataFrame, position: str = "line_id") -> DataFrame:
+    """The rows with the answers of their key, in the order that they came in. answers: (arxiv_id, section_index, paragraph_index, answer), each key once."""
+    keys = ["arxiv_id", "section_index", "paragraph_index"]
+    return one_header(rows).join(answers, keys, "left").orderBy(position)

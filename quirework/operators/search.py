@@ -133,6 +133,17 @@ def find_similar(queries: DataFrame, passages: DataFrame, titles: DataFrame, k:
     return out.join(named, "target_id", "left").select("query_id", "rank", "target_id", "target_title", "query_passage_id", "target_passage_id", "similarity")
 
 
+#: Papers that one request may ask for.
+MOST_RESULTS = 100
+
+
+def query_paper(arxiv_id: str, passages: DataFrame, titles: DataFrame, k: int, scorer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``find_similar`` for one paper, as a service asks; k is 1 to MOST_RESULTS. A paper without passages has no rows."""
+    if not 1 <= k <= MOST_RESULTS:
+        raise ValueError(f"k lies between 1 and {MOST_RESULTS}")
+    return find_similar(passages.where(F.col("arxiv_id") == arxiv_id), passages, titles, k, scorer)
+
+
 def _block_pairs(threshold: float):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         side, ids, v = rows.column("side").to_numpy(), rows.column("passage_id").to_pylist(), _units(rows.column("v"))

@@ -52,6 +52,23 @@ def search_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.find_similar(query_papers(p), p, table(spark, sf_dir, "papers"), 5)
 
 
+_ONE_PAPER = _NEAR.replace(_PICK, "arxiv_id = (select max(arxiv_id) from techniques where embedding is not null and len(embedding) = 64)")
+
+
+@query(
+    _ONE_PAPER
+    + """, papers_found as (select query_id, target_id, max(similarity) best, min((position, query_passage_id, target_passage_id)) first from other group by all),
+  ranks as (select *, row_number() over (partition by query_id order by best desc, first) as rank from papers_found qualify row_number() over (partition by query_id order by best desc, first) <= 5)
+  select o.query_id, r.rank::int as rank, o.target_id, m.target_title, query_passage_id, target_passage_id, similarity from other o join ranks r using (query_id, target_id)
+  left join (select arxiv_id, min(title) target_title from papers group by 1) m on m.arxiv_id = o.target_id"""
+)
+def g12_query_paper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The request of a service for one paper, here that of the greatest id, against all rows."""
+    p = _passages(spark, sf_dir)
+    asked = p.where("embedding is not null and size(embedding) = 64").agg(F.max("arxiv_id")).head()[0]
+    return S.query_paper(asked, p, table(spark, sf_dir, "papers"), 5)
+
+
 @query(
     _NEAR
     + """, scored as (select *, round(coalesce(t_score, 0) - similarity, 6) as score from other),

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quirework.functions import records as C
 from quirework.functions import sentence_rules as S
 from quirework.functions import text as X
+from quirework.operators import answers as A2
 from quirework.operators import documents as D
+from quirework.operators import experiment as X2
 from quirework.operators import metrics as E
 from quirework.plans._collect import Collected
-from quirework.plans.rejected_rows import REVIEW_SQL, typed_sql
+from quirework.plans.rejected_rows import LABELS_SQL, REVIEW_SQL, typed_sql
 from quirework.session import table
 from quirework.sources import rejects
 
@@ -69,8 +72,8 @@ def x19_split_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def x30_paragraph_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title, enrichment and exclusion evidence of every paragraph; its patterns look around, which the SQL engine cannot."""
-    p = table(spark, sf_dir, "paragraphs").select("arxiv_id", "section_index", "paragraph_index", "section_header", "text").distinct()
-    return S.paragraph_features(p, "section_header", "text").drop("section_header", "text")
+    p = table(spark, sf_dir, "paragraphs").select("arxiv_id", "section_index", "paragraph_index", "section_header", "text")
+    return S.paragraph_features(p, "section_header", "text").drop("section_header", "text").distinct()
 
 
 @query("select arxiv_id, section_index, paragraph_index, 'Section: ' || coalesce(section_header, '') || ' Text: ' || coalesce(text, '') as input from (select distinct arxiv_id, section_index, paragraph_index, section_header, text from paragraphs)")
@@ -139,6 +142,37 @@ def j12_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.supported_quotes(ev, D.blocks(one, _sections(spark, sf_dir)))
 
 
+_NAMES = ["reference_source", "reference_target", "relation"]
+
+
+@query(
+    f"""with r as (select *, trim(regexp_replace(coalesce(review_notes, ''), '(?i){C.OPEN_REVIEW}\\s*:?\\s*', '', 'g'), ' ' || chr(9) || chr(10) || chr(13)) as reason, case when json_valid(evidence) and json_type(evidence) = 'ARRAY' then from_json(evidence, '[{{"block_id":"VARCHAR","quote":"VARCHAR"}}]') end as e from {_REVIEW})
+    select line_id, case when match = 'uncertain' then '{C.OPEN_REVIEW}' || case when reason <> '' then ': ' || reason else '' end when reason <> '' then reason else 'Human reviewed.' end as notes,
+    {" || chr(10) || chr(10) || ".join(f"'{n.replace('_', ' ').title()}' || chr(10) || case when coalesce({n}, '') <> '' then {n} else '(not stated)' end" for n in _NAMES)} as stated,
+    case when e is not null and len(list_filter(e, lambda x: x is null or x.block_id is null or x.quote is null)) = 0 then array_to_string(list_transform(e, lambda x: '[' || x.block_id || ']' || chr(10) || x.quote), chr(10) || chr(10)) else evidence end as evidence from r"""
+)
+def x34_review_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes after a decision, stated fields and evidence of review records, as a reviewer reads them."""
+    r = _review(spark, sf_dir)
+    return r.select("line_id", C.decided_notes(F.col("review_notes"), F.col("match")).alias("notes"), C.stated(_NAMES).alias("stated"), C.evidence_text(F.col("evidence")).alias("evidence"))
+
+
+@query(
+    f"""with l as ({typed_sql(LABELS_SQL, rejects.LABELS)} qualify count(*) over (partition by arxiv_id, section_index, paragraph_index) = 1),
+    h as (select * from l qualify min(section_header) over (partition by arxiv_id, section_index) = max(section_header) over (partition by arxiv_id, section_index))
+    select line_id, arxiv_id, section_index, paragraph_index, substr(md5(paragraph), 1, 8) as answer from h"""
+)
+def g19_labelled_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of a model put back beside the rows they were asked for, whose sections agree on their header."""
+    rows = X2.typed_keys(rejects.valid_rows(table(spark, sf_dir, "raw_lines"), "labels").withColumn("section_index", F.col("section_index").cast("string")).withColumn("paragraph_index", F.col("paragraph_index").cast("string")), "line_id")
+    keys = ["arxiv_id", "section_index", "paragraph_index"]
+    once = rows.join(rows.groupBy(keys).agg(F.count("*").alias("n")).where("n = 1").select(keys), keys, "left_semi")
+    agreed = once.groupBy("arxiv_id", "section_index").agg(F.min("section_header").alias("a"), F.max("section_header").alias("b")).where("a = b").select("arxiv_id", "section_index")
+    rows = once.join(agreed, ["arxiv_id", "section_index"], "left_semi")
+    told = A2.answered(rows.select(*keys, "paragraph"), "paragraph", A2.digest_answers()).select(*keys, "answer")
+    return X2.labelled_in_order(rows, told).select("line_id", *keys, "answer")
+
+
 @query(f"select line_id, connection_id from {_REVIEW} where lower(trim(match)) in ('', 'uncertain') or contains(lower(coalesce(review_notes, '')), 'human review needed')")
 def f8_needs_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Review records without a decision."""
