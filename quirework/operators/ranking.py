@@ -49,12 +49,17 @@ def differences(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
     return a.exceptAll(b).withColumn("side", F.lit("missing")).unionByName(b.exceptAll(a).withColumn("side", F.lit("unexpected")))
 
 
+def _draw(seed: int, *keys: str) -> Column:
+    """The digest of a seed and keys: what every engine draws alike."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys)))
+
+
 def seeded_order(seed: int, *keys: str) -> Column:
     """A pseudo-random order that depends on the seed and the keys alone."""
-    return F.xxhash64(F.lit(seed), *keys)
+    return _draw(seed, *keys)
 
 
 def weighted_order(seed: int, weight: Column, *keys: str) -> Column:
     """Ascending order of a weighted sample without replacement: -ln(u) / weight; a weight of zero comes last."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    u = (F.conv(F.substring(_draw(seed, *keys), 1, 10), 16, 10).cast("double") + 0.5) / float(1 << 40)
     return F.when(weight > 0, -F.ln(u) / weight).otherwise(F.lit(float("inf")))

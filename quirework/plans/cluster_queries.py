@@ -64,12 +64,15 @@ def a1_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.approximate_centroids(rows, xy, 1 << 30, 7).select("cluster_id", "n", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
-@query()
+@query(
+    f"""select cluster_id, count(*) as n, round(avg(x), 6) as x, round(avg(y), 6) as y from (select c.*, x, y from (select distinct cluster_id, arxiv_id from clusters) c join {_XY} using (arxiv_id)
+    qualify row_number() over (partition by cluster_id order by md5('7|' || cluster_id || '|' || arxiv_id), arxiv_id) <= 5) group by 1"""
+)
 def a1_sampled_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same from 5 seeded members of each cluster: the feature is the sample, whose draws SQL does not share."""
+    """The same from 5 seeded members of each cluster: the feature is the sample."""
     xy = table(spark, sf_dir, "papers").where("area_embedding is not null").groupBy("arxiv_id").agg(F.min(F.col("area_embedding")[0]).cast("double").alias("x"), F.min(F.col("area_embedding")[1]).cast("double").alias("y"))
     rows = table(spark, sf_dir, "clusters").join(xy.select("arxiv_id"), "arxiv_id", "left_semi")
-    return C.approximate_centroids(rows, xy, 5, 7)
+    return C.approximate_centroids(rows, xy, 5, 7).select("cluster_id", "n", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
 @query(

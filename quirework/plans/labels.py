@@ -72,9 +72,23 @@ def w4_top_of_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.top_of_papers(samples(spark, sf_dir), 2).select(*S.KEY, "passage_id")
 
 
-@query()
+def _drawn(seed: int) -> str:
+    return f"md5('{seed}|' || arxiv_id || '|' || section_id || '|' || paragraph_id)"
+
+
+def _left(*taken: str) -> str:
+    return "select * from samples s where " + " and ".join(f"not exists (select 1 from {t} x where x.arxiv_id = s.arxiv_id and x.section_id = s.section_id and x.paragraph_id = s.paragraph_id)" for t in taken)
+
+
+@query(
+    f"""with {_SAMPLES}, a as (select *, 'entropy' as strategy from samples order by {_ENTROPY} desc, {_KEY} limit 10), b as (select *, 'disagreement' as strategy from ({_left('a')}) order by {_EMD} desc, {_KEY} limit 10),
+    c as (select *, 'top_random' as strategy from (select * from ({_left('a', 'b')}) qualify row_number() over (partition by arxiv_id order by {_EXPECT} desc, {_KEY}) <= 2) order by {_drawn(7)}, {_KEY} limit 10),
+    d as (select *, 'random' as strategy from ({_left('a', 'b', 'c')}) order by {_drawn(8)}, {_KEY} limit 10),
+    e as (select *, 'weighted' as strategy from ({_left('a', 'b', 'c', 'd')}) order by case when length(text) % 3 > 0 then -ln((('0x' || substr({_drawn(9)}, 1, 10))::bigint + 0.5) / 1099511627776.0) / (length(text) % 3) else 'infinity'::double end, {_drawn(9)}, {_KEY} limit 10)
+    select {_KEY}, passage_id, strategy from (select * from a union all select * from b union all select * from c union all select * from d union all select * from e)"""
+)
 def e3_strategy_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples by all strategies in turn, none twice; random strategies are deterministic but have no SQL."""
+    """Samples by all strategies in turn, none twice."""
     rows = samples(spark, sf_dir).withColumn("w", F.length("text") % 3)
     return S.select_samples(rows, 10, 10, 10, 2, 10, 10, 7, "w").select(*S.KEY, "passage_id", "strategy")
 

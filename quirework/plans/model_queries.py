@@ -28,7 +28,7 @@ def u8_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.coordinates(p)
 
 
-@query()
+@query(f"select passage_id, list_transform(range(0, 5), lambda place: ('0x' || substr(sha256(coalesce(passage, '')), (2 * place + 1)::int, 2))::int / 64.0) as logits from techniques")
 def u3_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outputs of a deterministic stand-in classifier for every passage."""
     return M.scored(table(spark, sf_dir, "techniques").select("passage_id", "passage"), "passage", M.stand_in_scorer()).drop("passage")
@@ -73,7 +73,10 @@ def x35_pair_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("passage_id", F.size(a).cast("long").alias("left_tokens"), F.size(b).cast("long").alias("right_tokens"))
 
 
-@query()
+_U = "((('0x' || substr(md5('5|' || passage_id), 1, 10))::bigint + 0.5) / 1099511627776.0)"
+
+
+@query(f"select passage_id, coalesce(score, 0.0) as w from techniques order by case when coalesce(score, 0.0) > 0 then -ln({_U}) / score else 'infinity'::double end, passage_id limit 200")
 def u13_weighted_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A seeded weighted sample of passages without replacement: the sample is the feature."""
     t = table(spark, sf_dir, "techniques").select("passage_id", F.coalesce("score", F.lit(0.0)).alias("w"))
