@@ -69,9 +69,34 @@ def x19_split_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sections(spark, sf_dir).where("raw_latex is not null").select("arxiv_id", "section_index", F.size(parts).cast("long").alias("n"), F.md5(F.array_join(parts, "\x1f")).alias("digest"))
 
 
-@query()
+def _literal(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _met(pattern: str) -> str:
+    """Whether sentence s holds a pattern; a look-ahead at the start, which the SQL engine lacks, is held against each match."""
+    ahead = r"\b(?!(?:We|This|It)\b)"
+    if pattern.startswith(ahead):
+        return f"len(list_filter(regexp_extract_all(s, {_literal(chr(92) + 'b' + pattern[len(ahead):])}), lambda m: not regexp_matches(m, '^(?:We|This|It)\\b'))) > 0"
+    return f"regexp_matches(s, {_literal(pattern)})"
+
+
+def _rules_sql() -> str:
+    bad = ", ".join("case when " + " and ".join(_met(p) if wanted else f"not {_met(p)}" for p, wanted in rule) + f" then '{name}' end" for name, rule in S.NEGATIVE.items())
+    good = ", ".join(f"case when {_met(p)} then {i} end" for i, p in enumerate(S.POSITIVE))
+    return f"list_filter([{bad}], lambda x: x is not null) as bad, list_filter([{good}], lambda x: x is not null) as good"
+
+
+@query(
+    f"""with p as (select distinct arxiv_id, section_index, paragraph_index, section_header, text from paragraphs),
+    c as (select *, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?]["''”’]?)\\s+([A-Z0-9])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '') as parts from p),
+    e as (select arxiv_id, section_index, paragraph_index, section_header, text, unnest(parts) as s from c), r as (select *, {_rules_sql()} from e),
+    t as (select arxiv_id, section_index, paragraph_index, section_header, text, list_distinct(flatten(list(good) filter (where len(bad) = 0))) as good, list_distinct(flatten(list(bad))) as bad from r group by all)
+    select distinct p.arxiv_id, p.section_index, p.paragraph_index, coalesce(regexp_matches(p.section_header, {_literal(S.TITLE)}), false)::int as important_title, coalesce(len(t.good), 0)::int as enrichment_hits, coalesce(len(t.bad), 0)::int as negative_hits
+    from p left join t on p.arxiv_id is not distinct from t.arxiv_id and p.section_index is not distinct from t.section_index and p.paragraph_index is not distinct from t.paragraph_index and p.section_header is not distinct from t.section_header and p.text is not distinct from t.text"""
+)
 def x30_paragraph_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Title, enrichment and exclusion evidence of every paragraph; its patterns look around, which the SQL engine cannot."""
+    """Title, enrichment and exclusion evidence of every paragraph."""
     p = table(spark, sf_dir, "paragraphs").select("arxiv_id", "section_index", "paragraph_index", "section_header", "text")
     return S.paragraph_features(p, "section_header", "text").drop("section_header", "text").distinct()
 

@@ -238,6 +238,28 @@ def test_sentence_rules(spark):
     assert got == [(1, 1, 2), (0, 1, 1), (0, 0, 0), (0, 0, 0)]
 
 
+EVIDENCE = ["We prove a bound.", "Our main results are sharp.", "We develop a tool.", "The argument is short.", "Our proof relies on it.", "It is defined as a sum.", "This illustrates the case.", "It follows via a lemma."]
+EXCLUDED = {
+    "historical_context": "Previous bounds were weak.", "passive_attribution": "This was shown by others.", "attributed_result": "Smith and Jones [4] proved a bound.", "cited_work": "[12] proves a bound.", "anaphoric_result": "The main result is that they agree.",
+    "prior_citation": "The construction in [3] is used.", "hypothetical_improvement": "An improvement might exist.", "non_current_improvement": "Such improvements exist.", "section_pointer": "See Section 4.", "statement_lead_in": "The theorem below is new.",
+    "future_overview": "We will next give an overview.", "notation_setup": "We use x to denote a point.", "citation_led_organization": "In [4], we define a map.", "document_organization": "Section 3 contains all.",
+}
+PLAIN_SENTENCES = ["It is so.", "Nothing of note.", "These are sets."]
+
+
+def test_each_sentence_rule_has_its_sentence(spark):
+    rows = [(f"g{i}", t) for i, t in enumerate(EVIDENCE)] + list(EXCLUDED.items()) + [("none", t) for t in PLAIN_SENTENCES]
+    got = spark.createDataFrame(rows, "name string, t string").select("name", S.evidence(F.col("t")).alias("good"), S.exclusions(F.col("t")).alias("bad")).collect()
+    for r in got:
+        if r.name == "none":
+            assert r.good == [] and r.bad == []
+        elif r.name in EXCLUDED:
+            assert r.name in r.bad, r
+        else:
+            assert int(r.name[1:]) in r.good, r
+    assert set(EXCLUDED) == set(S.NEGATIVE) and len(EVIDENCE) == len(S.POSITIVE)
+
+
 def test_keyword_search_and_evidence(spark):
     docs = spark.createDataFrame([(1, "graph graph paper"), (2, "paper"), (3, None), (4, "graph")], "id long, t string")
     q = spark.createDataFrame([("q", "graph graph")], "query_id string, query string")
