@@ -97,9 +97,17 @@ def swap(spark: SparkSession, staged: str, path: str) -> None:
 
 
 def write_manifest(spark: SparkSession, path: str, manifest: dict) -> None:
-    """One JSON object, replaced at once."""
-    spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path + ".staged")
-    swap(spark, path + ".staged", path)
+    """One JSON object in one file, put in the old one's place by a single rename."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    staged, target = jvm.org.apache.hadoop.fs.Path(path + ".staged"), jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(conf)
+    out = fs.create(staged, True)
+    out.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
+    out.close()
+    kind = jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(kind, 1)
+    how[0] = kind.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(staged), fs.makeQualified(target), how)
 
 
 def read_manifest(spark: SparkSession, path: str) -> dict:

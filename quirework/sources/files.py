@@ -6,7 +6,7 @@ import gzip
 import io
 import tarfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -92,7 +92,7 @@ def tex_files(raw: bytes, name: str, depth: int = 3) -> Iterator[tuple[str, str]
 PAPER_SECTIONS = "arxiv_id string, section_index int, section_header string, major_section_header string, text array<string>, raw_latex string, problem string"
 
 
-def _parsed(include_proofs: bool):
+def _parsed(include_proofs: bool, chunker: Callable[[str], list[str]] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
@@ -104,7 +104,9 @@ def _parsed(include_proofs: bool):
                     for i, (kind, title, text) in enumerate(L.sections(L.expanded(main, sources)) if main else []):
                         head = L.tidy(L.prose(title))
                         major = head if kind in L.MAJOR_KINDS else major
-                        out.append((name, i, head, major, L.paragraphs(text if include_proofs else L.without_proofs(text)), text, None))
+                        parts = L.paragraphs(text if include_proofs else L.without_proofs(text))
+                        parts = [c for p in parts for c in chunker(p) if c.strip()] if chunker else parts
+                        out.append((name, i, head, major, parts, text, None))
                     if not main:
                         out.append((name, None, None, None, None, None, "no TeX source"))
                 except (OSError, EOFError, zipfile.BadZipFile, tarfile.TarError, RuntimeError) as e:
@@ -115,14 +117,16 @@ def _parsed(include_proofs: bool):
     return run
 
 
-def sections_of_archives(archives: DataFrame, include_proofs: bool = False) -> DataFrame:
+def sections_of_archives(archives: DataFrame, include_proofs: bool = False, chunker: Callable[[str], list[str]] | None = None) -> DataFrame:
     """Sections of source archives. archives: (arxiv_id, content binary), as spark.read.format('binaryFile') gives it.
 
+    chunker: what cuts a paragraph further; blank pieces go.
+
     An archive that cannot be read or holds no TeX gives one row with ``problem``
     instead of failing the job. Headers of subsections carry the last part,
     chapter or section header as their major header.
     """
-    return archives.select("arxiv_id", "content").mapInArrow(_parsed(include_proofs), PAPER_SECTIONS)
+    return archives.select("arxiv_id", "content").mapInArrow(_parsed(include_proofs, chunker), PAPER_SECTIONS)
 
 
 def still_to_fetch(wanted: DataFrame, stored: DataFrame, key: str = "arxiv_id") -> DataFrame:

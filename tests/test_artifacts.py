@@ -5,11 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirework.functions import distributions as D
-from quirework.operators import answers, experiment, workflow
+from quirework.operators import answers, experiment, storage, workflow
 from quirework.operators.deltas import Store, retried
 from quirework.scratch import Scratch
 from quirework.sources import artifacts as A
-from quirework.sources import atom
+from quirework.sources import atom, files
 
 PAPERS = "arxiv_id string, title string, abstract string, embedding_dim int, area_embedding array<float>"
 
@@ -214,3 +214,18 @@ def test_commands_end_to_end(spark, tmp_path):
     for options in ({"pooling": "sum"}, {"batch_size": 0}, {"merge_threshold": 2.0}, {"min_samples": 0}):
         with pytest.raises(ValueError):
             workflow.check_options(**options)
+
+
+def test_chunker_cuts_paragraphs(spark):
+    tex = b"\\documentclass{article}\\begin{document}\\section{A}One part. Another part.\\end{document}"
+    rows = spark.createDataFrame([("p", bytearray(tex))], "arxiv_id string, content binary")
+    got = files.sections_of_archives(rows, chunker=lambda p: p.split(". ")).collect()
+    assert [r.text for r in got] == [["One part", "Another part"]]
+
+
+def test_manifests_are_replaced_by_one_rename(spark, tmp_path):
+    path = str(tmp_path / "m" / "manifest")
+    for n in range(3):
+        storage.write_manifest(spark, path, {"n": n})
+        assert storage.read_manifest(spark, path) == {"n": n}
+    assert [p.name for p in (tmp_path / "m").iterdir() if not p.name.startswith(".")] == ["manifest"]
