@@ -26,9 +26,11 @@ from quirework.scratch import Scratch
 #: Rotations, and tokens that each adds to a vector's set.
 ROTATIONS = 32
 LARGEST = 4
-#: MinHash values of a band, and bands: at a cosine of 0.8 a pair shares a band with 0.995.
-ROWS_PER_BAND = 2
-BANDS = 68
+#: Exact Jaccard similarity of a pair at a cosine of 0.8, on average, and the chance that it shares no band.
+JACCARD_AT_LEAST = 0.277
+MISS = 0.005
+#: MinHash values of a band up to so many rows; a further value makes buckets of unrelated rows some 25 times smaller, at four times the bands.
+BAND_ROWS = [(2, 4_000_000), (3, 100_000_000), (4, None)]
 #: Least exact Jaccard similarity of two token sets. At a cosine of 0.8 it is 0.28 on average with a deviation of 0.03; at 0.5, 0.10.
 LEAST_JACCARD = 0.13
 #: Sign bits, of twice 64 planes at right angles, in which two vectors may differ: at a cosine of 0.8 about 26 on average, with a deviation of 4, at 0.5 about 43.
@@ -115,25 +117,35 @@ def _of_one_length(batch: pa.RecordBatch, dims: str) -> Iterator[tuple[pa.Record
         yield (batch if (dim == one).all() else batch.filter(pa.array(dim == one))), one
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def banding(n: int) -> tuple[int, int]:
+    """(MinHash values of a band, bands) for n rows: a pair at a cosine of 0.8 shares a band with 1 - MISS at every size."""
+    rows = next(r for r, most in BAND_ROWS if most is None or n <= most)
+    return rows, int(np.ceil(np.log(MISS) / np.log(1 - JACCARD_AT_LEAST**rows)))
+
+
+def _sketch(rows_per_band: int, bands: int) -> Callable:
     """Band rows of each direction, once per partition."""
-    seen: set[int] = set()
-    for batch in batches:
-        for rows, dim in _of_one_length(batch, "dim"):
-            keys, first = np.unique(rows.column("key").to_numpy(), return_index=True)
-            fresh = np.array([k not in seen for k in keys.tolist()], bool)
-            seen.update(keys.tolist())
-            if len(seen) > 1_000_000:
-                seen.clear()
-            rows = rows.take(pa.array(first[fresh]))
-            if not rows.num_rows:
-                continue
-            values = _min_hashes(_sets(rows.column("tokens"), dim), BANDS * ROWS_PER_BAND).reshape(rows.num_rows, BANDS, ROWS_PER_BAND)
-            h = mix(np.arange(BANDS, dtype=np.uint64)[None, :] + np.uint64(dim << 16))
-            for r in range(ROWS_PER_BAND):
-                h = mix(h ^ values[:, :, r])
-            more = [pa.array(np.tile(rows.column(c).to_numpy(), BANDS)) for c in ("key", "bits", "more")]
-            yield pa.RecordBatch.from_arrays([pa.array(h.T.ravel().view(np.int64)), *more], names=["h", "key", "bits", "more"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for rows, dim in _of_one_length(batch, "dim"):
+                keys, first = np.unique(rows.column("key").to_numpy(), return_index=True)
+                fresh = np.array([k not in seen for k in keys.tolist()], bool)
+                seen.update(keys.tolist())
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                rows = rows.take(pa.array(first[fresh]))
+                if not rows.num_rows:
+                    continue
+                values = _min_hashes(_sets(rows.column("tokens"), dim), bands * rows_per_band).reshape(rows.num_rows, bands, rows_per_band)
+                h = mix(np.arange(bands, dtype=np.uint64)[None, :] + np.uint64(dim << 16))
+                for r in range(rows_per_band):
+                    h = mix(h ^ values[:, :, r])
+                more = [pa.array(np.tile(rows.column(c).to_numpy(), bands)) for c in ("key", "bits", "more")]
+                yield pa.RecordBatch.from_arrays([pa.array(h.T.ravel().view(np.int64)), *more], names=["h", "key", "bits", "more"])
+
+    return run
 
 
 def _verify(least: float, least_jaccard: float):
@@ -181,7 +193,7 @@ def linked(
     """
     rows = scratch.table(_space_rows(df, id_col, vector_col, "").mapInArrow(_tokenised, SETS), "rows")
     ids = rows.groupBy("id").agg(F.min("key").alias("key"))
-    sketches = rows.select("key", "bits", "more", "dim", "tokens").mapInArrow(_sketch, "h long, key long, bits long, more long")
+    sketches = rows.select("key", "bits", "more", "dim", "tokens").mapInArrow(_sketch(*banding(rows.count())), "h long, key long, bits long, more long")
     packed = rows.groupBy("key").agg(F.min(F.struct("dim", "tokens", "half")).alias("x")).select("key", "x.*")
     whole = rows.groupBy("key").agg(F.min("v").alias("v"))
 

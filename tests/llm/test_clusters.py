@@ -103,3 +103,24 @@ def test_parts_are_the_same_in_one_task_and_in_rounds(spark):
     y = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32).astype(float)
     for id_, _, cluster, degree in whole:
         assert degree == (y[groups[cluster]] @ y[int(id_)] >= 0.8).sum() - 1
+
+
+def test_banding_keeps_its_chance_at_every_size():
+    shapes = [C.banding(n) for n in (10, 10**6, 10**7, 10**9)]
+    assert [r for r, _ in shapes] == [2, 2, 3, 4] and all((1 - C.JACCARD_AT_LEAST**r) ** b <= C.MISS for r, b in shapes)
+
+
+def test_tokens_and_jaccard_of_vectors_of_few_axes():
+    """Fewer axes than tokens of a rotation give repeated tokens, which count once."""
+    x = np.array([[1.0, 0.0], [1.0, 0.0], [-1.0, 0.0]], np.float32)
+    tokens, bits = C._Tokeniser()(x)
+    assert C.jaccard(tokens[:1], tokens[1:2])[0] == 1 and C.jaccard(tokens[:1], tokens[2:])[0] == 0 and (bits[0] == bits[1]).all()
+
+
+def test_half_precision_decides_no_pair_near_the_threshold():
+    """Cosines of half precision differ by less than the margin in which the vectors themselves decide."""
+    rng = np.random.default_rng(5)
+    for dim in (2, 64, 700):
+        x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (rng.standard_normal((500, dim)), rng.standard_normal((500, dim))))
+        half = np.einsum("ij,ij->i", x.astype(np.float16).astype(np.float32), y.astype(np.float16).astype(np.float32))
+        assert np.abs(half - np.einsum("ij,ij->i", x, y)).max() < C.ROUGH
