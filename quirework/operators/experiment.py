@@ -87,6 +87,16 @@ def without_top_level(statements: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.where(~(F.coalesce(theorem, F.lit(False)) & F.col("__label").isNotNull() & F.col("__used").isNull())).drop("__label", "__used")
 
 
+def review_candidates(records: DataFrame, references: DataFrame) -> DataFrame:
+    """Every connection of every answer that came back well, beside its paper's reference, with an empty decision.
+
+    records: (arxiv_id, condition, status, connections array of structs);
+    references: (arxiv_id, ...), each paper once. A paper without a reference has no rows.
+    """
+    rows = records.where("status = 'ok'").select("arxiv_id", "condition", F.explode("connections").alias("c")).select("arxiv_id", "condition", "c.*")
+    return rows.join(references, "arxiv_id").withColumn("match", F.lit("")).withColumn("review_notes", F.lit(""))
+
+
 def kept_decisions(candidates: DataFrame, previous: DataFrame, columns: list[str], key: str = "connection_id") -> DataFrame:
     """Candidates with the earlier review's columns of their key, empty for new ones; earlier rows without a candidate go. previous holds each key once."""
     old = previous.select(key, *(F.col(c).alias(f"__{c}") for c in columns))

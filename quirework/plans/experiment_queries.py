@@ -108,6 +108,20 @@ def f9_without_top_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Review and decisions.
 
 
+@query(
+    f"""with r as (select distinct connection_id, arxiv_id, condition, predicted_source, predicted_target from {_REVIEW}), f as (select arxiv_id, max(reference_source) as reference_source, max(reference_target) as reference_target from {_REVIEW} group by 1 having max(reference_source) <> '')
+    select arxiv_id, condition, connection_id, predicted_source, predicted_target, reference_source, reference_target, '' as match, '' as review_notes from r join f using (arxiv_id) where not (condition = 'whole_paper' and ascii(right(arxiv_id, 1)) % 2 = 0)"""
+)
+def j8_review_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connections of the answers that came back well beside their paper's reference; here some answers to whole papers failed."""
+    rows = _review(spark, sf_dir)
+    one = rows.select("arxiv_id", "condition", F.struct("connection_id", "predicted_source", "predicted_target").alias("c")).distinct()
+    failed = (F.col("condition") == "whole_paper") & (F.ascii(F.right("arxiv_id", F.lit(1))) % 2 == 0)
+    records = one.groupBy("arxiv_id", "condition").agg(F.collect_list("c").alias("connections")).withColumn("status", F.when(failed, "failed").otherwise("ok"))
+    references = rows.groupBy("arxiv_id").agg(F.max("reference_source").alias("reference_source"), F.max("reference_target").alias("reference_target")).where("reference_source <> ''")
+    return X.review_candidates(records, references)
+
+
 @query(
     f"""with c as (select distinct connection_id, arxiv_id, condition from {_REVIEW}), o as (select connection_id, min(match) as match, min(review_notes) as review_notes from {_REVIEW} where match <> '' group by 1)
     select c.connection_id, c.arxiv_id, c.condition, coalesce(o.match, '') as match, coalesce(o.review_notes, '') as review_notes from c left join o using (connection_id)"""
