@@ -365,8 +365,9 @@ def near_duplicates(
     so rows that are exact copies share it and are compared once. groups: (key,
     comp) of the keys linked to another; links: (a, b, similarity, alignment) of
     keys whose distinct words overlap by at least ``threshold``. complete: links
-    hold every candidate pair; otherwise those that components need, and a
-    similarity may be the lower bound that the alignment proves. exact: candidates
+    hold every candidate pair, in number up to the square of a group; otherwise
+    those that components need, and a similarity may be the lower bound that the
+    alignment proves. exact: candidates
     come from shared words of which no pair at the threshold has none, instead of
     from sketches; slower, and certain.
 

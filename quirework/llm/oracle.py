@@ -38,11 +38,10 @@ s as (select passage_id, {WORDS.format(c='passage')} as w from t), k as (select
 w as (select key, unnest(w) as word from d), n as (select key, len(w) as n from d),
 both_words as (select a.key as a, b.key as b, count(*) as k from w a join w b on a.word = b.word and a.key < b.key group by all),
 links as (select a, b from both_words join n x on x.key = a join n y on y.key = b where k * 10 >= 7 * (x.n + y.n - k)),
-edges as (select a, b from links union all select b, a from links), degree as (select a as key, count(*) as links from edges group by 1),
+edges as (select a, b from links union all select b, a from links),
 reach as (select key as id, key as other from d union select r.id, e.b from reach r join edges e on e.a = r.other),
-own as (select id as key, min(other) as comp from reach group by 1), c as (select passage_id, comp, coalesce(links, 0) as links from k join own using (key) left join degree using (key)),
-named as (select comp, min(passage_id) as class_id, count(*) as class_size from c group by 1)
-select passage_id, class_id, class_size, links from c join named using (comp)"""
+own as (select id as key, min(other) as comp from reach group by 1), c as (select passage_id, comp from k join own using (key)), named as (select comp, min(passage_id) as class_id, count(*) as class_size from c group by 1)
+select passage_id, class_id, class_size from c join named using (comp)"""
 
 P3_TOP5 = """with v as (select distinct 'techniques' as space, passage_id as id, embedding::double[] as v from techniques union all select distinct 'papers', arxiv_id, area_embedding::double[] from papers),
 u as (select *, sqrt(list_dot_product(v, v)) as n from v where v is not null and len(v) > 0 and list_dot_product(v, v) > 0),

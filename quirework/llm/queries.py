@@ -23,14 +23,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per passage with words: its class and the number of its links to different texts."""
-    members, groups, links = nd.near_duplicates(table(spark, sf_dir, "techniques"), Scratch(spark, "p1"))
-    rows = members.join(groups, "key", "left").select("key", "id", F.coalesce("comp", "key").alias("group"))
-    ends = links.select(F.col("a").alias("key")).unionByName(links.select(F.col("b").alias("key"))).groupBy("key").agg(F.count("*").alias("links"))
+    """One row per passage with words: its class of near-duplicates, named by its smallest id, and the size of that."""
+    members, groups, _ = nd.near_duplicates(table(spark, sf_dir, "techniques"), Scratch(spark, "p1"), complete=False)
+    rows = nd.grouped_rows(members, groups)
     named = rows.groupBy("group").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
-    return (
-        rows.join(ends, "key", "left").join(named, "group").select(F.col("id").alias("passage_id"), "class_id", "class_size", F.coalesce("links", F.lit(0)).alias("links"))
-    )
+    return rows.join(named, "group").select(F.col("id").alias("passage_id"), "class_id", "class_size")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
