@@ -98,7 +98,7 @@ def _rules_sql() -> str:
 def x30_paragraph_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title, enrichment and exclusion evidence of every paragraph."""
     p = table(spark, sf_dir, "paragraphs").select("arxiv_id", "section_index", "paragraph_index", "section_header", "text")
-    return S.paragraph_features(p, "section_header", "text").drop("section_header", "text").distinct()
+    return S.paragraph_features(p.distinct(), "section_header", "text").drop("section_header", "text")
 
 
 @query("select arxiv_id, section_index, paragraph_index, 'Section: ' || coalesce(section_header, '') || ' Text: ' || coalesce(text, '') as input from (select distinct arxiv_id, section_index, paragraph_index, section_header, text from paragraphs)")
