@@ -32,7 +32,7 @@ COMMON_LEAST = 30
 COMMON_WEIGHT = 0.1
 #: In a group so large that its own k-mers are common, the weights favour what tells its texts apart. For such groups there are
 #: entries of three k-mers without weights: each text needs to meet only some of its many partners.
-PLAIN_ENTRIES = 8
+PLAIN_ENTRIES = 12
 PLAIN_LENGTH = 3
 #: Texts of up to this many distinct words also get entries of single words: a k-mer sketch is unreliable there.
 SHORT = 24
